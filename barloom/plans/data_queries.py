@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.operators import gridding, profile
 from barloom.operators import timestamps as ts
 from barloom.sources.tables import table
 
@@ -32,5 +33,79 @@ def p1_formats(spark: SparkSession, d: str) -> DataFrame:
     return _p1_texts(spark, d).select(F.explode("texts").alias("x")).where(F.col("x").isNotNull()).groupBy(F.coalesce("x.pattern", F.lit("none")).alias("pattern"), F.col("x.status").alias("status")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_formats": p1_formats}
+#: What the observation pack's columns must satisfy.
+PACK_CHECKS = {
+    "p_max_filter": profile.Check(0.333, 1.0),
+    "effective_num_states_filter": profile.Check(1.0, 3.0),
+    "expected_state_filter": profile.Check(0.0, 2.0),
+    "p_margin_filter": profile.Check(0.0, 1.0),
+    "digest": profile.Check(pattern="[0-9a-f]{12}"),
+}
+
+
+def _p5_compared(spark: SparkSession, d: str, columns: list[str] | None) -> DataFrame:
+    pack = table(spark, d, "rl_observation_pack")
+    return profile.compare_loads(profile.column_states(pack, ["pack_id", "load_id"], PACK_CHECKS, columns), "pack_id", "load_id")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Where the five checked columns of a load fall out of line."""
+    return profile.findings(_p5_compared(spark, d, list(PACK_CHECKS)), "load_id", PACK_CHECKS)
+
+
+def p5_profile(spark: SparkSession, d: str) -> DataFrame:
+    """The profile of every column for each load, with its change against the other loads of the pack."""
+    return _p5_compared(spark, d, None).select("pack_id", "load_id", "column_name", "n_rows", F.col("null_share").alias("null_rate"), F.hll_sketch_estimate("distinct_state").alias("distinct_count"), "low", "high", "n_out", "n_bad", F.round(F.col("null_share") - F.col("usual_null_share"), 6).alias("null_change"), F.round("shifted_from", 6).alias("shifted_from"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Periods without a reading between a series' first and last."""
+    return gridding.missing_slots(table(spark, d, "rl_observation_pack"), ["pack_id", "segment"])
+
+
+def p7_series(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each period of each pack and segment; the summaries are gauges, their missing periods filled or marked."""
+    return gridding.grid_series(table(spark, d, "rl_observation_pack"), ["pack_id", "segment"], ["p_max_filter", "effective_num_states_filter", "expected_state_filter", "p_margin_filter"], id_col="obs_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_formats": p1_formats, "p5_found": p5_found, "p5_profile": p5_profile, "p7_found": p7_found, "p7_series": p7_series}
 ORACLES: dict[str, str] = {}
+
+ORACLES["p7_found"] = """
+WITH r AS (
+  SELECT pack_id, segment, CASE bar_step WHEN '30m' THEN 1800 WHEN '1h' THEN 3600 WHEN '4h' THEN 14400 WHEN '8h' THEN 28800 END AS step,
+         epoch_us("timestamp") // 1000000 AS s
+  FROM rl_observation_pack WHERE pack_id IS NOT NULL AND segment IS NOT NULL AND "timestamp" IS NOT NULL),
+h AS (SELECT DISTINCT pack_id, segment, step, s // step AS slot FROM r WHERE step IS NOT NULL),
+g AS (SELECT pack_id, segment, step, unnest(a) AS slot FROM (SELECT pack_id, segment, step, generate_series(min(slot), max(slot)) AS a FROM h GROUP BY 1, 2, 3))
+SELECT pack_id, segment, CAST(slot * step AS BIGINT) AS slot_s FROM (SELECT * FROM g EXCEPT SELECT * FROM h)
+"""
+
+ORACLES["p5_found"] = """
+WITH v AS (
+  SELECT pack_id, load_id, column_name, x, CAST(NULL AS VARCHAR) AS t FROM (
+    SELECT pack_id, load_id, p_max_filter, effective_num_states_filter, expected_state_filter, p_margin_filter FROM rl_observation_pack)
+    UNPIVOT INCLUDE NULLS (x FOR column_name IN (p_max_filter, effective_num_states_filter, expected_state_filter, p_margin_filter))
+  UNION ALL SELECT pack_id, load_id, 'digest', NULL, digest FROM rl_observation_pack),
+b AS (SELECT *, CASE column_name WHEN 'p_max_filter' THEN 0.333 WHEN 'effective_num_states_filter' THEN 1 ELSE 0 END AS lo,
+             CASE column_name WHEN 'effective_num_states_filter' THEN 3 WHEN 'expected_state_filter' THEN 2 ELSE 1 END AS hi FROM v),
+m AS (SELECT pack_id, load_id, column_name, avg(CAST(x IS NULL AND t IS NULL AS INT)) AS nulls, count(DISTINCT x) / nullif(count(x), 0) AS dist,
+             count(*) FILTER (WHERE x IS NOT NULL AND NOT (x >= lo AND x <= hi)) AS n_out,
+             count(*) FILTER (WHERE t IS NOT NULL AND NOT regexp_full_match(t, '[0-9a-f]{12}')) AS n_bad FROM b GROUP BY ALL),
+u AS (SELECT a.pack_id, a.load_id, a.column_name, any_value(a.nulls) AS nulls, any_value(a.dist) AS dist, any_value(a.n_out) AS n_out, any_value(a.n_bad) AS n_bad,
+             median(o.nulls) AS u_nulls, median(o.dist) AS u_dist
+      FROM m a LEFT JOIN m o ON a.pack_id = o.pack_id AND a.column_name = o.column_name AND a.load_id <> o.load_id GROUP BY 1, 2, 3),
+c AS (SELECT pack_id, load_id, column_name, x FROM b WHERE x >= lo AND x <= hi),
+n AS (SELECT pack_id, load_id, column_name, count(*) AS n FROM c GROUP BY ALL),
+q AS (SELECT pack_id, column_name, unnest(a) AS p FROM (SELECT pack_id, column_name, quantile_disc(x, [(i + 0.5) / 40 FOR i IN range(0, 40)]) AS a FROM c GROUP BY 1, 2)),
+f AS (SELECT q.pack_id, q.column_name, q.p, c.load_id, count(*) FILTER (WHERE c.x <= q.p) / count(*) AS s
+      FROM (SELECT DISTINCT * FROM q) q JOIN c USING (pack_id, column_name) GROUP BY ALL),
+k AS (SELECT a.pack_id, a.column_name, a.load_id, a.p, avg(CAST(abs(a.s - o.s) > 0.25 AS INT)) AS far
+      FROM f a JOIN f o ON a.pack_id = o.pack_id AND a.column_name = o.column_name AND a.p = o.p AND a.load_id <> o.load_id GROUP BY ALL),
+sh AS (SELECT DISTINCT pack_id, column_name, load_id FROM k WHERE far > 0.5)
+SELECT load_id, column_name, 'nulls' AS finding FROM u WHERE nulls > u_nulls + 0.10
+UNION ALL SELECT load_id, column_name, 'range' FROM u WHERE n_out > 0 AND column_name <> 'digest'
+UNION ALL SELECT load_id, column_name, 'distinct' FROM u WHERE dist < 0.5 * u_dist AND column_name <> 'digest'
+UNION ALL SELECT load_id, column_name, 'pattern' FROM u WHERE n_bad > 0
+UNION ALL SELECT load_id, column_name, 'shift' FROM sh
+"""
