@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators import gridding, profile
+from barloom.operators import gridding, profile, spikes
 from barloom.operators import timestamps as ts
 from barloom.sources.tables import table
 
@@ -109,3 +109,11 @@ UNION ALL SELECT load_id, column_name, 'distinct' FROM u WHERE dist < 0.5 * u_di
 UNION ALL SELECT load_id, column_name, 'pattern' FROM u WHERE n_bad > 0
 UNION ALL SELECT load_id, column_name, 'shift' FROM sh
 """
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Close and volume readings that can't be right, measured by what is normal for their source."""
+    return spikes.find_implausible(table(spark, d, "features"))
+
+
+QUERIES["p3_found"] = p3_found
