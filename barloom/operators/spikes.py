@@ -9,7 +9,7 @@ than a block of a source, however many rows the source has.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+
 from dataclasses import dataclass
 
 import numpy as np

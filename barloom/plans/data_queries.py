@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators import gridding, profile, spikes
+from barloom.operators import gridding, profile, schemas, spikes
 from barloom.operators import timestamps as ts
 from barloom.sources.tables import table
 
@@ -117,3 +117,25 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["p3_found"] = p3_found
+
+
+#: The unified funding record and the names its fields go by.
+FUNDING_TARGETS = {
+    "funding_rate": ("double", ("fundingrate", "rate", "funding")),
+    "symbol": ("string", ("symbol",)),
+    "event_time": ("string", ("fundingtimeutc", "fundingtime", "timestamp", "tsevent", "time")),
+}
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Fields added, removed, renamed or changed in type from one file of a stream to the next."""
+    return schemas.schema_changes(table(spark, d, "funding_files"))
+
+
+def p4_records(spark: SparkSession, d: str) -> DataFrame:
+    """All files as one table of funding records."""
+    files = table(spark, d, "funding_files")
+    return schemas.unify(files, schemas.schema_changes(files), FUNDING_TARGETS)
+
+
+QUERIES |= {"p4_found": p4_found, "p4_records": p4_records}
