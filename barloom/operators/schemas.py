@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.session import as_table, cut_lineage
+
 #: Kinds of JSON values by the first word of their variant type.
 KINDS = {"BIGINT": "number", "DECIMAL": "number", "DOUBLE": "number", "FLOAT": "number", "STRING": "text", "BOOLEAN": "boolean", "OBJECT": "object", "ARRAY": "list"}
 
@@ -126,12 +128,13 @@ def schema_changes(df: DataFrame, payload: str = "payload") -> DataFrame:
     df: stream_id, file_no, record_id, payload. Names compare exactly. A file whose predecessor isn't there has no changes; one
     without readable records has no fields. Null and unreadable payloads count as no record. An empty table gives no rows.
     """
-    cells = record_cells(df, payload)
+    cells = as_table(record_cells(df, payload), "cells")  # read below by column and by file
     schemas = file_schemas(df, cells, payload)
     files = df.where(F.col("stream_id").isNotNull() & F.col("file_no").isNotNull()).groupBy("stream_id", "file_no").agg(F.count("*").alias("_n")).drop("_n")
     known = files.join(files.select("stream_id", (F.col("file_no") + 1).alias("file_no")), ["stream_id", "file_no"], "left_semi")
     before = schemas.select("stream_id", (F.col("file_no") + 1).alias("file_no"), "field", F.col("kind").alias("old_kind"), F.lit(True).alias("_old"))
     diff = schemas.withColumn("_new", F.lit(True)).join(before, ["stream_id", "file_no", "field"], "full").join(known, ["stream_id", "file_no"], "left_semi")
+    diff = cut_lineage(diff)
     lost = diff.where(F.col("_new").isNull()).select("stream_id", "file_no", "field", F.col("old_kind").alias("kind"))
     gained = diff.where(F.col("_old").isNull()).select("stream_id", "file_no", F.col("field").alias("new_field"), F.col("kind").alias("new_kind"))
     both = lost.join(gained, ["stream_id", "file_no"])  # as many rows for a file as its lost and gained fields make pairs
@@ -149,7 +152,7 @@ def schema_changes(df: DataFrame, payload: str = "payload") -> DataFrame:
     new = now.select("stream_id", "file_no", F.col("record_id").alias("_b"), F.col("field").alias("new_field"), F.col("value").alias("_w")).join(gained, ["stream_id", "file_no", "new_field"], "left_semi")
     evidence = shared.join(old, ["stream_id", "file_no", "_a"]).join(new, ["stream_id", "file_no", "_b"]).groupBy("stream_id", "file_no", "field", "new_field").agg(F.count("*").alias("n_both"), F.count_if(F.col("value") == F.col("_w")).alias("n_same"))
     pairs = both.join(evidence, ["stream_id", "file_no", "field", "new_field"], "left").fillna(0, ["n_both", "n_same"])
-    renamed = pairs.groupBy("stream_id", "file_no").applyInArrow(_match, "stream_id string, file_no int, field string, new_field string")
+    renamed = cut_lineage(pairs.groupBy("stream_id", "file_no").applyInArrow(_match, "stream_id string, file_no int, field string, new_field string"))
 
     gone = lost.join(renamed, ["stream_id", "file_no", "field"], "left_anti").select("stream_id", "file_no", F.lit("removed").alias("change"), "field", F.lit("").alias("new_field"))
     come = gained.join(renamed, ["stream_id", "file_no", "new_field"], "left_anti").select("stream_id", "file_no", F.lit("added").alias("change"), F.col("new_field").alias("field"), F.lit("").alias("new_field"))
