@@ -145,10 +145,13 @@ def normalize_timestamps(df: DataFrame, sources: DataFrame, columns: Mapping[str
     """
     own = sources.where(F.col(source_col).isNotNull()).groupBy(F.col(source_col).alias("_src")).agg(F.min(zone_col).alias("_zone"), F.min(order_col).alias("_order"))
     own = own.join(zone_table(df.sparkSession), F.col("_zone") == F.col("zone"), "left").select("_src", F.col("zone").alias("_zone"), F.coalesce(F.col("_order") == "mdy", F.lit(False)).alias("_mdy"), F.col("abbreviations").alias("_abbr"))
-    out = df.join(own, df[source_col] == own["_src"], "left")
+    # Columns go by their place until the end, so that no name of df meets one of the steps.
+    place = {n: f"c{i}" for i, n in enumerate(df.columns)}
+    source, received_at = F.col(place[source_col]), F.col(place[received_col])
+    out = df.toDF(*place.values()).join(own, source == F.col("_src"), "left")
     # One projection for each step: Catalyst doesn't merge them while a step is used more than once, so nothing is computed twice.
     each = [(i, n, z) for i, (n, z) in enumerate(columns.items())]
-    out = out.withColumns({f"_t{i}": F.regexp_replace(F.col(f"`{n}`"), rf"^{_BLANK}|{_BLANK}$", "") for i, n, _ in each})
+    out = out.withColumns({f"_t{i}": F.regexp_replace(F.col(place[n]), rf"^{_BLANK}|{_BLANK}$", "") for i, n, _ in each})
     out = out.withColumns({f"_f{i}": _texts(F.col(f"_t{i}")) for i, *_ in each})
     out = out.withColumns({f"_w{i}": _wall(F.col(f"_f{i}"), F.coalesce("_mdy", F.lit(False))) for i, *_ in each} | {f"_z{i}": F.upper(_at(F.col(f"_f{i}"), 9)) for i, *_ in each} | {f"_r{i}": _at(F.col(f"_f{i}"), 10) for i, *_ in each})
     known = ", ".join(f"'{z}'" for z in _regions())
@@ -163,14 +166,14 @@ def normalize_timestamps(df: DataFrame, sources: DataFrame, columns: Mapping[str
     # A filter on the result would be pushed below these steps with all of them written out in it, again and again for each use;
     # a generator of one row stops that and stays in the same stage.
     kept = [f"_{k}{i}" for i, *_ in each for k in ("t", "f", "w", "o", "zone", "b", "a", "fb", "fa")]
-    out = out.select(*[f"`{c}`" for c in df.columns], F.explode(F.array(F.struct(*kept))).alias("_steps")).select(*[f"`{c}`" for c in df.columns], *[F.col(f"_steps.{c}").alias(c) for c in kept])
+    out = out.select(*place.values(), F.explode(F.array(F.struct(*kept))).alias("_steps")).select(*place.values(), *[F.col(f"_steps.{c}").alias(c) for c in kept])
     none = F.lit(None).cast("bigint")
 
-    def instant(i: int, name: str) -> Column:
+    def instant(i: int) -> Column:
         t, f, w, offset, before, after, fb, fa = (F.col(f"_{k}{i}") for k in ("t", "f", "w", "o", "b", "a", "fb", "fa"))
         micro = F.coalesce(F.substring(F.rpad(_at(f, 7), 6, "0"), 1, 6).try_cast("bigint"), F.lit(0))
         first, last = F.unix_micros(F.least(before, after)) + micro, F.unix_micros(F.greatest(before, after)) + micro
-        received = F.unix_micros(F.col(f"`{received_col}`"))
+        received = F.unix_micros(received_at)
         picks = {"later_not_after": F.when(received.isNull() | (last <= received), last).otherwise(first), "earlier": first, "later": last, "null": none}
         gap = F.unix_micros(before) + micro if nonexistent == "shift" else none
         epoch = _epoch(t)
@@ -187,8 +190,7 @@ def normalize_timestamps(df: DataFrame, sources: DataFrame, columns: Mapping[str
             .otherwise(out(gap, "skipped"))
         )
 
-    out = out.withColumns({n + suffix: instant(i, n) for i, n, _ in each})
-    return out.select(*[f"`{c}`" for c in df.columns], *[f"`{n}{suffix}`" for n in columns])
+    return out.select(*[F.col(c).alias(n) for n, c in place.items()], *[instant(i).alias(n + suffix) for i, n, _ in each])
 
 
 def agreed_instant(structs: list[Column]) -> Column:

@@ -18,7 +18,7 @@ BAR = ("instrument", "bar_s", "open", "high", "low", "close", "volume")
 
 def tumbling_bars(df: DataFrame, instrument: Column, ts: Column, value: Column, order: Column, step_s: int) -> DataFrame:
     """OHLCV of the positive finite values in each period of step_s seconds; volume is their number."""
-    v = df.select(instrument.alias("instrument"), ts.alias("_ts"), value.cast("double").alias("_v"), order.alias("_k")).where(is_finite(F.col("_v")) & (F.col("_v") > 0) & F.col("_ts").isNotNull())
+    v = df.select(instrument.alias("instrument"), ts.cast("timestamp").alias("_ts"), value.cast("double").alias("_v"), order.alias("_k")).where(is_finite(F.col("_v")) & (F.col("_v") > 0) & F.col("_ts").isNotNull())
     v = v.withColumn("bar_s", (F.floor(F.unix_seconds("_ts") / step_s) * step_s).cast("bigint"))
     at = F.struct("_ts", "_k")
     return v.groupBy("instrument", "bar_s").agg(F.min_by("_v", at).alias("open"), F.max("_v").alias("high"), F.min("_v").alias("low"), F.max_by("_v", at).alias("close"), F.count("*").cast("double").alias("volume"))
@@ -45,7 +45,7 @@ def daily_bars(spark: SparkSession, d: str) -> DataFrame:
 def funding_events(spark: SparkSession, d: str) -> DataFrame:
     """instrument, funding_s, funding_rate: 8h averages stamped at the end of their period, so that they are known then."""
     e = table(spark, d, "events").where(is_finite(F.col("value").cast("double")))
-    bucket = (F.floor(F.unix_seconds("ts") / 28_800) * 28_800 + 28_800).cast("bigint")
+    bucket = (F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 28_800) * 28_800 + 28_800).cast("bigint")
     return e.groupBy(F.col("event_type").alias("instrument"), bucket.alias("funding_s")).agg(((F.avg("value") - 50) / 100_000).alias("funding_rate"))
 
 
