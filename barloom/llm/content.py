@@ -276,6 +276,7 @@ def train(texts: list[str | None], labels: list[int], rules: ContentRules = Cont
     f1 = 2 * hit / (np.arange(len(y)) + 1 + y.sum())
     best = int(np.argmax(f1))
     cut = (out[order[best]] + (out[order[best + 1]] if best + 1 < len(y) else out[order[best]])) / 2
+    cut = max(cut, model.bias + 0.25)  # words that the model doesn't know are no evidence
     model.threshold = 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, cut))))
     return model
 
