@@ -154,8 +154,8 @@ def normalize_timestamps(df: DataFrame, sources: DataFrame, columns: Mapping[str
     out = out.withColumns({f"_t{i}": F.regexp_replace(F.col(place[n]), rf"^{_BLANK}|{_BLANK}$", "") for i, n, _ in each})
     out = out.withColumns({f"_f{i}": _texts(F.col(f"_t{i}")) for i, *_ in each})
     out = out.withColumns({f"_w{i}": _wall(F.col(f"_f{i}"), F.coalesce("_mdy", F.lit(False))) for i, *_ in each} | {f"_z{i}": F.upper(_at(F.col(f"_f{i}"), 9)) for i, *_ in each} | {f"_r{i}": _at(F.col(f"_f{i}"), 10) for i, *_ in each})
-    known = ", ".join(f"'{z}'" for z in _regions())
-    tz = lambda i, default: F.when(F.col(f"_z{i}").isNull(), F.when(F.col(f"_r{i}").isNull(), default).when(F.expr(f"_r{i} IN ({known})"), F.col(f"_r{i}")))
+    known = F.split(F.lit(",".join(_regions())), ",")  # folded to one literal array
+    tz = lambda i, default: F.when(F.col(f"_z{i}").isNull(), F.when(F.col(f"_r{i}").isNull(), default).when(F.array_contains(known, F.col(f"_r{i}")), F.col(f"_r{i}")))
     out = out.withColumns({f"_o{i}": _offset(F.col(f"_z{i}"), F.col(f"_r{i}"), F.col("_abbr")) for i, *_ in each} | {f"_zone{i}": tz(i, F.lit(z) if z else F.col("_zone")) for i, _, z in each})
     # The offsets in force a day before and a day after the wall time cover at most one change of the clock.
     day = F.expr("interval 1 day")
