@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.gridding import step_seconds
+from barloom.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -37,15 +38,14 @@ class SpikeRules:
     rounds: int = 6
 
 
-def impossible(df: DataFrame) -> DataFrame:
-    """(bar_id, field) of readings that can't be: NaN, infinite, a close not above 0 or outside its row's low..high, a negative volume."""
+def impossible() -> tuple[Column, Column]:
+    """Whether a row's close and volume can't be: NaN, infinite, a close not above 0 or outside its row's low..high, a negative
+    volume. False for nulls."""
     real = lambda c: c.isNotNull() & ~F.isnan(c)
-    c, v, lo, hi = F.col("close"), F.col("volume"), F.col("low"), F.col("high")
+    c, v, lo, hi = (F.col(n).cast("double") for n in ("close", "volume", "low", "high"))
     inf = lambda x: F.abs(x) == float("inf")
     close = F.isnan(c) | inf(c) | (c <= 0) | (real(lo) & (c < lo)) | (real(hi) & (c > hi))
-    volume = F.isnan(v) | inf(v) | (v < 0)
-    found = F.filter(F.array(F.when(c.isNotNull() & close, F.lit("close")), F.when(v.isNotNull() & volume, F.lit("volume"))), lambda x: x.isNotNull())
-    return df.select("bar_id", F.explode(found).alias("field"))
+    return F.coalesce(c.isNotNull() & close, F.lit(False)), F.coalesce(v.isNotNull() & (F.isnan(v) | inf(v) | (v < 0)), F.lit(False))
 
 
 def low_rank(y: np.ndarray, known: np.ndarray, rank: int, rounds: int, floor: float) -> np.ndarray:
@@ -126,13 +126,47 @@ def _stuck(x: np.ndarray, least: int) -> np.ndarray:
     return same & (length >= least)
 
 
+_STATS = pa.schema([("source", pa.string()), ("_block", pa.int64()), ("kind", pa.string()), ("bin", pa.int32()), ("n", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64())])
+
+
+def _columns(table: pa.Table, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """The named columns, sorted by time, arrival and id."""
+    col = {c: table[c].to_numpy() for c in names}
+    order = np.lexsort((col["bar_id"], col["_seen"], col["_us"]))
+    return {c: v[order] for c, v in col.items()}
+
+
+def _bins(x: np.ndarray, per_octave: int) -> list[tuple[int, int, float, float]]:
+    """(bin, n, least, greatest) of positive numbers in equal bins of their logarithm."""
+    if not len(x):
+        return []
+    x = np.sort(x)
+    bins = np.floor(np.log2(x) * per_octave).astype(np.int64)
+    at = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
+    end = np.r_[at[1:], len(x)]
+    return [(int(bins[i]), int(j - i), float(x[i]), float(x[j - 1])) for i, j in zip(at, end)]
+
+
+def _block_stats(table: pa.Table) -> pa.Table:
+    """Histograms of a block's own moves and volumes. The block is one row first, with n = 0."""
+    source, block = table["source"][0].as_py(), table["_block"][0].as_py()
+    col = _columns(table, ("bar_id", "_us", "_seen", "_home", "close", "volume"))
+    rows = [("block", 0, 0, 0.0, 0.0)]
+    home = col["_home"].astype(bool)
+    close = col["close"].astype(float)
+    _, x, _ = _bars(col["_us"], close, home & np.isfinite(close) & (close > 0))
+    moves = np.abs(np.diff(np.log(x)))
+    rows += [("move", *b) for b in _bins(moves[moves > 0], 32)]
+    volume = col["volume"].astype(float)
+    rows += [("volume", *b) for b in _bins(volume[home & np.isfinite(volume) & (volume > 0)], 8)]
+    return pa.Table.from_arrays([pa.array([source] * len(rows)), pa.array([block] * len(rows), pa.int64()), *[pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64()))]], schema=_STATS)
+
+
 def _block_finder(rules: SpikeRules):
     out = pa.schema([("bar_id", pa.int64()), ("field", pa.string())])
 
     def find(table: pa.Table) -> pa.Table:
-        col = {c: table[c].to_numpy() for c in ("bar_id", "_us", "_seen", "_home", "close", "volume", "_move", "_most", "_step")}
-        order = np.lexsort((col["bar_id"], col["_seen"], col["_us"]))
-        col = {c: v[order] for c, v in col.items()}
+        col = _columns(table, ("bar_id", "_us", "_seen", "_home", "close", "volume", "_move", "_most", "_step", "_bad_close", "_bad_volume"))
         ts, home, step = col["_us"], col["_home"], int(col["_step"][0])
         ids, fields = [], []
 
@@ -142,6 +176,8 @@ def _block_finder(rules: SpikeRules):
             fields.extend([field] * len(got))
 
         for field in ("close", "volume"):
+            bad = col[f"_bad_{field}"]
+            report(bad, field)
             value = col[field].astype(float)
             ok = np.isfinite(value) & ((value > 0) if field == "close" else (value >= 0))
             at, x, bar = _bars(ts, value, ok)
@@ -150,7 +186,7 @@ def _block_finder(rules: SpikeRules):
             own = ok & (bar < len(x))
             bar = np.minimum(bar, len(x) - 1)
             own &= at[bar] == ts
-            report(own & _stuck(x, rules.stuck)[bar] & (value == x[bar]), field)
+            report(own & ~bad & _stuck(x, rules.stuck)[bar] & (value == x[bar]), field)
             hit = np.zeros(len(value), bool)
             if field == "close":
                 move = float(col["_move"][0])
@@ -178,23 +214,24 @@ def _block_finder(rules: SpikeRules):
                         while hi + 1 < len(x) and high[hi + 1] and hi - b < rules.longest:
                             hi += 1
                         hit[i] = hi - lo < rules.longest
-            report(hit, field)
+            report(hit & ~bad & ~(own & _stuck(x, rules.stuck)[bar] & (value == x[bar])), field)
         return pa.table({"bar_id": np.concatenate(ids) if ids else np.zeros(0, np.int64), "field": pa.array(fields, pa.string())}, schema=out)
 
     return find
 
 
-def _largest_ordinary(rows: DataFrame, times: float) -> DataFrame:
-    """(source, _most): the largest volume that smaller ones lead up to, each at most `times` the one before, from the upper tenth on.
-
-    Volumes are counted in bins of an eighth of an octave with their extremes, so a source costs a few hundred rows at most."""
-    v = F.col("volume")
-    binned = rows.where((v > 0) & (v < float("inf")) & ~F.isnan(v)).groupBy("source", F.floor(F.log2(v) * 8).alias("_bin")).agg(F.count("*").alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    w = Window.partitionBy("source").orderBy("_bin")
-    before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    jump = (F.col("_lo") > F.lag("_hi").over(w) * times) & (before >= 0.9 * F.sum("_n").over(Window.partitionBy("source")))
-    steps = binned.withColumn("_jump", F.coalesce(jump, F.lit(False))).withColumn("_jumps", F.sum(F.col("_jump").cast("int")).over(w))
-    return steps.where(F.col("_jumps") == 0).groupBy("source").agg(F.max("_hi").alias("_most"))
+def _source_stats(stats: DataFrame, times: float) -> DataFrame:
+    """(source, _move, _most): the median of a source's moves that aren't zero, and its largest ordinary volume: the largest that
+    smaller ones lead up to, each at most `times` the one before, from the upper tenth on."""
+    binned = stats.where("n > 0").groupBy("source", "kind", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    w = Window.partitionBy("source", "kind").orderBy("bin")
+    upto = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    x = binned.withColumns({"_upto": upto, "_all": F.sum("n").over(Window.partitionBy("source", "kind")), "_before": F.lag("hi").over(w)})
+    jump = (F.col("lo") > F.col("_before") * times) & (F.col("_upto") - F.col("n") >= 0.9 * F.col("_all"))
+    x = x.withColumn("_jumps", F.sum(F.coalesce(jump, F.lit(False)).cast("int")).over(w))
+    middle = (F.col("kind") == "move") & (F.col("_upto") * 2 >= F.col("_all")) & ((F.col("_upto") - F.col("n")) * 2 < F.col("_all"))
+    inside = (F.col("_all") / 2 - (F.col("_upto") - F.col("n"))) / F.col("n")
+    return x.groupBy("source").agg(F.max(F.when(middle, F.col("lo") + (F.col("hi") - F.col("lo")) * inside)).alias("_move"), F.max(F.when((F.col("kind") == "volume") & (F.col("_jumps") == 0), F.col("hi"))).alias("_most"))
 
 
 def find_implausible(df: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFrame:
@@ -205,25 +242,26 @@ def find_implausible(df: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFra
     its own value. Bars without a usable value are left out of the series. Rows without source or timestamp are only tested
     for the range; a bar_step that isn't an interval counts as one hour. An empty table gives an empty result.
     """
-    c = F.col("close")
+    bad_close, bad_volume = impossible()
+    number = lambda c: F.col(c).cast("double").alias(c)
     rows = df.where(F.col("source").isNotNull() & F.col("timestamp").isNotNull()).select(
-        F.col("bar_id").cast("bigint").alias("bar_id"), "source", F.unix_micros("timestamp").alias("_us"), F.coalesce(F.unix_micros("ingested_at"), F.lit(0)).alias("_seen"), "close", "volume", F.coalesce(step_seconds(F.col("bar_step")), F.lit(3600)).alias("_step")
-    )
+        F.col("bar_id").cast("bigint").alias("bar_id"), "source", F.unix_micros("timestamp").alias("_us"), F.coalesce(F.unix_micros("ingested_at"), F.lit(0)).alias("_seen"),
+        number("close"), number("volume"), F.coalesce(step_seconds(F.col("bar_step")), F.lit(3600)).alias("_step"), bad_close.alias("_bad_close"), bad_volume.alias("_bad_volume"),
+    )
     days = F.greatest(F.lit(1), F.floor(F.lit(rules.block) * F.col("_step") / 86400))
     rows = rows.withColumn("_span", (days * 86_400_000_000).cast("bigint"))
-    number = lambda us: F.expr(f"({us} - pmod({us}, _span)) div _span")
+    block = lambda us: F.expr(f"({us} - pmod({us}, _span)) div _span")
     edge = f"_step * {rules.margin * 1_000_000}"
-    rows = rows.withColumns({"_own": number("_us"), "_prev": number(f"(_us - {edge})"), "_next": number(f"(_us + {edge})")})
+    rows = rows.withColumns({"_own": block("_us"), "_prev": block(f"(_us - {edge})"), "_next": block(f"(_us + {edge})")})
     rows = rows.withColumn("_block", F.explode(F.array_distinct(F.array("_own", "_prev", "_next")))).withColumn("_home", F.col("_block") == F.col("_own"))
 
-    # The source's usual move: the median of its moves that aren't zero. Repeated rows move by zero.
-    w = Window.partitionBy("source", "_block").orderBy("_us", "_seen", "bar_id")
-    priced = rows.where(F.col("_home") & (c > 0) & (c < float("inf")) & ~F.isnan(c))
-    moves = priced.withColumn("_m", F.abs(F.ln(c) - F.lag(F.ln(c)).over(w))).where(F.col("_m") > 0)
-    usual = moves.groupBy("source").agg(F.percentile_approx("_m", 0.5, 10000).alias("_move"))
-    largest = _largest_ordinary(rows.where("_home"), rules.volume_times)
-    # By block, so that the rows of a large source meet these two numbers in many tasks.
-    blocks = rows.groupBy("source", "_block").agg(F.first("_step").alias("_any")).drop("_any").join(usual, "source", "left").join(largest, "source", "left")
-    ready = rows.select("bar_id", "source", "_block", "_us", "_seen", "_home", F.col("close").cast("double").alias("close"), F.col("volume").cast("double").alias("volume"), "_step").join(blocks, ["source", "_block"], "left")
+    # Two passes over the blocks: what is usual for a source, then its readings.
+    rows = rows.select("bar_id", "source", "_block", "_us", "_seen", "_home", "close", "volume", "_step", "_bad_close", "_bad_volume")
+    stats = rows.groupBy("source", "_block").applyInArrow(_block_stats, "source string, _block bigint, kind string, bin int, n bigint, lo double, hi double")
+    stats = cut_lineage(stats)  # read for the sources and for the list of blocks
+    # By block, so that the rows of a large source meet its numbers in many tasks.
+    blocks = stats.where("kind = 'block'").select("source", "_block").join(_source_stats(stats, rules.volume_times), "source", "left")
+    ready = rows.join(blocks, ["source", "_block"], "left")
     series = ready.groupBy("source", "_block").applyInArrow(_block_finder(rules), "bar_id bigint, field string")
-    return series.unionByName(impossible(df)).distinct()
+    loose = df.where(F.col("source").isNull() | F.col("timestamp").isNull()).select("bar_id", F.explode(F.filter(F.array(F.when(bad_close, F.lit("close")), F.when(bad_volume, F.lit("volume"))), lambda x: x.isNotNull())).alias("field"))
+    return series.unionByName(loose)
