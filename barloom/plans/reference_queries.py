@@ -653,3 +653,131 @@ def ref_u1_u4_sets(s: SparkSession, d: str) -> DataFrame:
     """Unions of frames with other columns, and intersections."""
     n = table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
     return n.unionByName(n.withColumn("x", F.lit(1)), allowMissingColumns=True).select("event_type", "n").intersect(n)
+
+
+# --- further operators ---------------------------------------------------------------------------------------------------
+
+@query("""SELECT source, count(*) AS n_rows, count(*) FILTER (WHERE isfinite(open) AND isfinite(high) AND isfinite(low) AND isfinite(close) AND isfinite(volume)) AS n_finite FROM features GROUP BY 1""")
+def ref_p01_finite(s: SparkSession, d: str) -> DataFrame:
+    """Rows with finite prices and volumes only."""
+    ok = is_finite(F.col("open"))
+    for c in ("high", "low", "close", "volume"):
+        ok = ok & is_finite(F.col(c))
+    return table(s, d, "features").groupBy("source").agg(F.count("*").alias("n_rows"), F.count_if(ok).alias("n_finite"))
+
+
+@query("""SELECT 'min' AS which, CAST(min(epoch_us("timestamp")) AS BIGINT) AS us, count("timestamp") AS n FROM features UNION ALL SELECT 'max', CAST(max(epoch_us("timestamp")) AS BIGINT), count("timestamp") FROM features""")
+def ref_t9_support(s: SparkSession, d: str) -> DataFrame:
+    """First and last time of a table."""
+    x = table(s, d, "features").agg(F.min(F.unix_micros("timestamp")).alias("a"), F.max(F.unix_micros("timestamp")).alias("b"), F.count("timestamp").alias("n"))
+    return x.select(F.inline(F.array(*[F.struct(F.lit(k).alias("which"), F.col(c).alias("us"), F.col("n").alias("n")) for k, c in (("min", "a"), ("max", "b"))])))
+
+
+@query(f"WITH {PANEL}, {FEATURES_SQL} SELECT instrument, count(*) AS n_rows, count(*) FILTER (WHERE log_ret_24 IS NOT NULL AND vol_roll IS NOT NULL AND ma_ratio IS NOT NULL AND log_ret_1_fwd IS NOT NULL) AS n_usable FROM feat GROUP BY 1")
+def ref_p14_warm_up(s: SparkSession, d: str) -> DataFrame:
+    """Rows left after warm-up and the last row are dropped."""
+    f = features.bar_features(bars.panel_bars(s, d))
+    use = features.usable_rows(f, ("log_ret_24", "vol_roll", "ma_ratio")).groupBy("instrument").agg(F.count("*").alias("u"))
+    n = f.groupBy("instrument").agg(F.count("*").alias("n_rows"))
+    return n.join(use, "instrument", "left").select("instrument", "n_rows", F.coalesce("u", F.lit(0)).alias("n_usable"))
+
+
+@query(f"""WITH {PANEL}, {_RN} SELECT instrument, CASE WHEN rn < 50 THEN 'train' WHEN rn < 80 THEN 'val' ELSE 'test' END AS split, count(*) AS n_rows, min(bar_s) AS first_s FROM x WHERE rn < 120 GROUP BY 1, 2""")
+def ref_p18_o7_explicit_split(s: SparkSession, d: str) -> DataFrame:
+    """Half-open ranges of row numbers."""
+    return splits.explicit(bars.panel_bars(s, d), {"train": (0, 50), "val": (50, 80), "test": (80, 120)}).groupBy("instrument", "split").agg(F.count("*").alias("n_rows"), F.min("bar_s").alias("first_s"))
+
+
+@query("""WITH c AS (SELECT source, "timestamp" AS t, bar_id, row_number() OVER (PARTITION BY source, "timestamp" ORDER BY bar_id) AS k FROM features) SELECT source, count(*) AS n_kept, CAST(sum(bar_id) AS BIGINT) AS id_sum FROM c WHERE k = 1 GROUP BY 1""")
+def ref_o1_o3_dedupe(s: SparkSession, d: str) -> DataFrame:
+    """One row for each source and time, the first delivered; a minimum instead of a sort."""
+    one = table(s, d, "features").groupBy("source", "timestamp").agg(F.min("bar_id").alias("bar_id"))
+    return one.groupBy("source").agg(F.count("*").alias("n_kept"), F.sum("bar_id").alias("id_sum"))
+
+
+@query(f"""WITH {PANEL} SELECT instrument, bar_s, round(close, 6) + 0.0 AS close FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY bar_s DESC) AS k FROM bars) WHERE k <= 5""")
+def ref_o4_o8_tail(s: SparkSession, d: str) -> DataFrame:
+    """The last five bars of each instrument."""
+    k = F.row_number().over(Window.partitionBy("instrument").orderBy(F.col("bar_s").desc()))
+    return rounded(bars.panel_bars(s, d).withColumn("k", k).where(F.col("k") <= 5).select("instrument", "bar_s", "close"))
+
+
+@query("""SELECT symbol FROM train_v1_dataset WHERE symbol IS NOT NULL EXCEPT SELECT symbol FROM funding_8h WHERE venue = 'vn0000' AND symbol IS NOT NULL""")
+def ref_u3_difference(s: SparkSession, d: str) -> DataFrame:
+    """Names of one table that another hasn't."""
+    a = table(s, d, "train_v1_dataset").where(F.col("symbol").isNotNull()).select("symbol")
+    return a.subtract(table(s, d, "funding_8h").where((F.col("venue") == "vn0000") & F.col("symbol").isNotNull()).select("symbol"))
+
+
+@query(f"""WITH {PANEL}, {_RN}, y AS (SELECT *, CASE WHEN rn < floor(n * 0.8) THEN 'train' WHEN rn < floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM x)
+SELECT a.split AS a, b.split AS b, count(*) AS n_common FROM y a JOIN y b ON a.instrument = b.instrument AND a.bar_s = b.bar_s AND a.split < b.split GROUP BY 1, 2""")
+def ref_u4_disjoint_splits(s: SparkSession, d: str) -> DataFrame:
+    """Times that two splits share: none."""
+    x = splits.chronological(bars.panel_bars(s, d), drop_last=False).groupBy("instrument", "bar_s").agg(F.array_sort(F.collect_set("split")).alias("k")).where(F.size("k") > 1)
+    return x.groupBy(F.col("k")[0].alias("a"), F.col("k")[1].alias("b")).agg(F.count("*").alias("n_common"))
+
+
+@query(f"""WITH {PANEL}, g AS (SELECT instrument, bar_s, CASE WHEN volume > 3 THEN close END AS x FROM bars)
+SELECT instrument, bar_s, round(coalesce(last(x IGNORE NULLS) OVER ({W_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0), 6) + 0.0 AS filled FROM g""")
+def ref_w17_forward_fill(s: SparkSession, d: str) -> DataFrame:
+    """Missing values take the last known one, or 1 before the first."""
+    x = bars.panel_bars(s, d).withColumn("x", F.when(F.col("volume") > 3, F.col("close")))
+    return rounded(x.select("instrument", "bar_s", W.forward_fill(F.col("x"), W.series("instrument"), 1.0).alias("filled")))
+
+
+@query(f"""WITH {PANEL}, {_LEDGER} SELECT policy, {_r("avg(pos) AS mean_action;stddev_pop(pos) AS std_action;avg(CASE WHEN abs(pos) > 0.95 THEN 1.0 ELSE 0.0 END) AS pct_saturated;avg(turnover) AS mean_turnover;avg(cost) AS mean_cost;avg(pnl_net) AS mean_pnl")} FROM led GROUP BY 1""")
+def ref_a9_stability(s: SparkSession, d: str) -> DataFrame:
+    """Aggregates of actions and costs that tell a dead policy."""
+    return rounded(_trace(s, d).groupBy("policy").agg(F.avg("action").alias("mean_action"), F.stddev_pop("action").alias("std_action"), F.avg((F.abs("action") > 0.95).cast("double")).alias("pct_saturated"), F.avg("turnover").alias("mean_turnover"), F.avg("cost").alias("mean_cost"), F.avg("pnl_net").alias("mean_pnl")))
+
+
+@query(f"""WITH {PANEL}, {_LEDGER}, w AS (SELECT l.policy, l.instrument, v.k, l.pnl_net, l.turnover FROM led l, (VALUES (0), (1), (2)) v(k) WHERE l.t_index >= v.k * 32 AND l.t_index < v.k * 32 + 64),
+m AS (SELECT instrument, policy, k, count(*) AS n, avg(pnl_net) / (stddev_pop(pnl_net) + 1e-12) * sqrt(2190.0) AS sh FROM w GROUP BY 1, 2, 3) SELECT policy, count(*) AS n_windows, {_r('quantile_cont(sh, 0.5) AS median;min(sh) AS worst;max(sh) AS best', 5)} FROM m WHERE n >= 20 AND policy <> 'flat' GROUP BY 1""")
+def ref_a12_m17_validation_windows(s: SparkSession, d: str) -> DataFrame:
+    """Scores over overlapping validation windows: median, worst and best."""
+    t = _trace(s, d).where(F.col("policy") != "flat")
+    k = F.filter(F.array(*[F.when((F.col("t_index") >= i * 32) & (F.col("t_index") < i * 32 + 64), F.lit(i)) for i in range(3)]), lambda x: x.isNotNull())
+    m = t.withColumn("k", F.explode(k)).groupBy("instrument", "policy", "k").agg(F.count("*").alias("n"), (F.avg("pnl_net") / (F.stddev_pop("pnl_net") + 1e-12) * FREQ**0.5).alias("sh"))
+    return rounded(m.where(F.col("n") >= 20).groupBy("policy").agg(F.count("*").alias("n_windows"), F.percentile("sh", F.lit(0.5)).alias("median"), F.min("sh").alias("worst"), F.max("sh").alias("best")), 5)
+
+
+@query(f"WITH {_FUND} SELECT instrument, count(*) AS n, round(avg(funding_rate), 10) + 0.0 AS mean_rate, round(sum(funding_rate), 9) + 0.0 AS total_rate, CASE WHEN quantile_cont(funding_rate, 0.5) >= 0 THEN 'longs pay' ELSE 'shorts pay' END AS sign FROM fund GROUP BY 1")
+def ref_e18_funding_summary(s: SparkSession, d: str) -> DataFrame:
+    """Mean, total and usual sign of the funding rate."""
+    f = bars.funding_events(s, d)
+    return f.groupBy("instrument").agg(F.count("*").alias("n"), (F.round(F.avg("funding_rate"), 10) + 0.0).alias("mean_rate"), (F.round(F.sum("funding_rate"), 9) + 0.0).alias("total_rate"), F.when(F.percentile("funding_rate", F.lit(0.5)) >= 0, "longs pay").otherwise("shorts pay").alias("sign"))
+
+
+@query(f"""WITH {PANEL}, {_LEDGER} SELECT instrument, policy, bar_s, {_r('pos_prev AS o1;equity AS o2;drawdown AS o3', 4)} FROM led WHERE policy = 'random'""")
+def ref_m9_observation(s: SparkSession, d: str) -> DataFrame:
+    """The observation vector's own state columns."""
+    o = simulate.observations(_trace(s, d).where(F.col("policy") == "random"), ()).select("instrument", "policy", "bar_s", *[F.col("obs")[i].cast("double").alias(f"o{i + 1}") for i in range(3)])
+    return rounded(o, 4)
+
+
+@query(f"""WITH {PANEL}, {_LEDGER} SELECT instrument, policy, bar_s, round(exp(sum(ln(1.0) + pos * ret_fwd - cost) OVER ({_PW})), 6) + 0.0 AS equity FROM s3""")
+def ref_m11_positions_to_equity(s: SparkSession, d: str) -> DataFrame:
+    """Equity of given positions, without funding or ruin."""
+    t = simulate.ledger(simulate.actions(bars.panel_bars(s, d)), simulate.SimRules(ruin=-1.0))
+    return rounded(t.select("instrument", "policy", "bar_s", "equity"))
+
+
+@query("""SELECT bar_step, CASE bar_step WHEN '30m' THEN 0.5 WHEN '1h' THEN 1.0 WHEN '4h' THEN 4.0 WHEN '8h' THEN 8.0 END AS hours, count(*) AS n FROM rl_observation_pack GROUP BY 1, 2""")
+def ref_t4_interval_hours(s: SparkSession, d: str) -> DataFrame:
+    """Interval texts as hours."""
+    from barloom.operators.gridding import step_seconds
+
+    return table(s, d, "rl_observation_pack").groupBy("bar_step", (step_seconds(F.col("bar_step")) / 3600.0).alias("hours")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT raw_id, CAST(epoch_ms(received_at) AS BIGINT) AS ms, strftime(received_at, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM klines_raw WHERE received_at IS NOT NULL""")
+def ref_t3_t7_epoch_ms(s: SparkSession, d: str) -> DataFrame:
+    """Times as epoch milliseconds and as ISO-8601 texts."""
+    t = F.col("received_at")
+    return table(s, d, "klines_raw").where(t.isNotNull()).select("raw_id", F.unix_millis(t).alias("ms"), F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"))
+
+
+@query("""SELECT source, CAST(sum(CASE WHEN regexp_matches(lower(trim(source)), '^btc') THEN 1 ELSE 0 END) AS BIGINT) AS n_btc, any_value(upper(trim(symbol))) IS NOT NULL AS has_symbol FROM features GROUP BY 1""")
+def ref_f4_strings(s: SparkSession, d: str) -> DataFrame:
+    """Trimmed, lower-case and pattern-matched texts."""
+    return table(s, d, "features").groupBy("source").agg(F.sum(F.lower(F.trim("source")).rlike("^btc").cast("bigint")).alias("n_btc"), F.max("symbol").isNotNull().alias("has_symbol"))
