@@ -51,13 +51,12 @@ def missing_slots(df: DataFrame, keys: Sequence[str], time_col: str = "timestamp
     # Periods missing inside a chunk, and the run of missing periods from one chunk's last reading to the next chunk's first.
     w = Window.partitionBy(*by).orderBy("_chunk")
     gaps = filled.withColumn("_next", F.lead("_lo").over(w))
-    inside = F.array_except(F.sequence("_lo", "_hi"), "_have")
-    between = F.when(F.col("_next") > F.col("_hi") + 1, F.array(F.struct((F.col("_hi") + 1).alias("a"), (F.col("_next") - 1).alias("b"))))
+    inside = F.transform(F.array_except(F.sequence("_lo", "_hi"), "_have"), lambda x: F.struct(x.alias("a"), x.alias("b")))
     # A run longer than a chunk is cut before it is written out, so that no row holds more than `chunk` numbers.
-    cut = F.flatten(F.transform(F.coalesce(between, F.array().cast("array<struct<a:bigint,b:bigint>>")), lambda r: F.transform(F.sequence(r["a"], r["b"], F.lit(chunk)), lambda a: F.struct(a.alias("a"), F.least(a + chunk - 1, r["b"]).alias("b")))))
-    one = gaps.select(*by, F.explode(inside).alias("slot"))
-    more = gaps.where(F.col("_next") > F.col("_hi") + 1).select(*by, F.explode(cut).alias("_r")).select(*by, F.explode(F.sequence("_r.a", "_r.b")).alias("slot"))
-    return one.unionByName(more).select(*[F.col(f"`{k}`") for k in keys], (F.col("slot") * F.col("_step")).alias("slot_s"))
+    starts = F.sequence(F.col("_hi") + 1, F.col("_next") - 1, F.lit(chunk).cast("bigint"))
+    between = F.when(F.col("_next") > F.col("_hi") + 1, F.transform(starts, lambda a: F.struct(a.alias("a"), F.least(a + chunk - 1, F.col("_next") - 1).alias("b"))))
+    ranges = gaps.select(*by, F.explode(F.concat(inside, F.coalesce(between, F.array().cast("array<struct<a:bigint,b:bigint>>")))).alias("_r"))
+    return ranges.select(*by, F.explode(F.sequence("_r.a", "_r.b")).alias("slot")).select(*[F.col(f"`{k}`") for k in keys], (F.col("slot") * F.col("_step")).alias("slot_s"))
 
 
 def grid_series(df: DataFrame, keys: Sequence[str], values: Sequence[str], time_col: str = "timestamp", step_col: str = "bar_step", id_col: str | None = None, kind: str = "gauge", longest_gap: float = 2.0, chunk: int = 1024) -> DataFrame:
