@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import gridding, profile, schemas, spikes
 from barloom.operators import timestamps as ts
+from barloom.session import cut_lineage
 from barloom.sources.tables import table
 
 
@@ -45,7 +46,8 @@ PACK_CHECKS = {
 
 def _p5_compared(spark: SparkSession, d: str, columns: list[str] | None) -> DataFrame:
     pack = table(spark, d, "rl_observation_pack")
-    return profile.compare_loads(profile.column_states(pack, ["pack_id", "load_id"], PACK_CHECKS, columns), "pack_id", "load_id")
+    states = cut_lineage(profile.column_states(pack, ["pack_id", "load_id"], PACK_CHECKS, columns))  # the scan happens once
+    return profile.compare_loads(states, "pack_id", "load_id")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
