@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.session import broadcast_if_small
+
 #: Month names.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
@@ -144,11 +146,11 @@ def normalize_timestamps(df: DataFrame, sources: DataFrame, columns: Mapping[str
     in df don't clash. Rows are never dropped or repeated; an empty table stays empty.
     """
     own = sources.where(F.col(source_col).isNotNull()).groupBy(F.col(source_col).alias("_src")).agg(F.min(zone_col).alias("_zone"), F.min(order_col).alias("_order"))
-    own = own.join(zone_table(df.sparkSession), F.col("_zone") == F.col("zone"), "left").select("_src", F.col("zone").alias("_zone"), F.coalesce(F.col("_order") == "mdy", F.lit(False)).alias("_mdy"), F.col("abbreviations").alias("_abbr"))
+    own = own.join(F.broadcast(zone_table(df.sparkSession)), F.col("_zone") == F.col("zone"), "left").select("_src", F.col("zone").alias("_zone"), F.coalesce(F.col("_order") == "mdy", F.lit(False)).alias("_mdy"), F.col("abbreviations").alias("_abbr"))
     # Columns go by their place until the end, so that no name of df meets one of the steps.
     place = {n: f"c{i}" for i, n in enumerate(df.columns)}
     source, received_at = F.col(place[source_col]), F.col(place[received_col])
-    out = df.toDF(*place.values()).join(own, source == F.col("_src"), "left")
+    out = df.toDF(*place.values()).join(broadcast_if_small(own), source == F.col("_src"), "left")
     # One projection for each step: Catalyst doesn't merge them while a step is used more than once, so nothing is computed twice.
     each = [(i, n, z) for i, (n, z) in enumerate(columns.items())]
     out = out.withColumns({f"_t{i}": F.regexp_replace(F.col(place[n]), rf"^{_BLANK}|{_BLANK}$", "") for i, n, _ in each})

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "barloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -50,3 +51,9 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = 10_000) -> DataFrame:
+    """df with a broadcast hint if it has at most most_rows rows, counted up to that bound; else df as it is, for a shuffled join
+    (whose skewed keys AQE splits). For lookup tables of few narrow columns."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
