@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from barloom.functions.numeric import is_finite, norm_ppf, safe_float
 from barloom.operators import audit, features, joins, metrics, robustness, simulate, splits
 from barloom.operators import windows as W
-from barloom.sources import bars
+from barloom.sources import bars, timecols
 from barloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -109,10 +109,9 @@ def ref_bars_daily(s: SparkSession, d: str) -> DataFrame:
 @query("""SELECT event_type, min(epoch_ms(ts)) // 1000 AS first_s, CAST('ms' AS VARCHAR) AS unit FROM events WHERE ts IS NOT NULL GROUP BY 1""")
 def ref_t2_epoch_unit(s: SparkSession, d: str) -> DataFrame:
     """Epoch numbers whose unit follows from their median."""
-    x = table(s, d, "events").where(F.col("ts").isNotNull()).select("event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("v"))
-    m = x.agg(F.percentile_approx("v", 0.5)).first()[0] or 0
-    unit, div = ("ns", 10**9) if m > 1e14 * 10 else ("us", 10**6) if m > 1e14 else ("ms", 1000) if m > 1e11 else ("s", 1)
-    return x.groupBy("event_type").agg(F.expr(f"min(v) div {div}").alias("first_s"), F.lit(unit).alias("unit"))
+    x = table(s, d, "events").where(F.col("ts").isNotNull()).select("event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("fundingTime"))
+    unit = timecols.epoch_unit(x.agg(F.percentile_approx(F.col("fundingTime").cast("double"), 0.5)).first()[0])
+    return timecols.with_timestamp(x).groupBy("event_type").agg(F.min(F.unix_seconds("timestamp")).alias("first_s"), F.lit(unit).alias("unit"))
 
 
 @query("""SELECT CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, strftime(min(o_orderdate), '%Y-%m-%dT%H:%M:%SZ') AS first_iso, count(*) AS n FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1, 2""")
@@ -781,3 +780,29 @@ def ref_t3_t7_epoch_ms(s: SparkSession, d: str) -> DataFrame:
 def ref_f4_strings(s: SparkSession, d: str) -> DataFrame:
     """Trimmed, lower-case and pattern-matched texts."""
     return table(s, d, "features").groupBy("source").agg(F.sum(F.lower(F.trim("source")).rlike("^btc").cast("bigint")).alias("n_btc"), F.max("symbol").isNotNull().alias("has_symbol"))
+
+
+@query()
+def ref_r12_fold_policy(s: SparkSession, d: str) -> DataFrame:
+    """Folds and policies as group keys: the test metrics of each, and their summary over instruments."""
+    b = bars.daily_bars(s, d)
+    n = b.groupBy("instrument").count().agg(F.min("count")).first()[0] or 0
+    test = splits.walk_forward(b, n).where(F.col("split") == "test").drop("rn", "n")
+    t = simulate.ledger(simulate.actions(test, ("long", "short", "random")), keys=("instrument", "policy", "fold"))
+    m = metrics.equity_metrics(t, ("instrument", "policy", "fold"), DAY_FREQ)
+    return rounded(m.groupBy("fold", "policy").agg(F.count("*").alias("n"), F.avg("sharpe").alias("mean"), F.stddev_pop("sharpe").alias("std"), *[F.percentile("sharpe", F.lit(q)).alias(f"p{round(q * 100)}") for q in (0.1, 0.5, 0.9)], F.max("max_dd").alias("worst_dd")), 5)
+
+
+@query(f"""WITH {PANEL}, {_LEDGER}, x AS (SELECT instrument, policy, m AS multiplier, exp(sum(pnl_net - (m - 1) * cost)) - 1 AS c FROM led, (VALUES (0.0), (1.0), (2.0), (4.0)) t(m) GROUP BY 1, 2, 3)
+SELECT CAST(multiplier AS DOUBLE) AS multiplier, {_r('quantile_cont(c, 0.5) AS median;quantile_cont(c, 0.1) AS p10;quantile_cont(c, 0.9) AS p90')} FROM x GROUP BY 1""")
+def ref_a4_cost_summary(s: SparkSession, d: str) -> DataFrame:
+    """Median and tails of the returns at each multiple of the costs."""
+    c = robustness.cost_sensitivity(_trace(s, d), _KEYS, (0, 1, 2, 4), FREQ)
+    return rounded(c.groupBy("multiplier").agg(*[F.percentile("cum_return", F.lit(q)).alias(k) for k, q in (("median", 0.5), ("p10", 0.1), ("p90", 0.9))]))
+
+
+@query(f"WITH {PANEL}, {_FUND}, lim AS (SELECT min(funding_s) AS lo FROM fund) SELECT instrument, count(*) AS n, min(bar_s) AS first_s FROM bars, lim WHERE bar_s >= lo GROUP BY 1")
+def ref_p13_after_first_funding(s: SparkSession, d: str) -> DataFrame:
+    """Bars from the first funding time on."""
+    lo = bars.funding_events(s, d).agg(F.min("funding_s")).first()[0]
+    return bars.panel_bars(s, d).where(F.col("bar_s") >= (lo if lo is not None else 0)).groupBy("instrument").agg(F.count("*").alias("n"), F.min("bar_s").alias("first_s"))
