@@ -36,6 +36,19 @@ def _slots(df: DataFrame, keys: Sequence[str], time_col: str, step_col: str) ->
     return own.where(F.col("_step").isNotNull()).withColumn("_slot", F.expr("(_us - pmod(_us, _step * 1000000)) div (_step * 1000000)"))
 
 
+def _chunk_of(slot: str, chunk: int) -> Column:
+    return F.expr(f"({slot} - pmod({slot}, {chunk})) div {chunk}")
+
+
+def _gap_ranges(chunk: int) -> Column:
+    """The runs (a, b) of periods that a chunk row lacks: inside it, between _lo and _hi without those in _have, and from its
+    last period to the next chunk's first, _next. A run longer than a chunk is cut, so that no row holds more than `chunk` numbers."""
+    inside = F.transform(F.array_except(F.sequence("_lo", "_hi"), "_have"), lambda x: F.struct(x.alias("a"), x.alias("b")))
+    starts = F.sequence(F.col("_hi") + 1, F.col("_next") - 1, F.lit(chunk).cast("bigint"))
+    between = F.when(F.col("_next") > F.col("_hi") + 1, F.transform(starts, lambda a: F.struct(a.alias("a"), F.least(a + chunk - 1, F.col("_next") - 1).alias("b"))))
+    return F.concat(inside, F.coalesce(between, F.array().cast("array<struct<a:bigint,b:bigint>>")))
+
+
 def missing_slots(df: DataFrame, keys: Sequence[str], time_col: str = "timestamp", step_col: str = "bar_step", chunk: int = 1024) -> DataFrame:
     """(keys..., slot_s): the start, in seconds since 1970, of each period without a reading between a series' first and last.
 
@@ -47,15 +60,9 @@ def missing_slots(df: DataFrame, keys: Sequence[str], time_col: str = "timestamp
     keys = list(keys)
     taken = _slots(df.select(*[f"`{c}`" for c in (*keys, time_col, step_col)]), keys, time_col, step_col)
     by = [*[F.col(f"`{k}`") for k in keys], F.col("_step")]
-    filled = taken.groupBy(*by, F.expr(f"(_slot - pmod(_slot, {chunk})) div {chunk}").alias("_chunk")).agg(F.collect_set("_slot").alias("_have"), F.min("_slot").alias("_lo"), F.max("_slot").alias("_hi"))
-    # Periods missing inside a chunk, and the run of missing periods from one chunk's last reading to the next chunk's first.
-    w = Window.partitionBy(*by).orderBy("_chunk")
-    gaps = filled.withColumn("_next", F.lead("_lo").over(w))
-    inside = F.transform(F.array_except(F.sequence("_lo", "_hi"), "_have"), lambda x: F.struct(x.alias("a"), x.alias("b")))
-    # A run longer than a chunk is cut before it is written out, so that no row holds more than `chunk` numbers.
-    starts = F.sequence(F.col("_hi") + 1, F.col("_next") - 1, F.lit(chunk).cast("bigint"))
-    between = F.when(F.col("_next") > F.col("_hi") + 1, F.transform(starts, lambda a: F.struct(a.alias("a"), F.least(a + chunk - 1, F.col("_next") - 1).alias("b"))))
-    ranges = gaps.select(*by, F.explode(F.concat(inside, F.coalesce(between, F.array().cast("array<struct<a:bigint,b:bigint>>")))).alias("_r"))
+    filled = taken.groupBy(*by, _chunk_of("_slot", chunk).alias("_chunk")).agg(F.collect_set("_slot").alias("_have"), F.min("_slot").alias("_lo"), F.max("_slot").alias("_hi"))
+    gaps = filled.withColumn("_next", F.lead("_lo").over(Window.partitionBy(*by).orderBy("_chunk")))
+    ranges = gaps.select(*by, F.explode(_gap_ranges(chunk)).alias("_r"))
     return ranges.select(*by, F.explode(F.sequence("_r.a", "_r.b")).alias("slot")).select(*[F.col(f"`{k}`") for k in keys], (F.col("slot") * F.col("_step")).alias("slot_s"))
 
 
@@ -73,17 +80,17 @@ def grid_series(df: DataFrame, keys: Sequence[str], values: Sequence[str], time_
     """
     keys = list(keys)
     source = df.select(*[f"`{c}`" for c in dict.fromkeys((*keys, time_col, step_col, *values, *([id_col] if id_col else [])))])
-    s = _slots(source, keys, time_col, step_col)
-    by = [*[F.col(f"`{k}`") for k in keys], F.col("_step")]
+    s = _slots(source, keys, time_col, step_col).withColumn("_chunk", _chunk_of("_slot", chunk))
     names = [*[f"`{k}`" for k in keys], "_step"]
+    by = [F.col(n) for n in names]
     clean = {c: F.when(F.isnan(F.col(f"`_v_{c}`").cast("double")), None).otherwise(F.col(f"`_v_{c}`").cast("double")) for c in values}
     order = F.struct(*([F.col(f"`_v_{id_col}`")] if id_col else [clean[c] for c in values]))
-    # Readings at one time become one.
-    r = s.groupBy(*by, "_us").agg(F.count("*").alias("_n"), *[F.max_by(clean[c], F.when(clean[c].isNotNull(), order)).alias(f"_x_{i}") for i, c in enumerate(values)])
-    r = r.withColumn("_slot", F.expr("(_us - pmod(_us, _step * 1000000)) div (_step * 1000000)")).withColumn("_chunk", F.expr(f"(_slot - pmod(_slot, {chunk})) div {chunk}"))
+    # Readings at one time become one. One exchange by chunk serves this, the order inside chunks and the join of their heads.
+    r = s.repartition(*by, F.col("_chunk")).groupBy(*by, "_chunk", "_us").agg(F.count("*").alias("_n"), *[F.max_by(clean[c], F.when(clean[c].isNotNull(), order)).alias(f"_x_{i}") for i, c in enumerate(values)])
+    r = r.withColumn("_slot", F.expr("(_us - pmod(_us, _step * 1000000)) div (_step * 1000000)"))
     # The next reading: inside a chunk from a window over the chunk, for its last reading from the next chunk's first.
-    w = Window.partitionBy(*names, "_chunk").orderBy("_us")
     cells = ["_us", *[f"_x_{i}" for i in range(len(values))]]
+    w = Window.partitionBy(*names, "_chunk").orderBy("_us")
     heads = r.groupBy(*by, "_chunk").agg(F.min_by(F.struct(*cells), "_us").alias("_head"))
     heads = heads.withColumn("_after", F.lead("_head").over(Window.partitionBy(*names).orderBy("_chunk"))).select(*names, "_chunk", "_after")
     r = r.withColumn("_in", F.lead(F.struct(*cells)).over(w)).join(heads, [*keys, "_step", "_chunk"], "left").withColumn("_next", F.coalesce("_in", "_after"))
@@ -96,16 +103,24 @@ def grid_series(df: DataFrame, keys: Sequence[str], values: Sequence[str], time_
     parts = parts.withColumn("_o", overlap)
     span = F.col("_next._us") - F.col("_us")
     aggs = []
-    for i, c in enumerate(values):
+    for i in range(len(values)):
         x, nxt = F.col(f"_x_{i}"), F.col(f"_next._x_{i}")
         if kind == "gauge":
             # The counter is the integral of the held value: its increment over the overlap is value x overlap.
-            aggs.append(F.try_divide(F.sum(F.when(x.isNotNull(), x * F.col("_o"))), F.sum(F.when(x.isNotNull(), F.col("_o")))).alias(c))
+            aggs.append(F.try_divide(F.sum(F.when(x.isNotNull(), x * F.col("_o"))), F.sum(F.when(x.isNotNull(), F.col("_o")))).alias(f"_y_{i}"))
         else:
-            aggs.append(F.sum(F.when(x.isNotNull() & nxt.isNotNull(), F.when(nxt >= x, nxt - x).otherwise(nxt) * F.try_divide(F.col("_o"), span))).alias(c))
-    covered = parts.groupBy(*by, "slot").agg(F.sum(F.when(F.col("slot") == F.col("_slot"), F.col("_n")).otherwise(0)).alias("n_readings"), (F.sum("_o") / 1_000_000).alias("covered_s"), *aggs)
-    held = covered.select(*[F.col(f"`{k}`") for k in keys], (F.col("slot") * F.col("_step")).alias("slot_s"), "n_readings", "covered_s", F.when(F.col("n_readings") > 0, "read").otherwise("filled").alias("state"), *[f"`{c}`" for c in values])
-    gaps = missing_slots(df, keys, time_col, step_col, chunk)
-    # Periods of a gap that an interval covers are filled; the rest are marked.
-    marks = gaps.join(held.where(F.col("state") == "filled").select(*[f"`{k}`" for k in keys], "slot_s"), [*keys, "slot_s"], "left_anti")
-    return held.unionByName(marks.withColumns({"n_readings": F.lit(0).cast("bigint"), "covered_s": F.lit(0.0), "state": F.lit("missing")}), allowMissingColumns=True)
+            aggs.append(F.sum(F.when(x.isNotNull() & nxt.isNotNull(), F.when(nxt >= x, nxt - x).otherwise(nxt) * F.try_divide(F.col("_o"), span))).alias(f"_y_{i}"))
+    covered = parts.groupBy(*by, "slot").agg(F.sum(F.when(F.col("slot") == F.col("_slot"), F.col("_n")).otherwise(0)).alias("_n"), (F.sum("_o") / 1_000_000).alias("_c"), *aggs)
+    # The periods between those that a reading or an interval covers are marked, chunk by chunk.
+    cell = F.struct("slot", "_n", "_c", *[f"_y_{i}" for i in range(len(values))])
+    kept = covered.groupBy(*by, _chunk_of("slot", chunk).alias("_chunk")).agg(F.collect_list(cell).alias("_cells"), F.min("slot").alias("_lo"), F.max("slot").alias("_hi"))
+    kept = kept.withColumns({"_have": F.transform("_cells", lambda x: x["slot"]), "_next": F.lead("_lo").over(Window.partitionBy(*names).orderBy("_chunk"))})
+    none = F.lit(None).cast(kept.schema["_cells"].dataType.elementType)
+    known = F.transform("_cells", lambda x: F.struct(x["slot"].alias("a"), x["slot"].alias("b"), x.alias("cell")))
+    marks = F.transform(_gap_ranges(chunk), lambda g: F.struct(g["a"].alias("a"), g["b"].alias("b"), none.alias("cell")))
+    rows = kept.select(*by, F.explode(F.concat(known, marks)).alias("_e")).select(*by, F.explode(F.sequence("_e.a", "_e.b")).alias("slot"), F.col("_e.cell").alias("_e"))
+    state = F.when(F.col("_e").isNull(), "missing").when(F.col("_e._n") > 0, "read").otherwise("filled")
+    return rows.select(
+        *[F.col(f"`{k}`") for k in keys], (F.col("slot") * F.col("_step")).alias("slot_s"), F.coalesce("_e._n", F.lit(0)).cast("bigint").alias("n_readings"), F.coalesce("_e._c", F.lit(0.0)).alias("covered_s"), state.alias("state"),
+        *[F.col(f"_e._y_{i}").alias(c) for i, c in enumerate(values)],
+    )

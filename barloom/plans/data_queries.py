@@ -61,8 +61,8 @@ def p5_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Periods without a reading between a series' first and last."""
-    return gridding.missing_slots(table(spark, d, "rl_observation_pack"), ["pack_id", "segment"])
+    """Periods of the regular series without a reading, be they filled or marked as missing."""
+    return p7_series(spark, d).where("n_readings = 0").select("pack_id", "segment", "slot_s")
 
 
 def p7_series(spark: SparkSession, d: str) -> DataFrame:
