@@ -74,7 +74,7 @@ feat AS (SELECT instrument, bar_s, open, high, low, close, volume, log_ret_1, lo
 
 
 def _r(cols: str, digits: int = 6) -> str:
-    return ", ".join(f"round({c.split(' AS ')[0].strip()}, {digits}) + 0.0 AS {c.split(' AS ')[-1].strip()}" for c in cols.split(";"))
+    return ", ".join(f"round({c.rsplit(' AS ', 1)[0].strip()}, {digits}) + 0.0 AS {c.rsplit(' AS ', 1)[-1].strip()}" for c in cols.split(";"))
 
 
 # --- sources and contracts -----------------------------------------------------------------------------------------------
@@ -246,13 +246,15 @@ def ref_j5_unmatched(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {PANEL}, {_PACK}, {_FUND}, f AS (SELECT b.instrument, b.bar_s, b.close, f.funding_rate FROM bars b ASOF LEFT JOIN fund f ON b.instrument = f.instrument AND b.bar_s >= f.funding_s)
-SELECT f.instrument, f.bar_s, {_r('f.close AS close;f.funding_rate / 8 AS funding_1h;p.p_max AS p_max_filter', 8)} FROM f JOIN pack p ON f.instrument = p.instrument AND f.bar_s = p.bar_s JOIN (SELECT DISTINCT bar_s FROM bars WHERE instrument = 'click') m ON f.bar_s = m.bar_s WHERE f.funding_rate IS NOT NULL""")
+SELECT f.instrument, f.bar_s, {_r('f.close AS close;p.p_max AS p_max_filter', 8)}, round(f.funding_rate / 8, 14) + 0.0 AS funding_1h FROM f JOIN pack p ON f.instrument = p.instrument AND f.bar_s = p.bar_s JOIN (SELECT DISTINCT bar_s FROM bars WHERE instrument = 'click') m ON f.bar_s = m.bar_s WHERE f.funding_rate IS NOT NULL""")
 def ref_j7_dataset_chain(s: SparkSession, d: str) -> DataFrame:
     """The dataset build: as-of funding, then a chain of inner joins on exact time, incomplete rows dropped."""
     b = bars.panel_bars(s, d)
     grid = b.where(F.col("instrument") == "click").select("bar_s").distinct()
     x = joins.attach_funding(b, bars.funding_events(s, d)).join(features.regime_pack(b), ["instrument", "bar_s"]).join(grid, "bar_s")
-    return rounded(x.where(F.col("funding_rate_1h_scaled").isNotNull()).select("instrument", "bar_s", "close", F.col("funding_rate_1h_scaled").alias("funding_1h"), "p_max_filter"), 8)
+    x = x.where(F.col("funding_rate_1h_scaled").isNotNull()).withColumn("_f", F.col("funding_rate_1h_scaled"))
+    # A rate of few decimals may lie on a rounding boundary, so it keeps more of them.
+    return x.select("instrument", "bar_s", *[(F.round(c, n) + 0.0).alias(a) for c, n, a in (("close", 8, "close"), ("p_max_filter", 8, "p_max_filter"), ("_f", 14, "funding_1h"))])
 
 
 # --- splits --------------------------------------------------------------------------------------------------------------
@@ -331,7 +333,7 @@ def ref_m4_funding(s: SparkSession, d: str) -> DataFrame:
     return t.groupBy(*_KEYS).agg((F.round(F.sum("funding_cost"), 8) + 0.0).alias("funding"), (F.round(F.max_by("equity", "bar_s"), 6) + 0.0).alias("equity"))
 
 
-@query(f"WITH {PANEL}, {FEATURES_SQL} SELECT instrument, bar_s, round(CASE WHEN vol_roll > 0 THEN greatest(0, least(1, 0.5 / (vol_roll * sqrt(2190.0)))) ELSE 1 END, 6) + 0.0 AS bench_pos, CASE WHEN ma_ratio > 1 AND rsi >= 50 THEN 1.0 WHEN ma_ratio < 1 AND rsi <= 50 THEN -1.0 ELSE 0.0 END AS naive_pos FROM feat")
+@query(f"WITH {PANEL}, {FEATURES_SQL} SELECT instrument, bar_s, round(CASE WHEN vol_roll > 0 THEN greatest(0, least(1, 0.5 / (vol_roll * sqrt(2190.0)))) ELSE 1 END, 6) + 0.0 AS bench_pos, CAST(CASE WHEN ma_ratio > 1 AND rsi >= 50 THEN 1 WHEN ma_ratio < 1 AND rsi <= 50 THEN -1 ELSE 0 END AS DOUBLE) AS naive_pos FROM feat")
 def ref_m7_m13_rule_positions(s: SparkSession, d: str) -> DataFrame:
     """Volatility-target benchmark and the naive rule."""
     f = features.bar_features(bars.panel_bars(s, d))
@@ -361,7 +363,7 @@ def ref_m15_policy_hook(s: SparkSession, d: str) -> DataFrame:
     return rounded(simulate.rollout(f, lambda o: (1.0 if o["rsi"] >= 50 else -1.0) * (0.5 if o["drawdown"] > 0.2 else 1.0), ("rsi",)))
 
 
-@query(f"""WITH {PANEL}, s0 AS (SELECT instrument, ln(lead(close) OVER ({W_SQL}) / close) AS r FROM bars) SELECT instrument, 0.0 AS mirror_error FROM s0 WHERE r IS NOT NULL GROUP BY 1""")
+@query(f"""WITH {PANEL}, s0 AS (SELECT instrument, ln(lead(close) OVER ({W_SQL}) / close) AS r FROM bars) SELECT instrument, CAST(0 AS DOUBLE) AS mirror_error FROM s0 WHERE r IS NOT NULL GROUP BY 1""")
 def ref_m16_identities(s: SparkSession, d: str) -> DataFrame:
     """Without frictions, the equities of long and short multiply to one."""
     t = simulate.ledger(simulate.actions(bars.panel_bars(s, d), ("long", "short")), simulate.SimRules(0.0, 0.0, ruin=-1.0)).select("instrument", "bar_s", "policy", "equity")
@@ -440,7 +442,7 @@ def ref_e16_trade_stats(s: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.trade_stats(metrics.trades(_trace(s, d), _KEYS), _KEYS), 5)
 
 
-@query(f"""WITH {PANEL}, {_LEDGER} SELECT instrument, policy, {_r('avg(CASE WHEN pos > 0.001 THEN 1.0 ELSE 0.0 END) AS pct_long;avg(CASE WHEN pos < -0.001 THEN 1.0 ELSE 0.0 END) AS pct_short;avg(CASE WHEN abs(pos) <= 0.001 THEN 1.0 ELSE 0.0 END) AS pct_flat;avg(turnover) AS turnover_mean;avg(abs(pos)) AS mean_abs_pos;sum(turnover * greatest(equity, 0)) AS notional_turnover;sum(cost) AS total_cost;0.0 AS total_funding')} FROM led GROUP BY 1, 2""")
+@query(f"""WITH {PANEL}, {_LEDGER} SELECT instrument, policy, {_r('avg(CASE WHEN pos > 0.001 THEN 1.0 ELSE 0.0 END) AS pct_long;avg(CASE WHEN pos < -0.001 THEN 1.0 ELSE 0.0 END) AS pct_short;avg(CASE WHEN abs(pos) <= 0.001 THEN 1.0 ELSE 0.0 END) AS pct_flat;avg(turnover) AS turnover_mean;avg(abs(pos)) AS mean_abs_pos;sum(turnover * greatest(equity, 0)) AS notional_turnover;sum(cost) AS total_cost;CAST(0 AS DOUBLE) AS total_funding')} FROM led GROUP BY 1, 2""")
 def ref_a8_e17_position_stats(s: SparkSession, d: str) -> DataFrame:
     """Shares of long, short and flat, turnover and costs."""
     return rounded(metrics.position_stats(_trace(s, d), _KEYS))
@@ -747,7 +749,7 @@ def ref_e18_funding_summary(s: SparkSession, d: str) -> DataFrame:
     return f.groupBy("instrument").agg(F.count("*").alias("n"), (F.round(F.avg("funding_rate"), 10) + 0.0).alias("mean_rate"), (F.round(F.sum("funding_rate"), 9) + 0.0).alias("total_rate"), F.when(F.percentile("funding_rate", F.lit(0.5)) >= 0, "longs pay").otherwise("shorts pay").alias("sign"))
 
 
-@query(f"""WITH {PANEL}, {_LEDGER} SELECT instrument, policy, bar_s, {_r('pos_prev AS o1;equity AS o2;drawdown AS o3', 4)} FROM led WHERE policy = 'random'""")
+@query(f"""WITH {PANEL}, {_LEDGER} SELECT instrument, policy, bar_s, {_r('CAST(CAST(pos_prev AS FLOAT) AS DOUBLE) AS o1;CAST(CAST(equity AS FLOAT) AS DOUBLE) AS o2;CAST(CAST(drawdown AS FLOAT) AS DOUBLE) AS o3', 4)} FROM led WHERE policy = 'random'""")
 def ref_m9_observation(s: SparkSession, d: str) -> DataFrame:
     """The observation vector's own state columns."""
     o = simulate.observations(_trace(s, d).where(F.col("policy") == "random"), ()).select("instrument", "policy", "bar_s", *[F.col("obs")[i].cast("double").alias(f"o{i + 1}") for i in range(3)])
@@ -761,7 +763,7 @@ def ref_m11_positions_to_equity(s: SparkSession, d: str) -> DataFrame:
     return rounded(t.select("instrument", "policy", "bar_s", "equity"))
 
 
-@query("""SELECT bar_step, CASE bar_step WHEN '30m' THEN 0.5 WHEN '1h' THEN 1.0 WHEN '4h' THEN 4.0 WHEN '8h' THEN 8.0 END AS hours, count(*) AS n FROM rl_observation_pack GROUP BY 1, 2""")
+@query("""SELECT bar_step, CAST(CASE bar_step WHEN '30m' THEN 0.5 WHEN '1h' THEN 1.0 WHEN '4h' THEN 4.0 WHEN '8h' THEN 8.0 END AS DOUBLE) AS hours, count(*) AS n FROM rl_observation_pack GROUP BY 1, 2""")
 def ref_t4_interval_hours(s: SparkSession, d: str) -> DataFrame:
     """Interval texts as hours."""
     from barloom.operators.gridding import step_seconds
