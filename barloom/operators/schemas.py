@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.session import as_table, cut_lineage
+from barloom.session import as_table, broadcast_if_small, cut_lineage
 
 #: Kinds of JSON values by the first word of their variant type.
 KINDS = {"BIGINT": "number", "DECIMAL": "number", "DOUBLE": "number", "FLOAT": "number", "STRING": "text", "BOOLEAN": "boolean", "OBJECT": "object", "ARRAY": "list"}
@@ -140,7 +140,7 @@ def schema_changes(df: DataFrame, payload: str = "payload") -> DataFrame:
     both = lost.join(gained, ["stream_id", "file_no"])  # as many rows for a file as its lost and gained fields make pairs
 
     # Only files that lost and gained fields need evidence from records.
-    wanted = both.select("stream_id", "file_no").distinct()
+    wanted = broadcast_if_small(both.select("stream_id", "file_no").distinct(), 100_000)  # else all cells would be shuffled
     usable = cells.where(F.col("kind").isNotNull()).withColumn("value", _same(F.col("value")))
     now = usable.join(wanted, ["stream_id", "file_no"], "left_semi")
     then = usable.withColumn("file_no", F.col("file_no") + 1).join(wanted, ["stream_id", "file_no"], "left_semi")
