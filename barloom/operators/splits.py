@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,7 +48,7 @@ class FoldRules:
 
 
 def fold_table(n: int, rules: FoldRules = FoldRules()) -> list[dict[str, int]]:
-    """Ranges of row numbers of each fold over n rows; roundings are half to even, so they are made here and not in SQL."""
+    """Ranges of row numbers of each fold over n rows; roundings are half to even."""
     span = max(rules.least_span, round((rules.train + rules.val + rules.test) * n))
     step, out = max(1, round(rules.step * n)), []
     for k in range(rules.folds):
@@ -61,17 +62,29 @@ def fold_table(n: int, rules: FoldRules = FoldRules()) -> list[dict[str, int]]:
     return out
 
 
-def walk_forward(df: DataFrame, n: int, rules: FoldRules = FoldRules(), key: str = "instrument") -> DataFrame:
-    """The rows of each fold and split. Folds are a few ranges in the plan: each row is written to the folds that hold it."""
-    folds = fold_table(n, rules)
-    if not folds:
-        return numbered(df, key).withColumns({"fold": F.lit(0), "split": F.lit("")}).limit(0)
-    hits = F.array(*[F.when((F.col("rn") >= f["start_rn"]) & (F.col("rn") < f["end_rn"]), F.struct(F.lit(f["fold"]).alias("fold"), F.lit(f["split"]).alias("split"))) for f in folds])
-    return numbered(df, key).withColumn("_hit", F.explode(F.filter(hits, lambda h: h.isNotNull()))).withColumns({"fold": F.col("_hit.fold"), "split": F.col("_hit.split")}).drop("_hit")
+def fold_ranges(n: Column, rules: FoldRules = FoldRules()) -> Column:
+    """fold_table of each value of n, an array of (fold, split, start_rn, end_rn); rint rounds half to even, as Python does."""
+    n = n.cast("double")
+    span, step = F.greatest(F.lit(float(rules.least_span)), F.rint((rules.train + rules.val + rules.test) * n)), F.greatest(F.lit(1.0), F.rint(rules.step * n))
+    a, b, c = F.rint(rules.train * span), F.rint((rules.train + rules.val) * span), F.rint(rules.test * span)
+    cut = {"train": (F.lit(0.0), a - rules.purge), "val": (a, b - rules.purge), "test": (b + rules.embargo, F.least(span, b + rules.embargo + c))}
+    long_enough = reduce(lambda x, y: x & y, [hi - lo >= least for (lo, hi), least in zip(cut.values(), rules.least)])
+    row = lambda k, s, lo, hi: F.struct(F.lit(k).alias("fold"), F.lit(s).alias("split"), (k * step + lo).cast("int").alias("start_rn"), (k * step + hi).cast("int").alias("end_rn"))
+    rows = [F.when(long_enough & (k * step + span <= n), row(k, s, lo, hi)) for k in range(rules.folds) for s, (lo, hi) in cut.items()]
+    return F.filter(F.array(*rows), lambda f: f.isNotNull())
 
 
-def fold_manifest(spark: SparkSession, n: int, rules: FoldRules = FoldRules()) -> DataFrame:
-    return spark.createDataFrame([(f["fold"], f["split"], f["start_rn"], f["end_rn"]) for f in fold_table(n, rules)], "fold int, split string, start_rn int, end_rn int")
+def walk_forward(df: DataFrame, n: int | None = None, rules: FoldRules = FoldRules(), key: str = "instrument") -> DataFrame:
+    """The rows of each fold and split: each row is written to the folds that hold it. Folds are cut over each series' own number of
+    rows, or over n rows where it is given; a series too short for a fold has none, whatever the others have."""
+    x = numbered(df, key).withColumn("_folds", fold_ranges(F.col("n") if n is None else F.lit(n), rules))
+    hits = F.filter("_folds", lambda f: (F.col("rn") >= f["start_rn"]) & (F.col("rn") < f["end_rn"]))
+    return x.withColumn("_hit", F.explode(hits)).withColumns({"fold": F.col("_hit.fold"), "split": F.col("_hit.split")}).drop("_hit", "_folds")
+
+
+def fold_manifest(df: DataFrame, rules: FoldRules = FoldRules(), key: str = "instrument") -> DataFrame:
+    """(key, fold, split, start_rn, end_rn) of each series of df."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).select(key, F.explode(fold_ranges(F.col("n"), rules)).alias("_f")).select(key, "_f.*")
 
 
 def frozen_scaling(df: DataFrame, features: list[str], key: str = "instrument", limit: float = 10.0) -> DataFrame:

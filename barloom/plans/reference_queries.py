@@ -272,15 +272,13 @@ def ref_k1_chronological_split(s: SparkSession, d: str) -> DataFrame:
 @query()
 def ref_k2_k3_walk_forward(s: SparkSession, d: str) -> DataFrame:
     """Rows of each walk-forward fold and split over daily bars, with purge and embargo."""
-    b = bars.daily_bars(s, d)
-    n = b.groupBy("instrument").count().agg(F.min("count")).first()[0] or 0
-    return splits.walk_forward(b, n).groupBy("instrument", "fold", "split").agg(F.count("*").alias("n_rows"), F.min("bar_s").alias("first_s"), F.max("bar_s").alias("last_s"))
+    return splits.walk_forward(bars.daily_bars(s, d)).groupBy("instrument", "fold", "split").agg(F.count("*").alias("n_rows"), F.min("bar_s").alias("first_s"), F.max("bar_s").alias("last_s"))
 
 
 @query()
 def ref_k4_fold_manifest(s: SparkSession, d: str) -> DataFrame:
-    b = bars.daily_bars(s, d)
-    return splits.fold_manifest(s, b.groupBy("instrument").count().agg(F.min("count")).first()[0] or 0)
+    """The row ranges of each instrument's folds, cut over its own number of bars."""
+    return splits.fold_manifest(bars.daily_bars(s, d))
 
 
 @query(f"""WITH {PANEL}, {_RN}, y AS (SELECT *, CASE WHEN rn < floor(n * 0.8) THEN 'train' WHEN rn < floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM x WHERE rn <> floor(n * 0.8) - 1 AND rn <> floor(n * 0.8) + floor(n * 0.1) - 1),
@@ -787,9 +785,7 @@ def ref_f4_strings(s: SparkSession, d: str) -> DataFrame:
 @query()
 def ref_r12_fold_policy(s: SparkSession, d: str) -> DataFrame:
     """Folds and policies as group keys: the test metrics of each, and their summary over instruments."""
-    b = bars.daily_bars(s, d)
-    n = b.groupBy("instrument").count().agg(F.min("count")).first()[0] or 0
-    test = splits.walk_forward(b, n).where(F.col("split") == "test").drop("rn", "n")
+    test = splits.walk_forward(bars.daily_bars(s, d)).where(F.col("split") == "test").drop("rn", "n")
     t = simulate.ledger(simulate.actions(test, ("long", "short", "random")), keys=("instrument", "policy", "fold"))
     m = metrics.equity_metrics(t, ("instrument", "policy", "fold"), DAY_FREQ)
     return rounded(m.groupBy("fold", "policy").agg(F.count("*").alias("n"), F.avg("sharpe").alias("mean"), F.stddev_pop("sharpe").alias("std"), *[F.percentile("sharpe", F.lit(q)).alias(f"p{round(q * 100)}") for q in (0.1, 0.5, 0.9)], F.max("max_dd").alias("worst_dd")), 5)

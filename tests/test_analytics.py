@@ -1,5 +1,6 @@
 import json
 import math
+from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions.intervals import bars_of, interval_hours
 from barloom.functions.numeric import norm_cdf, norm_ppf
 from barloom.operators import contracts, features, joins, metrics, robustness, simulate, splits
+from barloom.plans import reference_queries
 from barloom.sources import artifacts, rest
 from barloom.streaming.bars import streaming_bars
 
@@ -96,6 +98,26 @@ def test_splits(spark):
     with pytest.raises(ValueError):
         splits.explicit(frame(spark, walk(20)), {"train": (5, 5)})
 
+def test_folds_over_each_series_own_length(spark):
+    sizes = {"long": 2405, "middle": 601, "odd": 255, "short": 150}
+    df = frame(spark, pd.concat([walk(n, instrument=k) for k, n in sizes.items()]))
+    want = {(k, f["fold"], f["split"], f["start_rn"], f["end_rn"]) for k, n in sizes.items() for f in splits.fold_table(n)}
+    assert {tuple(r) for r in splits.fold_manifest(df).collect()} == want and {w[0] for w in want} == {"long", "middle", "odd"}
+    got = splits.walk_forward(df).groupBy("instrument", "fold", "split").agg(F.min("rn"), F.max("rn") + 1, F.count("*")).collect()
+    assert {tuple(r)[:5] for r in got} == want and all(r[5] == r[4] - r[3] for r in got)
+    many = spark.range(1, 6000).withColumn("f", F.explode(splits.fold_ranges(F.col("id")))).select("id", "f.*").collect()
+    assert {tuple(r) for r in many} == {(n, *f.values()) for n in range(1, 6000) for f in splits.fold_table(n)}
+
+def test_fold_queries_on_skewed_lengths(spark, tmp_path):
+    days = {"long": 600, "short": 150}
+    rows = [(k, datetime(2020, 1, 1) + timedelta(days=i), 100.0 + i % 7, i) for k, n in days.items() for i in range(n)]
+    spark.createDataFrame(rows, "o_orderpriority string, o_orderdate timestamp, o_totalprice double, o_orderkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
+    got = reference_queries.QUERIES["ref_k2_k3_walk_forward"](spark, str(tmp_path)).collect()
+    assert {r.instrument for r in got} == {"long"} and len(got) == 9
+    assert max(r.last_s for r in got) == datetime(2020, 1, 1, tzinfo=timezone.utc).timestamp() + 527 * 86_400  # 120 + 336 + 24 + 48 - 1
+    assert reference_queries.QUERIES["ref_k4_fold_manifest"](spark, str(tmp_path)).count() == 9
+    assert reference_queries.QUERIES["ref_r12_fold_policy"](spark, str(tmp_path)).count() == 9
+
 
 def test_ledger_identities(spark):
     p = walk(120)
