@@ -229,19 +229,19 @@ def _ftrl(docs: list[np.ndarray], labels: np.ndarray, rules: ContentRules) -> tu
         zb += g - (math.sqrt(nb + g * g) - math.sqrt(nb)) / rules.alpha * bias
         nb += g * g
 
-    for k in range(rules.rounds):
+    for turn in range(rules.rounds):
         for i in rng.permutation(len(docs)):
             b = docs[i]
             if not b.shape[1]:
                 continue
-            current = start[b] if k == 0 else weight(b)
+            current = start[b] if turn == 0 else weight(b)
             at, length, _ = _worst(current.sum(axis=0), rules.stretches)
             stretches = [(at, length)]
             if not labels[i]:
-                k = int(rng.choice(rules.stretches))
-                stretches.append((int(rng.integers(0, max(1, b.shape[1] - k + 1))), k))
-            for s, k in stretches:
-                own = np.unique(b[:, s : s + k])
+                words = int(rng.choice(rules.stretches))
+                stretches.append((int(rng.integers(0, max(1, b.shape[1] - words + 1))), words))
+            for s, words in stretches:
+                own = np.unique(b[:, s : s + words])
                 learn(own[own > 0], float(labels[i]))
     w = weight(np.arange(size))
     w[0] = 0.0

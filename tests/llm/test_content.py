@@ -64,3 +64,14 @@ def test_in_spark(spark):
     assert len(out) == 403 and not any(out[k].flagged for k in (9000, 9001, 9002))
     assert np.mean([out[i].flagged == bool(y) for i, y in enumerate(labels)]) > 0.95
     assert C.score_documents(docs.limit(0), C.fit(docs, marks.limit(0), rules), rules).count() == 0
+
+
+def test_first_pass_takes_stretches_by_log_odds(monkeypatch):
+    # no text shares a word with another but the three of the positive ones
+    docs = [" ".join([f"w{i}x{k}" for k in range(30)] + (["stupid", "worthless", "idiot"] if i % 3 == 0 else []) + [f"v{i}x{k}" for k in range(10)]) for i in range(90)]
+    chosen, worst = [], C._worst
+    monkeypatch.setattr(C, "_worst", lambda parts, lengths: chosen.append(worst(parts, lengths)) or chosen[-1])
+    model = C.Model(np.zeros(1 << 16), 0.0, {}, C.ContentRules(bits=16))
+    C._ftrl([model.buckets_of(t) for t in docs], np.array([float(i % 3 == 0) for i in range(90)]), C.ContentRules(bits=16, rounds=1))
+    assert len(chosen) == 90
+    assert sum(at <= 30 and at + length >= 33 and total > 0 for at, length, total in chosen) >= 30
