@@ -587,6 +587,13 @@ def ref_r3_r4_bootstrap(s: SparkSession, d: str) -> DataFrame:
     return rounded(robustness.summarize_bootstrap(robustness.bootstrap_metrics(_returns(s, d), "instrument", 100, 12, FREQ), "instrument"), 5)
 
 
+@query(f"""WITH {PANEL}, {_BOOT.format(room='n', boots=500, block=48)}, bm AS (SELECT ix.instrument, boot, avg(r) / (stddev_pop(r) + 1e-12) * sqrt(2190.0) AS sharpe, exp(sum(r)) - 1 AS cum_return FROM ix JOIN ret ON ix.instrument = ret.instrument AND ix.rn = ret.rn GROUP BY 1, 2)
+SELECT instrument, {_r('quantile_cont(sharpe, 0.05) AS sharpe_lo;quantile_cont(sharpe, 0.5) AS sharpe_median;quantile_cont(sharpe, 0.95) AS sharpe_hi;quantile_cont(cum_return, 0.05) AS cum_return_lo;quantile_cont(cum_return, 0.5) AS cum_return_median;quantile_cont(cum_return, 0.95) AS cum_return_hi', 5)} FROM bm GROUP BY 1""")
+def ref_r3_r4_bootstrap_500x48(s: SparkSession, d: str) -> DataFrame:
+    """Block-bootstrap confidence limits at the survey's size, 500 draws of blocks of 48."""
+    return rounded(robustness.summarize_bootstrap(robustness.bootstrap_metrics(_returns(s, d), "instrument", 500, 48, FREQ), "instrument"), 5)
+
+
 @query(f"""WITH {PANEL}, {_BOOT.format(room='greatest(1, n - 12 + 1)', boots=200, block=12)}, bm AS (SELECT ix.instrument, boot, avg(r) - any_value(mu) AS d FROM ix JOIN ret ON ix.instrument = ret.instrument AND ix.rn = ret.rn JOIN sz ON ix.instrument = sz.instrument GROUP BY 1, 2),
 tp AS (SELECT boot, max(d) AS top FROM bm GROUP BY 1), ob AS (SELECT max(mu) AS o FROM sz) SELECT round(any_value(o), 8) + 0.0 AS observed, round((count(*) FILTER (WHERE top >= o) + 1) / (count(*) + 1), 6) + 0.0 AS p_value FROM tp, ob""")
 def ref_r8_r9_reality_check(s: SparkSession, d: str) -> DataFrame:
@@ -595,6 +602,14 @@ def ref_r8_r9_reality_check(s: SparkSession, d: str) -> DataFrame:
     return x.select((F.round("observed", 8) + 0.0).alias("observed"), (F.round("p_value", 6) + 0.0).alias("p_value"))
 
 
+@query(f"""WITH {PANEL}, {_BOOT.format(room='greatest(1, n - 48 + 1)', boots=2000, block=48)}, bm AS (SELECT ix.instrument, boot, avg(r) - any_value(mu) AS d FROM ix JOIN ret ON ix.instrument = ret.instrument AND ix.rn = ret.rn JOIN sz ON ix.instrument = sz.instrument GROUP BY 1, 2),
+tp AS (SELECT boot, max(d) AS top FROM bm GROUP BY 1), ob AS (SELECT max(mu) AS o FROM sz) SELECT round(any_value(o), 8) + 0.0 AS observed, round((count(*) FILTER (WHERE top >= o) + 1) / (count(*) + 1), 6) + 0.0 AS p_value FROM tp, ob""")
+def ref_r9_reality_check_2000x48(s: SparkSession, d: str) -> DataFrame:
+    """The best instrument's mean return against chance at the survey's size, 2 000 draws of blocks of 48."""
+    x = robustness.reality_check(_returns(s, d), "instrument", 2000, 48)
+    return x.select((F.round("observed", 8) + 0.0).alias("observed"), (F.round("p_value", 6) + 0.0).alias("p_value"))
+
+
 @query(f"""WITH {PANEL}, x0 AS (SELECT instrument, bar_s, ln(close / lag(close) OVER ({W_SQL})) AS lr FROM bars), x1 AS (SELECT *, {_roll('avg', 'lr', 20)} AS m0, {_roll('stddev_samp', 'lr', 20)} AS s0, count(*) OVER (PARTITION BY instrument) AS n FROM x0),
 x2 AS (SELECT *, first(m0 IGNORE NULLS) OVER ({W_SQL} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m, first(s0 IGNORE NULLS) OVER ({W_SQL} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sd FROM x1),
 md AS (SELECT instrument, quantile_cont(sd, 0.5) AS mid FROM x2 GROUP BY 1)

@@ -165,6 +165,10 @@ def test_bootstrap_rows(spark):
     starts = flat[flat.step % 7 == 0].rn
     assert (starts <= 43).all()
 
+def test_reality_check_of_2000_draws(spark, data):
+    p = reference_queries.QUERIES["ref_r9_reality_check_2000x48"](spark, data).first().p_value
+    assert 0 < p <= 1 and abs(p * 2001 - round(p * 2001)) < 2e-3
+
 
 def test_scalars():
     assert abs(norm_cdf(1.96) - 0.975) < 1e-4 and abs(norm_ppf(0.975) - 1.959964) < 1e-5
