@@ -64,10 +64,11 @@ def trim_to_support(df: DataFrame, other: DataFrame, at: str, other_at: str | No
     return df.where(F.col(at).between(span["lo"], span["hi"])) if span["lo"] is not None else df.limit(0)
 
 
-def merge_regime(bars: DataFrame, pack: DataFrame, strict: bool = True, how: str = "inner") -> DataFrame:
-    """Bars with their regime columns: trimmed to the pack's range, joined on exact time; strict raises on bars without a row."""
+def merge_regime(bars: DataFrame, pack: DataFrame, strict: bool = True, how: str = "inner", one_to_one: bool = True) -> DataFrame:
+    """Bars with their regime columns: trimmed to the pack's range, joined on exact time; one_to_one raises on repeated keys, strict
+    on bars without a row."""
     trimmed = trim_to_support(bars, pack, "bar_s")
-    out = exact_join(trimmed, pack, ["instrument", "bar_s"], how, one_to_one=strict)
+    out = exact_join(trimmed, pack, ["instrument", "bar_s"], how, one_to_one)
     if strict and (n := unmatched(trimmed, pack, ["instrument", "bar_s"]).count()):
         raise ValueError(f"{n} bars without a regime row")
     return out

@@ -233,7 +233,7 @@ def ref_j1_j2_asof_funding(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {PANEL}, {_PACK} SELECT b.instrument, b.bar_s, round(b.close, 6) + 0.0 AS close, round(p.p_max, 6) + 0.0 AS p_max_filter FROM bars b JOIN pack p ON b.instrument = p.instrument AND b.bar_s = p.bar_s")
 def ref_j3_j6_regime_merge(s: SparkSession, d: str) -> DataFrame:
-    """Bars joined with the regime row of exactly their time, keys checked to be unique."""
+    """Bars joined with the regime row of exactly their time, keys checked to be unique; an instrument's first bars have none."""
     b = bars.panel_bars(s, d)
     return rounded(joins.merge_regime(b, features.regime_pack(b), strict=False).select("instrument", "bar_s", "close", "p_max_filter"))
 

@@ -84,6 +84,14 @@ def test_exact_join_checks_keys(spark):
         joins.merge_regime(b, b.where("bar_s <> 14400").select("instrument", "bar_s", F.lit(0.5).alias("p_filter_0")))
 
 
+def test_regime_merge_checks_keys_without_strict(spark):
+    b = frame(spark, walk(5))
+    pack = b.select("instrument", "bar_s", F.lit(0.5).alias("p_filter_0"))
+    with pytest.raises(ValueError):
+        joins.merge_regime(b, pack.union(pack), strict=False)
+    assert joins.merge_regime(b, pack.where("bar_s <> 14400"), strict=False).count() == 4
+
+
 def test_splits(spark):
     x = splits.chronological(frame(spark, walk(101)))
     n = {r.split: r["count"] for r in x.groupBy("split").count().collect()}
