@@ -4,8 +4,8 @@ Readings are cumulative counters, or gauges turned into one (the running integra
 differenced, a fall marks a reset, each increment is spread over the grid cells it overlaps in proportion to the overlap, and
 cells that no interval covers are marked.
 
-No window runs over a whole series: a series is cut into chunks of cells, each chunk is one bounded group, and only one summary
-row for each chunk crosses chunk borders. A series that holds a third of all rows is thus as parallel as many small ones.
+No window runs over a whole series: readings are ordered within one cell, cells within chunks, and only one summary row for each
+chunk crosses chunk borders. A series that holds a third of all rows is thus as parallel as many small ones.
 """
 
 from __future__ import annotations
@@ -40,87 +40,108 @@ def _chunk_of(slot: str, chunk: int) -> Column:
     return F.expr(f"({slot} - pmod({slot}, {chunk})) div {chunk}")
 
 
-def _gap_ranges(chunk: int) -> Column:
-    """The runs (a, b) of periods that a chunk row lacks: inside it, between _lo and _hi without those in _have, and from its
-    last period to the next chunk's first, _next. A run longer than a chunk is cut, so that no row holds more than `chunk` numbers."""
-    inside = F.transform(F.array_except(F.sequence("_lo", "_hi"), "_have"), lambda x: F.struct(x.alias("a"), x.alias("b")))
-    starts = F.sequence(F.col("_hi") + 1, F.col("_next") - 1, F.lit(chunk).cast("bigint"))
-    between = F.when(F.col("_next") > F.col("_hi") + 1, F.transform(starts, lambda a: F.struct(a.alias("a"), F.least(a + chunk - 1, F.col("_next") - 1).alias("b"))))
-    return F.concat(inside, F.coalesce(between, F.array().cast("array<struct<a:bigint,b:bigint>>")))
+def _following(struct: Column, by: Window) -> Column:
+    """The next value that isn't null after a row; by: a window in falling order."""
+    return F.last(struct, True).over(by.rowsBetween(Window.unboundedPreceding, -1))
 
 
-def missing_slots(df: DataFrame, keys: Sequence[str], time_col: str = "timestamp", step_col: str = "bar_step", chunk: int = 1024) -> DataFrame:
-    """(keys..., slot_s): the start, in seconds since 1970, of each period without a reading between a series' first and last.
+def _preceding(struct: Column, by: Window) -> Column:
+    """The last value that isn't null before a row; by: a window in rising order."""
+    return F.last(struct, True).over(by.rowsBetween(Window.unboundedPreceding, -1))
 
-    Periods are as long as the series' step, counted from 1970-01-01 UTC, and hold their start but not their end. Rows with a
-    null key or time, or a step that isn't an interval, belong to no series; a key with several steps is one series for each.
-    Repeated readings count once; an empty table or a series of one period gives no row. Other columns are ignored.
-    Occupied periods are collected as a set of at most `chunk` numbers for each chunk, never for a whole series.
-    """
-    keys = list(keys)
-    taken = _slots(df.select(*[f"`{c}`" for c in (*keys, time_col, step_col)]), keys, time_col, step_col)
-    by = [*[F.col(f"`{k}`") for k in keys], F.col("_step")]
-    filled = taken.groupBy(*by, _chunk_of("_slot", chunk).alias("_chunk")).agg(F.collect_set("_slot").alias("_have"), F.min("_slot").alias("_lo"), F.max("_slot").alias("_hi"))
-    gaps = filled.withColumn("_next", F.lead("_lo").over(Window.partitionBy(*by).orderBy("_chunk")))
-    ranges = gaps.select(*by, F.explode(_gap_ranges(chunk)).alias("_r"))
-    return ranges.select(*by, F.explode(F.sequence("_r.a", "_r.b")).alias("slot")).select(*[F.col(f"`{k}`") for k in keys], (F.col("slot") * F.col("_step")).alias("slot_s"))
+
+def _beyond(df: DataFrame, keys: list[str], chunk: str, at: str, readings: Sequence[str]) -> DataFrame:
+    """df, whose rows hold the first (`_f_*`) and last (`_l_*`) reading of a period, with `_p_*` and `_q_*`: the last reading before
+    the period and the first after it. Windows run over chunks of periods; one row for each chunk tells its neighbours what they
+    need."""
+    up, down = Window.partitionBy(*keys, chunk).orderBy(at), Window.partitionBy(*keys, chunk).orderBy(F.col(at).desc())
+    x = df.withColumns({f"_p_{r}": _preceding(F.col(f"_l_{r}"), up) for r in readings} | {f"_q_{r}": _following(F.col(f"_f_{r}"), down) for r in readings})
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(at)))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(at)))
+    ends = df.groupBy(*keys, chunk).agg(*[first(f"_f_{r}").alias(f"_h_{r}") for r in readings], *[last(f"_l_{r}").alias(f"_t_{r}") for r in readings])
+    up, down = Window.partitionBy(*keys).orderBy(chunk), Window.partitionBy(*keys).orderBy(F.col(chunk).desc())
+    ends = ends.select(*keys, chunk, *[_preceding(F.col(f"_t_{r}"), up).alias(f"_pp_{r}") for r in readings], *[_following(F.col(f"_h_{r}"), down).alias(f"_qq_{r}") for r in readings])
+    x = x.join(ends, [*keys, chunk])
+    return x.withColumns({f"_p_{r}": F.coalesce(f"_p_{r}", f"_pp_{r}") for r in readings} | {f"_q_{r}": F.coalesce(f"_q_{r}", f"_qq_{r}") for r in readings}).drop(*[f"{p}_{r}" for p in ("_pp", "_qq") for r in readings])
 
 
 def grid_series(df: DataFrame, keys: Sequence[str], values: Sequence[str], time_col: str = "timestamp", step_col: str = "bar_step", id_col: str | None = None, kind: str = "gauge", longest_gap: float = 2.0, chunk: int = 1024) -> DataFrame:
     """One row for each period of a series from its first to its last reading.
 
     Columns: keys, slot_s, n_readings, covered_s (seconds of the period that lie between two readings at most `longest_gap`
-    steps apart), state (`read`: has a reading; `filled`: has none but is covered; `missing`: has none and isn't covered), and
-    for each value `<value>`: for kind `gauge` the time-weighted mean over the covered part, the last reading being held until
-    the next one; for kind `counter` the increment that falls into the period. Null where nothing is covered. A counter that
-    falls was reset: its new value is the increment since the reset.
-
-    Rows with a null key or time belong nowhere. A null or NaN value is no reading of that value. Of readings at one time the
-    one with the greatest id_col (or value) counts. An empty table gives an empty result.
+    steps apart), state (`read`: has a reading; `filled`: has none but is covered in part; `missing`: has none and isn't covered),
+    and for each value `<value>`. For kind `gauge` that is the time-weighted mean over the part of the period that lies between
+    readings at most longest_gap steps apart, the last reading being held until the next one; null where there is no such part.
+    For kind `counter` it is the increment that falls into the period: a rise from a reading to the next, or, where the counter
+    fell and so was reset, its new value, is spread over all periods between both in proportion to the overlap. No increment is
+    lost: those of long gaps are spread as well, into periods marked `missing`; the sum over all periods is that of all increments.
+
+    Every period but those with readings comes from the difference of two consecutive readings, over whose interval it lies.
+    Rows with a null key or time, or without a step, belong nowhere. A null or NaN value is no reading of that value, so its
+    neighbours follow each other. Of readings at one time the one with the greatest id_col (or value) counts. An empty table
+    gives an empty result. Readings are ordered within one period of one series, periods within chunks.
     """
     keys = list(keys)
     source = df.select(*[f"`{c}`" for c in dict.fromkeys((*keys, time_col, step_col, *values, *([id_col] if id_col else [])))])
-    s = _slots(source, keys, time_col, step_col).withColumn("_chunk", _chunk_of("_slot", chunk))
-    names = [*[f"`{k}`" for k in keys], "_step"]
-    by = [F.col(n) for n in names]
+    s = _slots(source, keys, time_col, step_col)
+    # Columns of the steps can't meet the keys' names, which go by their place until the end.
+    names = [f"_k{i}" for i in range(len(keys))] + ["_step"]
+    s = s.withColumnsRenamed(dict(zip(keys, names)))
     clean = {c: F.when(F.isnan(F.col(f"`_v_{c}`").cast("double")), None).otherwise(F.col(f"`_v_{c}`").cast("double")) for c in values}
-    order = F.struct(*([F.col(f"`_v_{id_col}`")] if id_col else [clean[c] for c in values]))
-    # Readings at one time become one. One exchange by chunk serves this, the order inside chunks and the join of their heads.
-    r = s.repartition(*by, F.col("_chunk")).groupBy(*by, "_chunk", "_us").agg(F.count("*").alias("_n"), *[F.max_by(clean[c], F.when(clean[c].isNotNull(), order)).alias(f"_x_{i}") for i, c in enumerate(values)])
-    r = r.withColumn("_slot", F.expr("(_us - pmod(_us, _step * 1000000)) div (_step * 1000000)"))
-    # The next reading: inside a chunk from a window over the chunk, for its last reading from the next chunk's first.
-    cells = ["_us", *[f"_x_{i}" for i in range(len(values))]]
-    w = Window.partitionBy(*names, "_chunk").orderBy("_us")
-    heads = r.groupBy(*by, "_chunk").agg(F.min_by(F.struct(*cells), "_us").alias("_head"))
-    heads = heads.withColumn("_after", F.lead("_head").over(Window.partitionBy(*names).orderBy("_chunk"))).select(*names, "_chunk", "_after")
-    r = r.withColumn("_in", F.lead(F.struct(*cells)).over(w)).join(heads, [*keys, "_step", "_chunk"], "left").withColumn("_next", F.coalesce("_in", "_after"))
+    order = F.struct(*([F.col(f"`_v_{id_col}`")] if id_col else [clean[c] for c in values] or [F.lit(0)]))
+    # One exchange of the readings, by period; it serves the merging of equal times, the order within a period and its summary.
+    r = s.repartition(*names, "_slot").groupBy(*names, "_slot", "_us").agg(F.count("*").alias("_n"), *[F.max_by(clean[c], F.when(clean[c].isNotNull(), order)).alias(f"_x_{i}") for i, c in enumerate(values)])
     width = F.col("_step") * 1_000_000
-    joined = (F.col("_next").isNotNull()) & (F.col("_next._us") - F.col("_us") <= F.lit(float(longest_gap)) * width)
-    # Each interval is spread over the periods it overlaps; it has at most longest_gap + 2 of them.
-    last = F.when(joined, F.expr("(_next._us - 1 - pmod(_next._us - 1, _step * 1000000)) div (_step * 1000000)")).otherwise(F.col("_slot"))
-    parts = r.withColumn("_joined", joined).withColumn("slot", F.explode(F.sequence("_slot", F.greatest(last, F.col("_slot")))))
-    overlap = F.when(F.col("_joined"), F.greatest(F.lit(0), F.least(F.col("_next._us"), (F.col("slot") + 1) * width) - F.greatest(F.col("_us"), F.col("slot") * width))).otherwise(0)
-    parts = parts.withColumn("_o", overlap)
-    span = F.col("_next._us") - F.col("_us")
-    aggs = []
-    for i in range(len(values)):
-        x, nxt = F.col(f"_x_{i}"), F.col(f"_next._x_{i}")
-        if kind == "gauge":
-            # The counter is the integral of the held value: its increment over the overlap is value x overlap.
-            aggs.append(F.try_divide(F.sum(F.when(x.isNotNull(), x * F.col("_o"))), F.sum(F.when(x.isNotNull(), F.col("_o")))).alias(f"_y_{i}"))
-        else:
-            aggs.append(F.sum(F.when(x.isNotNull() & nxt.isNotNull(), F.when(nxt >= x, nxt - x).otherwise(nxt) * F.try_divide(F.col("_o"), span))).alias(f"_y_{i}"))
-    covered = parts.groupBy(*by, "slot").agg(F.sum(F.when(F.col("slot") == F.col("_slot"), F.col("_n")).otherwise(0)).alias("_n"), (F.sum("_o") / 1_000_000).alias("_c"), *aggs)
-    # The periods between those that a reading or an interval covers are marked, chunk by chunk.
-    cell = F.struct("slot", "_n", "_c", *[f"_y_{i}" for i in range(len(values))])
-    kept = covered.groupBy(*by, _chunk_of("slot", chunk).alias("_chunk")).agg(F.collect_list(cell).alias("_cells"), F.min("slot").alias("_lo"), F.max("slot").alias("_hi"))
-    kept = kept.withColumns({"_have": F.transform("_cells", lambda x: x["slot"]), "_next": F.lead("_lo").over(Window.partitionBy(*names).orderBy("_chunk"))})
-    none = F.lit(None).cast(kept.schema["_cells"].dataType.elementType)
-    known = F.transform("_cells", lambda x: F.struct(x["slot"].alias("a"), x["slot"].alias("b"), x.alias("cell")))
-    marks = F.transform(_gap_ranges(chunk), lambda g: F.struct(g["a"].alias("a"), g["b"].alias("b"), none.alias("cell")))
-    rows = kept.select(*by, F.explode(F.concat(known, marks)).alias("_e")).select(*by, F.explode(F.sequence("_e.a", "_e.b")).alias("slot"), F.col("_e.cell").alias("_e"))
-    state = F.when(F.col("_e").isNull(), "missing").when(F.col("_e._n") > 0, "read").otherwise("filled")
-    return rows.select(
-        *[F.col(f"`{k}`") for k in keys], (F.col("slot") * F.col("_step")).alias("slot_s"), F.coalesce("_e._n", F.lit(0)).cast("bigint").alias("n_readings"), F.coalesce("_e._c", F.lit(0.0)).alias("covered_s"), state.alias("state"),
-        *[F.col(f"_e._y_{i}").alias(c) for i, c in enumerate(values)],
-    )
+    # `r` is the presence of any reading, 0.. the values; each is a chain of its own readings.
+    chains = ["r", *map(str, range(len(values)))]
+    r = r.withColumns({"_c_r": F.struct("_us", F.lit(1.0).alias("x"))} | {f"_c_{i}": F.when(F.col(f"_x_{i}").isNotNull(), F.struct("_us", F.col(f"_x_{i}").alias("x"))) for i in range(len(values))})
+    down = Window.partitionBy(*names, "_slot").orderBy(F.col("_us").desc())
+    r = r.withColumns({f"_d_{c}": _following(F.col(f"_c_{c}"), down) for c in chains})
+
+    def near(a: Column, b: Column) -> Column:
+        return b["_us"] - a["_us"] <= F.lit(float(longest_gap)) * width
+
+    def increment(a: Column, b: Column, overlap: Column) -> Column:
+        """The part of the increment from reading a to reading b that falls into an overlap of so many microseconds."""
+        if kind == "gauge":  # the counter is the integral of the held value
+            return F.when(near(a, b), a["x"] * overlap)
+        return F.when(b["x"] >= a["x"], b["x"] - a["x"]).otherwise(b["x"]) * (overlap / (b["_us"] - a["_us"]))
+
+    def held(a: Column, b: Column, overlap: Column) -> Column:
+        return F.when(near(a, b), overlap)
+
+    inner = []
+    for c in chains:
+        a, b = F.col(f"_c_{c}"), F.col(f"_d_{c}")
+        o = b["_us"] - a["_us"]
+        inner += [F.min_by(f"_c_{c}", F.when(a.isNotNull(), F.col("_us"))).alias(f"_f_{c}"), F.max_by(f"_c_{c}", F.when(a.isNotNull(), F.col("_us"))).alias(f"_l_{c}"), F.sum(increment(a, b, o)).alias(f"_i_{c}"), F.sum(held(a, b, o)).alias(f"_w_{c}")]
+    cells = r.groupBy(*names, "_slot").agg(F.sum("_n").alias("_n"), *inner).withColumn("_chunk", _chunk_of("_slot", chunk))
+    cells = _beyond(cells, names, "_chunk", "_slot", chains)
+
+    # A period with readings is itself; the periods up to the next one with readings lie in the interval between both.
+    cells = cells.withColumn("_until", F.expr("(_q_r._us - pmod(_q_r._us, _step * 1000000)) div (_step * 1000000)"))
+    cell = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    spans = F.transform(F.sequence(F.col("_slot") + 1, F.col("_until") - 1, F.lit(chunk).cast("bigint")), lambda a: cell(a, F.least(a + chunk - 1, F.col("_until") - 1)))
+    own = F.array(cell(F.col("_slot"), F.col("_slot")))
+    x = cells.withColumn("_e", F.explode(F.when(F.col("_until") > F.col("_slot") + 1, F.concat(own, spans)).otherwise(own)))
+    x = x.withColumn("slot", F.explode(F.sequence("_e.a", "_e.b"))).withColumn("_own", F.col("slot") == F.col("_slot"))
+    start, zero = F.col("slot") * width, F.lit(0).cast("bigint")
+
+    def total(c: str, part, within: str) -> Column:
+        """The sum over the intervals of a chain that overlap the period."""
+        first, last, before, after = (F.col(f"_{p}_{c}") for p in ("f", "l", "p", "q"))
+        ahead = F.coalesce(last, before)  # the reading before a period without one of this chain
+        some = lambda v: F.coalesce(v, F.lit(0.0))
+        whole = F.when(F.col(f"_q_{c}").isNotNull() & ahead.isNotNull(), part(ahead, after, width))
+        sides = some(F.when(before.isNotNull(), part(before, first, first["_us"] - start))) + some(F.when(after.isNotNull(), part(last, after, start + width - last["_us"])))
+        any_side = F.col(f"{within}_{c}").isNotNull() | F.when(before.isNotNull(), part(before, first, first["_us"] - start)).isNotNull() | F.when(after.isNotNull(), part(last, after, start + width - last["_us"])).isNotNull()
+        return F.when(F.col("_own") & first.isNotNull(), F.when(any_side, some(F.col(f"{within}_{c}")) + sides)).otherwise(whole)
+
+    covered = F.coalesce(total("r", held, "_w"), zero) / 1_000_000
+    out = {}
+    for i, c in enumerate(values):
+        y = total(str(i), increment, "_i")
+        out[c] = F.try_divide(y, total(str(i), held, "_w")) if kind == "gauge" else y
+    n = F.when(F.col("_own"), F.col("_n")).otherwise(0).cast("bigint")
+    state = F.when(n > 0, "read").when(covered > 0, "filled").otherwise("missing")
+    return x.select(*[F.col(k).alias(name) for k, name in zip(names, keys)], (F.col("slot") * F.col("_step")).alias("slot_s"), n.alias("n_readings"), covered.cast("double").alias("covered_s"), state.alias("state"), *[y.alias(c) for c, y in out.items()])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.operators import gridding, profile, schemas, spikes
@@ -65,12 +65,24 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_series(spark, d).where("n_readings = 0").select("pack_id", "segment", "slot_s")
 
 
+def p7_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Events of each type in each hour, from a cumulative counter that starts anew every day and is read at irregular times: at
+    the last event of each five minutes that have one."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = table(spark, d, "events").where(F.col("ts").isNotNull() & F.col("event_type").isNotNull()).select("event_type", us.alias("us"), F.expr("unix_micros(cast(ts as timestamp)) div 300000000").alias("bucket"))
+    e = e.groupBy("event_type", "bucket").agg(F.count("*").alias("n"), F.max("us").alias("us"))
+    day = Window.partitionBy("event_type", F.expr("bucket div 288")).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # 288 rows at most
+    readings = e.select("event_type", F.timestamp_micros("us").alias("timestamp"), F.lit("1h").alias("bar_step"), F.sum("n").over(day).alias("n_events"))
+    s = gridding.grid_series(readings, ["event_type"], ["n_events"], kind="counter")
+    return s.withColumns({"covered_s": F.round("covered_s", 5) + 0.0, "n_events": F.round("n_events", 5) + 0.0})
+
+
 def p7_series(spark: SparkSession, d: str) -> DataFrame:
     """One row for each period of each pack and segment; the summaries are gauges, their missing periods filled or marked."""
     return gridding.grid_series(table(spark, d, "rl_observation_pack"), ["pack_id", "segment"], ["p_max_filter", "effective_num_states_filter", "expected_state_filter", "p_margin_filter"], id_col="obs_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_formats": p1_formats, "p5_found": p5_found, "p5_profile": p5_profile, "p7_found": p7_found, "p7_series": p7_series}
+QUERIES = {"p1_found": p1_found, "p1_formats": p1_formats, "p5_found": p5_found, "p5_profile": p5_profile, "p7_found": p7_found, "p7_series": p7_series, "p7_counters": p7_counters}
 ORACLES: dict[str, str] = {}
 
 ORACLES["p7_found"] = """
@@ -83,6 +95,19 @@ g AS (SELECT pack_id, segment, step, unnest(a) AS slot FROM (SELECT pack_id, seg
 SELECT pack_id, segment, CAST(slot * step AS BIGINT) AS slot_s FROM (SELECT * FROM g EXCEPT SELECT * FROM h)
 """
 
+ORACLES["p7_counters"] = """
+WITH e AS (SELECT event_type, epoch_us(ts) // 300000000 AS b, max(epoch_us(ts)) AS us, count(*) AS n FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT event_type, us, sum(n) OVER (PARTITION BY event_type, b // 288 ORDER BY b) AS c FROM e),
+i AS (SELECT event_type, us AS a, lead(us) OVER w AS z, CASE WHEN lead(c) OVER w >= c THEN lead(c) OVER w - c ELSE lead(c) OVER w END AS inc FROM r WINDOW w AS (PARTITION BY event_type ORDER BY us)),
+g AS (SELECT *, unnest(generate_series(a // 3600000000, (z - 1) // 3600000000)) AS slot FROM i WHERE z IS NOT NULL),
+o AS (SELECT *, least(z, (slot + 1) * 3600000000) - greatest(a, slot * 3600000000) AS o FROM g),
+s AS (SELECT event_type, slot, sum(CASE WHEN z - a <= 7200000000 THEN o ELSE 0 END) / 1000000 AS covered_s, sum(inc * o / (z - a)) AS n_events FROM o GROUP BY 1, 2),
+k AS (SELECT event_type, us // 3600000000 AS slot, count(*) AS n FROM r GROUP BY 1, 2)
+SELECT coalesce(s.event_type, k.event_type) AS event_type, CAST(coalesce(s.slot, k.slot) * 3600 AS BIGINT) AS slot_s, CAST(coalesce(n, 0) AS BIGINT) AS n_readings, round(coalesce(covered_s, 0), 5) + 0.0 AS covered_s,
+  CASE WHEN n > 0 THEN 'read' WHEN covered_s > 0 THEN 'filled' ELSE 'missing' END AS state, round(n_events, 5) + 0.0 AS n_events
+FROM s FULL JOIN k ON s.event_type = k.event_type AND s.slot = k.slot
+"""
+
 ORACLES["p5_found"] = """
 WITH v AS (
   SELECT pack_id, load_id, column_name, x, CAST(NULL AS VARCHAR) AS t FROM (

@@ -28,8 +28,10 @@ def plain(v):
         return None
     if isinstance(v, bool):
         return v
-    if isinstance(v, (int, float)):
-        return None if math.isnan(v) else float(f"{float(v):.9g}") + 0.0
+    if isinstance(v, int):
+        return v  # integers and times compare exactly
+    if isinstance(v, float):
+        return None if math.isnan(v) else float(f"{v:.9g}") + 0.0
     return plain(v.item()) if hasattr(v, "item") else str(v)
 
 

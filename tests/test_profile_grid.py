@@ -2,7 +2,8 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
-from barloom.operators.gridding import grid_series, missing_slots
+from barloom.operators import gridding
+from barloom.operators.gridding import grid_series
 from barloom.operators.profile import Check, column_states, compare_loads, findings, merge_states
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -54,18 +55,67 @@ def series(spark, rows):
     return spark.createDataFrame([(k, None if h is None else T0 + timedelta(hours=h), s, v, i, 1, 1) for i, (k, h, s, v) in enumerate(rows)], READINGS)
 
 
-def test_missing_slots_against_brute_force(spark):
+def brute(readings, step, kind, longest):
+    """(slot -> [n, covered, value]) of one series of (seconds, value), by intervals; values that are None are no readings."""
+    out = {}
+    times = sorted({t for t, _ in readings})
+    for t, _ in readings:
+        out.setdefault(t // step, [0, 0.0, None, 0.0])[0] += 1
+
+    def spread(chain, use):
+        for (a, x), (b, y) in zip(chain, chain[1:]):
+            for slot in range(int(a // step), int((b - 1e-9) // step) + 1):
+                o = min(b, (slot + 1) * step) - max(a, slot * step)
+                if o > 0:
+                    use(out.setdefault(slot, [0, 0.0, None, 0.0]), o, a, b, x, y)
+
+    def cover(cell, o, a, b, x, y):
+        cell[1] += o if b - a <= longest * step else 0
+
+    def value(cell, o, a, b, x, y):
+        if kind == "counter":
+            cell[2] = (cell[2] or 0.0) + (y - x if y >= x else y) * o / (b - a)
+        elif b - a <= longest * step:
+            cell[2], cell[3] = (cell[2] or 0.0) + x * o, cell[3] + o
+
+    spread([(t, None) for t in times], cover)
+    spread(sorted((t, x) for t, x in readings if x is not None), value)
+    return {s: (c[0], c[1], c[2] if kind == "counter" or c[2] is None else c[2] / c[3]) for s, c in out.items()}
+
+
+def test_series_against_brute_force(spark):
     import random
 
     random.seed(5)
-    rows = [(k, random.choice([0, 50, 4000]) + random.random() * 60, "1h", 1.0) for k in "abc" for _ in range(40)] + [("a", None, "1h", 1.0), (None, 1.0, "1h", 1.0), ("a", 2.0, "soon", 1.0), ("d", 5.0, "1h", 1.0)]
-    want = set()
-    for k in "abcd":
-        have = {int(T0.timestamp() // 3600 + h // 1) for kk, h, s, _ in rows if kk == k and h is not None and s == "1h"}
-        want |= {(k, s * 3600) for s in range(min(have), max(have)) if s not in have}
-    for chunk in (8, 1024):
-        assert {tuple(r) for r in missing_slots(series(spark, rows), ["k"], chunk=chunk).collect()} == want
-    assert missing_slots(series(spark, []), ["k"]).count() == 0
+    per = {k: [(int(h * 3600), None if random.random() < 0.2 else float(random.randint(0, 50))) for h in {round(random.choice([0, 50, 400]) + random.random() * 30, 2) for _ in range(60)}] for k in "abc"}
+    rows = [(k, t / 3600, "1h", v) for k, x in per.items() for t, v in x]
+    at = int(T0.timestamp())
+    odd = [("a", None, "1h", 1.0), (None, 1.0, "1h", 1.0), ("a", 2.0, "soon", 1.0), ("d", 5.0, "1h", 1.0)]
+    for kind in ("gauge", "counter"):
+        for chunk in (8, 1024):
+            got = {}
+            for r in grid_series(series(spark, rows + odd), ["k"], ["v"], id_col="id", kind=kind, chunk=chunk).collect():
+                assert (r.k, (r.slot_s - at) // 3600) not in got
+                got[r.k, (r.slot_s - at) // 3600] = (r.n_readings, r.covered_s, r.v)
+            want = {(k, s): c for k, x in per.items() for s, c in brute(x, 3600, kind, 2.0).items()} | {("d", 5): (1, 0.0, None)}
+            assert set(got) == set(want)
+            for cell, (n, c, v) in want.items():
+                assert got[cell][0] == n and abs(got[cell][1] - c) < 1e-6 and (v is None) == (got[cell][2] is None) and abs((v or 0) - (got[cell][2] or 0)) < 1e-6, (kind, chunk, cell, got[cell], (n, c, v))
+    assert grid_series(series(spark, []), ["k"], ["v"]).count() == 0
+
+
+def test_long_gaps_keep_the_counters_total(spark):
+    rows = [("a", 0.0, "1h", 0.0), ("a", 0.5, "1h", 10.0), ("a", 5.5, "1h", 60.0), ("a", 5.75, "1h", 3.0)]
+    out = grid_series(series(spark, rows), ["k"], ["v"], kind="counter").collect()
+    assert abs(sum(r.v for r in out) - 63.0) < 1e-9 and sum(r.state == "missing" for r in out) == 4
+
+
+def test_missing_periods_come_from_consecutive_readings(spark, monkeypatch):
+    """Ablation: without the difference of a reading and the next one there are no periods but those with readings."""
+    rows = [("a", 0.0, "1h", 1.0), ("a", 7.5, "1h", 2.0)]
+    assert grid_series(series(spark, rows), ["k"], []).where("n_readings = 0").count() == 6
+    monkeypatch.setattr(gridding, "_following", lambda c, by: F.lit(None).cast("struct<_us:bigint,x:double>"))
+    assert grid_series(series(spark, rows), ["k"], []).where("n_readings = 0").count() == 0
 
 
 def test_gauge_and_counter(spark):
@@ -76,5 +126,5 @@ def test_gauge_and_counter(spark):
         assert sorted(g) == list(range(10)) and [g[i].state for i in range(10)] == ["read", "filled", "read", *["missing"] * 6, "read"]
         assert abs(g[0].v - 15.0) < 1e-9 and abs(g[1].v - 20.0) < 1e-9 and g[5].v is None and g[9].n_readings == 3
         c = {(r.slot_s - at) // 3600: r for r in grid_series(series(spark, rows), ["k"], ["v"], id_col="id", kind="counter", chunk=chunk).collect()}
-        # +10 in the first half hour; the fall to 5 is a reset, spread over 1.75 h; the long gap isn't covered; 6 to 1 is a reset
-        assert abs(c[0].v - (10 + 5 * 0.5 / 1.75)) < 1e-9 and abs(c[1].v - 5 / 1.75) < 1e-9 and abs(c[2].v - 5 * 0.25 / 1.75) < 1e-9 and abs(c[9].v - 1.0) < 1e-9
+        # +10 in the first half hour; the fall to 5 is a reset, spread over 1.75 h; +1 over the long gap; 6 to 1 is a reset
+        assert abs(c[0].v - (10 + 5 * 0.5 / 1.75)) < 1e-9 and abs(c[1].v - 5 / 1.75) < 1e-9 and abs(c[2].v - 5 * 0.25 / 1.75 - 0.75 / 6.75) < 1e-9 and abs(c[5].v - 1 / 6.75) < 1e-9 and abs(c[9].v - 1.0) < 1e-9
