@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import gridding, profile, schemas, spikes
 from barloom.operators import timestamps as ts
-from barloom.session import cut_lineage
+from barloom.session import as_table, cut_lineage
 from barloom.sources.tables import table
 
 
@@ -74,7 +74,7 @@ def p7_counters(spark: SparkSession, d: str) -> DataFrame:
     day = Window.partitionBy("event_type", F.expr("bucket div 288")).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # 288 rows at most
     readings = e.select("event_type", F.timestamp_micros("us").alias("timestamp"), F.lit("1h").alias("bar_step"), F.sum("n").over(day).alias("n_events"))
     s = gridding.grid_series(readings, ["event_type"], ["n_events"], kind="counter")
-    return s.withColumns({"covered_s": F.round("covered_s", 5) + 0.0, "n_events": F.round("n_events", 5) + 0.0})
+    return s.withColumns({"covered_s": F.round("covered_s", 6) + 0.0, "n_events": F.round("n_events", 5) + 0.0})
 
 
 def p7_series(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +103,7 @@ g AS (SELECT *, unnest(generate_series(a // 3600000000, (z - 1) // 3600000000))
 o AS (SELECT *, least(z, (slot + 1) * 3600000000) - greatest(a, slot * 3600000000) AS o FROM g),
 s AS (SELECT event_type, slot, sum(CASE WHEN z - a <= 7200000000 THEN o ELSE 0 END) / 1000000 AS covered_s, sum(inc * o / (z - a)) AS n_events FROM o GROUP BY 1, 2),
 k AS (SELECT event_type, us // 3600000000 AS slot, count(*) AS n FROM r GROUP BY 1, 2)
-SELECT coalesce(s.event_type, k.event_type) AS event_type, CAST(coalesce(s.slot, k.slot) * 3600 AS BIGINT) AS slot_s, CAST(coalesce(n, 0) AS BIGINT) AS n_readings, round(coalesce(covered_s, 0), 5) + 0.0 AS covered_s,
+SELECT coalesce(s.event_type, k.event_type) AS event_type, CAST(coalesce(s.slot, k.slot) * 3600 AS BIGINT) AS slot_s, CAST(coalesce(n, 0) AS BIGINT) AS n_readings, round(coalesce(covered_s, 0), 6) + 0.0 AS covered_s,
   CASE WHEN n > 0 THEN 'read' WHEN covered_s > 0 THEN 'filled' ELSE 'missing' END AS state, round(n_events, 5) + 0.0 AS n_events
 FROM s FULL JOIN k ON s.event_type = k.event_type AND s.slot = k.slot
 """
@@ -162,7 +162,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_records(spark: SparkSession, d: str) -> DataFrame:
     """All files as one table of funding records."""
     files = table(spark, d, "funding_files")
-    return schemas.unify(files, schemas.schema_changes(files), FUNDING_TARGETS)
+    cells = as_table(schemas.record_cells(files), "cells")  # each payload is parsed once
+    return schemas.unify(files, schemas.schema_changes(files, cells=cells), FUNDING_TARGETS, cells=cells)
 
 
 QUERIES |= {"p4_found": p4_found, "p4_records": p4_records}

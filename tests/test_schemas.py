@@ -1,5 +1,6 @@
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from barloom.operators.schemas import flood, schema_changes, unify
@@ -60,6 +61,56 @@ def test_unify(spark):
     assert abs(out[3].funding_rate - 0.0031) < 1e-12 and abs(out[-1].funding_rate - 0.0151) < 1e-12 and out[3].fields["note"] == "n3"
 
 
+def test_records_with_few_single_values(spark):
+    a = [{"t": i, "rate": 0.0001} for i in range(6)]
+    b = [{"t": i, "fundingRate": 0.0001} for i in range(6)]
+    assert changes(spark, [("s", 1, a), ("s", 2, b)]) == {("s", 2, "renamed", "rate", "fundingRate")}
+
+
+def test_files_without_common_fields(spark):
+    a = [{"t": 100 + i, "rate": i * 0.5 + 0.25} for i in range(8)]
+    b = [{"time": 100 + i, "fundingRate": i * 0.5 + 0.25} for i in range(5, 13)]
+    assert changes(spark, [("s", 1, a), ("s", 2, b)]) == {("s", 2, "renamed", "rate", "fundingRate"), ("s", 2, "renamed", "t", "time")}
+
+
+def test_a_name_used_again_is_another_field(spark):
+    one = [{"t": i, "rate": i * 0.1} for i in range(8)]
+    two = [{"t": i, "fundingRate": i * 0.1} for i in range(5, 13)]
+    three = [{"t": i, "fundingRate": i * 0.1, "rate": f"x{i}"} for i in range(10, 18)]
+    files = frame(spark, [("s", 1, one), ("s", 2, two), ("s", 3, three)])
+    out = {r.record_id: r for r in unify(files, schema_changes(files), {"at": ("int", ("t",))}).collect()}
+    assert out[2].fields == {"rate": "0.1"} and out[9].at == 5 and out[9].fields == {"rate": "0.5"}
+    assert set(out[17].fields) == {"rate", "rate@3"} and out[17].fields["rate@3"] == "x10" and out[17].fields["rate"] == "1.0"
+
+
 def test_flooding_prefers_agreeing_values():
-    s = flood([("a", "number"), ("b", "number")], [("x", "number"), ("y", "number")], {("a", "y"): 1.0, ("b", "x"): 1.0})
+    g = lambda *names: {n: ("number", {}) for n in names}
+    s = flood(g("a", "b", "t"), g("x", "y", "t"), {("a", "y"): 1.0, ("b", "x"): 1.0})
+    assert s["a", "y"] > s["a", "x"] and s["b", "x"] > s["b", "y"] and set(s) == {(a, b) for a in "ab" for b in "xy"}
+
+
+def test_flooding_sees_kinds_and_nesting():
+    old = {"a": ("object", {"value": "number", "ccy": "text"}), "b": ("number", {}), "t": ("number", {})}
+    new = {"x": ("number", {}), "y": ("object", {"value": "number", "ccy": "text"}), "t": ("number", {})}
+    s = flood(old, new, {})
     assert s["a", "y"] > s["a", "x"] and s["b", "x"] > s["b", "y"]
+    plain = {"a": ("object", {}), "t": ("number", {})}, {"y": ("object", {}), "z": ("object", {"k": "text"}), "t": ("number", {})}
+    s = flood({"a": ("object", {"k": "text"}), "t": ("number", {})}, plain[1], {})
+    assert s["a", "z"] > s["a", "y"]
+
+
+def test_choice_comes_from_converged_scores(spark, monkeypatch):
+    """Ablation: without flooding the pairs of two renames are chosen by name, and the exact check lets none of them through."""
+    a = [rec(i) for i in range(10)]
+    b = [rec(i, rate="zeta", note="alpha") for i in range(6, 16)]
+    files = [("s", 1, a), ("s", 2, b)]
+    assert changes(spark, files) == {("s", 2, "renamed", "rate", "zeta"), ("s", 2, "renamed", "note", "alpha")}
+    import barloom.operators.schemas as m
+
+    flat = {("note", "alpha"): 0.5, ("rate", "zeta"): 0.5, ("note", "zeta"): 0.5, ("rate", "alpha"): 0.5}
+    assert m.choose(flat) == [("note", "alpha"), ("rate", "zeta")]
+    monkeypatch.setattr(m, "flood", lambda old, new, agree: {})
+    rows = pa.Table.from_pylist([{"stream_id": "s", "file_no": 2, "what": w, "field": f, "new_field": g, "kind": k, "n_both": n, "n_same": n} for w, f, g, k, n in (("old", "rate", None, "number", None), ("new", "zeta", None, "number", None), ("same", "rate", "zeta", None, 4))])
+    assert m._match(rows).num_rows == 0
+    monkeypatch.undo()
+    assert m._match(rows).num_rows == 1
