@@ -161,10 +161,11 @@ def _match(rows: pa.Table) -> pa.Table:
 
 
 def _common_records(sides: DataFrame) -> DataFrame:
-    """(stream_id, file_no, field, new_field, n_both, n_same) from the records that agree in all fields both files have.
+    """(stream_id, file_no, field, new_field, n_both, n_same, n_like) from the records that agree in all fields both files have.
 
     sides: stream_id, file_no, record_id, side (0 old, 1 new), field, value, common. Records are never paired: of records with the
-    same common fields, as many count as both files have, and of their values as many as are equal."""
+    same common fields, as many count as both files have, and of their values as many as are equal. n_like: of n_both, records whose
+    common fields don't tell them from others of their file."""
     at = ["stream_id", "file_no"]
     own = F.when(F.col("common"), F.xxhash64("field", "value"))
     records = sides.groupBy(*at, "side", "record_id").agg(F.bit_xor(own).alias("_k"), F.sum(F.shiftright(own, 8)).alias("_s"), F.count(own).alias("_n"), F.collect_list(F.when(~F.col("common"), F.struct("field", "value"))).alias("_rest"))
@@ -175,15 +176,16 @@ def _common_records(sides: DataFrame) -> DataFrame:
     a = each.where("side = 0").select(*key, "field", F.col("c").alias("_ca"), F.col("_values").alias("_va"))
     b = each.where("side = 1").select(*key, F.col("field").alias("new_field"), F.col("c").alias("_cb"), F.col("_values").alias("_vb"))
     equal = F.aggregate(F.map_entries("_va"), F.lit(0).cast("bigint"), lambda n, e: n + F.least(e["value"], F.coalesce(F.try_element_at("_vb", e["key"]), F.lit(0))))
-    return a.join(b, key).groupBy(*at, "field", "new_field").agg(F.sum(F.least("_ca", "_cb")).alias("n_both"), F.sum(equal).alias("n_same"))
+    return a.join(b, key).groupBy(*at, "field", "new_field").agg(F.sum(F.least("_ca", "_cb")).alias("n_both"), F.sum(equal).alias("n_same"), F.sum(F.when(F.greatest("_ca", "_cb") > 1, F.least("_ca", "_cb")).otherwise(0)).alias("n_like"))
 
 
 def _linked_records(sides: DataFrame) -> DataFrame:
-    """The same for files without records that agree in all common fields, such as those that have none: a record's partner is that
-    with which it shares most values that are rare (single) in both files."""
+    """(stream_id, file_no, field, new_field, n_both, n_same) for files whose common fields, if any, don't tell their records apart: a
+    record's partner is that with which it shares most values, and at least two, that are single in both files, whatever the
+    fields' names."""
     at = ["stream_id", "file_no"]
     once = lambda k, rec: sides.where(F.col("side") == k).groupBy(*at, "value").agg(F.count("*").alias("_n"), F.min("record_id").alias(rec)).where("_n = 1").drop("_n")
-    shared = once(0, "_a").join(once(1, "_b"), [*at, "value"]).groupBy(*at, "_a", "_b").agg(F.count("*").alias("_n"))
+    shared = once(0, "_a").join(once(1, "_b"), [*at, "value"]).groupBy(*at, "_a", "_b").agg(F.count("*").alias("_n")).where("_n > 1")
     shared = shared.groupBy(*at, "_a").agg(F.max_by("_b", F.struct("_n", -F.col("_b"))).alias("_b"))
     own = lambda k, rec, field, value: sides.where((F.col("side") == k) & ~F.col("common")).select(*at, F.col("record_id").alias(rec), F.col("field").alias(field), F.col("value").alias(value))
     both = shared.join(own(0, "_a", "field", "_v"), [*at, "_a"]).join(own(1, "_b", "new_field", "_w"), [*at, "_b"])
@@ -212,16 +214,19 @@ def schema_changes(df: DataFrame, payload: str = "payload", cells: DataFrame | N
 
     # Only files that lost and gained fields are matched; only they need evidence from records.
     asked = pairs.where("_both")
-    known = asked.select(*at, F.transform(F.filter("_f", lambda f: f["kind"] == f["old_kind"]), lambda f: f["field"]).alias("_same"), F.transform(F.filter("_f", lambda f: is_lost(f) | is_gained(f)), lambda f: f["field"]).alias("_apart"))
+    known = asked.select(*at, F.transform(F.filter("_f", lambda f: (f["kind"] == f["old_kind"]) | (f["kind"].isin("number", "text") & f["old_kind"].isin("number", "text"))), lambda f: f["field"]).alias("_same"), F.transform(F.filter("_f", lambda f: is_lost(f) | is_gained(f)), lambda f: f["field"]).alias("_apart"))
     roles = known.select("stream_id", F.inline(F.array(F.struct(F.col("file_no").alias("_of"), "file_no", F.lit(1).alias("side")), F.struct((F.col("file_no") - 1).alias("_of"), "file_no", F.lit(0).alias("side")))), "_same", "_apart")
     roles = broadcast_if_small(roles.withColumnRenamed("file_no", "_at"), 100_000)  # else all cells would be shuffled
     met = cells.where(F.col("field").isNotNull()).withColumnRenamed("file_no", "_of").join(roles, ["stream_id", "_of"]).withColumnRenamed("_at", "file_no")
     met = met.withColumns({"common": F.array_contains("_same", F.col("field")), "_part": F.array_contains("_apart", F.col("field"))})
     sides = met.where((F.col("common") | F.col("_part")) & F.col("kind").isNotNull()).select(*at, "record_id", "side", "field", _same(F.col("value")).alias("value"), "common")
     evidence = cut_lineage(_common_records(sides))
-    rest = asked.select(*at).join(evidence.select(*at).distinct(), at, "left_anti")
+    # Files without such records, or where they are too alike to settle a pair, are read once more.
+    settled = evidence.groupBy(*at).agg(F.bool_and((2 * F.col("n_same") > F.col("n_both")) | (2 * F.col("n_like") <= F.col("n_both"))).alias("_sure")).where("_sure").drop("_sure")
+    rest = asked.select(*at).join(settled, at, "left_anti")
     if not rest.isEmpty():
-        evidence = evidence.unionByName(_linked_records(sides.join(broadcast_if_small(rest, 100_000), at, "left_semi")))
+        few = broadcast_if_small(rest, 100_000)
+        evidence = evidence.join(settled, at, "left_semi").select(*at, "field", "new_field", "n_both", "n_same").unionByName(_linked_records(sides.join(few, at, "left_semi")))
     nested = met.where(F.size("children") > 0).select(*at, "side", "field", F.inline("children").alias("new_field", "_k")).groupBy(*at, "side", "field", "new_field").agg(F.mode("_k", True).alias("kind"))
     what = lambda text: F.lit(text).alias("what")
     fields = asked.select(*at, F.inline("_f"))
