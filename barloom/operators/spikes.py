@@ -1,15 +1,15 @@
 """Implausible readings: impossible values, stuck runs and spikes, relative to a source's own normal behaviour.
 
 A source's series is cut into blocks of days. In each block, robust principal components of the daily profile matrix (days x
-periods of the day) part a low-rank normal behaviour from sparse spikes; what remains sparse is a candidate, which an exact
-test against its neighbours and the source's usual move or largest ordinary value then settles. Stuck runs and ranges are
-tested apart. Blocks carry a margin of bars from their neighbours, so that no test stops at a border, and no task holds more
-than a block of a source, however many rows the source has.
+periods of the day; weeks x days for daily bars) part a low-rank normal behaviour from a sparse rest. The sparse rest decides on
+spikes: of the close by its size in usual moves; of the volume by what it leaves over as the largest ordinary volume of the
+source. A test of the neighbours only confirms that a spike is short. Stuck runs and ranges are tested apart. Each block is told
+the last and first bars around it, so that no test stops at a border, and no task holds more than a block of a source, however
+many rows the source has.
 """
 
 from __future__ import annotations
 
-
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,20 +23,26 @@ from barloom.session import cut_lineage
 
 @dataclass(frozen=True)
 class SpikeRules:
-    """close_moves: usual moves that a spike of the close is away from both sides. volume_times: times the largest ordinary volume.
-    longest: bars that a spike lasts at most. stuck: bars of a stuck run at least. block: bars of a block. margin: periods of a
-    neighbour that a block sees; bars further apart than that don't count as neighbours across a border. rank, rounds: of the
-    low-rank part."""
+    """close_moves: usual moves by which a spike of the close leaves the low-rank part. volume_times: times the largest ordinary
+    volume. sparse: the logarithm by which a volume exceeds the low-rank part to be sparse. longest: bars that a spike lasts at
+    most. stuck: bars of a stuck run at least. block: bars of a block, of seven days at least. half: bars on each side of which the
+    close's level is the median. rank, rounds: of the low-rank part."""
 
     close_moves: float = 10.0
     volume_times: float = 4.0
+    sparse: float = 0.6
     longest: int = 3
     stuck: int = 12
     block: int = 4096
-    margin: int = 96
+    half: int = 3
     rank: int = 2
     rounds: int = 6
 
+    @property
+    def edge(self) -> int:
+        """Bars around a block that decide on its own bars."""
+        return self.stuck + self.half + self.longest + 1
+
 
 def impossible() -> tuple[Column, Column]:
     """Whether a row's close and volume can't be: NaN, infinite, a close not above 0 or outside its row's low..high, a negative
@@ -66,17 +72,16 @@ def low_rank(y: np.ndarray, known: np.ndarray, rank: int, rounds: int, floor: fl
 
 
 def _profile(ts: np.ndarray, y: np.ndarray, step_s: int, rank: int, rounds: int, floor: float) -> np.ndarray:
-    """The normal value of each bar from the daily profile matrix of the block."""
+    """The normal value of each bar: the low-rank part of the profile matrix of the block, days by periods of the day, or weeks by
+    days for bars of a day and more. Days and periods without bars take no row or column, so thin grids stay small."""
     day_us, step_us = 86_400_000_000, max(1, step_s) * 1_000_000
-    day = ts // day_us
-    slot = (ts % day_us) // step_us
-    day = day - day[0]
-    n, m = int(day[-1]) + 1, int(slot.max()) + 1
-    if n < 3 or m < 2 or n * m > 50 * len(ts) + 10_000:
-        return np.full(len(y), np.median(y))
+    frame = day_us if step_us < day_us else 7 * max(day_us, step_us)
+    _, row = np.unique(ts // frame, return_inverse=True)
+    _, col = np.unique((ts % frame) // step_us, return_inverse=True)
+    n, m = int(row.max()) + 1, int(col.max()) + 1
     grid, known = np.zeros((n, m)), np.zeros((n, m), bool)
-    grid[day, slot], known[day, slot] = y, True
-    return low_rank(grid, known, min(rank, n, m), rounds, floor)[day, slot]
+    grid[row, col], known[row, col] = y, True
+    return low_rank(grid, known, min(rank, n, m), rounds, floor)[row, col]
 
 
 def _running_median(x: np.ndarray, half: int) -> np.ndarray:
@@ -91,23 +96,17 @@ def _running_median(x: np.ndarray, half: int) -> np.ndarray:
     return out
 
 
-def _between(x: np.ndarray, bar: int, value: float, far: float, longest: int) -> bool:
-    """Whether `value`, in place of bar, stands with at most longest - 1 neighbours far from the bars on both sides."""
-    n = len(x)
-
-    def sound(i: int, out: int) -> bool:  # an anchor agrees with one of the two bars beyond it
-        beyond = [j for j in (i + out, i + 2 * out) if 0 <= j < n]
-        return not beyond or any(abs(x[i] - x[j]) <= far for j in beyond)
-
-    for a in range(1, longest + 1):
-        for b in range(1, longest + 2 - a):
-            i, j = bar - a, bar + b
-            if i < 0 or j >= n or not (sound(i, -1) and sound(j, 1)):
-                continue
-            inside = [value if k == bar else x[k] for k in range(i + 1, j)]
-            if all(abs(z - x[i]) > far and abs(z - x[j]) > far for z in inside):
-                return True
-    return False
+def _short(far: np.ndarray, bar: int, longest: int, x: np.ndarray | None = None, value: float = 0.0, apart: float = 0.0) -> bool:
+    """Whether the bars around `bar` that are far from normal make, with it, a run of at most `longest`, with bars on both sides;
+    with x also whether `value` is `apart` from both of them, as it isn't where prices ran up to it or on from it."""
+    lo = hi = bar
+    while lo > 0 and far[lo - 1] and bar - lo < longest:
+        lo -= 1
+    while hi + 1 < len(far) and far[hi + 1] and hi - bar < longest:
+        hi += 1
+    if hi - lo >= longest or lo == 0 or hi + 1 == len(far):
+        return False
+    return x is None or (abs(value - x[lo - 1]) > apart and abs(value - x[hi + 1]) > apart)
 
 
 def _bars(ts: np.ndarray, values: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,7 +125,8 @@ def _stuck(x: np.ndarray, least: int) -> np.ndarray:
     return same & (length >= least)
 
 
-_STATS = pa.schema([("source", pa.string()), ("_block", pa.int64()), ("kind", pa.string()), ("bin", pa.int32()), ("n", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64())])
+_STATS = pa.schema([("source", pa.string()), ("_block", pa.int64()), ("kind", pa.string()), ("bin", pa.int32()), ("n", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64()), ("us", pa.list_(pa.int64())), ("x", pa.list_(pa.float64()))])
+_STATS_DDL = "source string, _block bigint, kind string, bin int, n bigint, lo double, hi double, us array<bigint>, x array<double>"
 
 
 def _columns(table: pa.Table, names: tuple[str, ...]) -> dict[str, np.ndarray]:
@@ -147,95 +147,146 @@ def _bins(x: np.ndarray, per_octave: int) -> list[tuple[int, int, float, float]]
     return [(int(bins[i]), int(j - i), float(x[i]), float(x[j - 1])) for i, j in zip(at, end)]
 
 
-def _block_stats(table: pa.Table) -> pa.Table:
-    """Histograms of a block's own moves and volumes. The block is one row first, with n = 0."""
-    source, block = table["source"][0].as_py(), table["_block"][0].as_py()
-    col = _columns(table, ("bar_id", "_us", "_seen", "_home", "close", "volume"))
-    rows = [("block", 0, 0, 0.0, 0.0)]
-    home = col["_home"].astype(bool)
-    close = col["close"].astype(float)
-    _, x, _ = _bars(col["_us"], close, home & np.isfinite(close) & (close > 0))
-    moves = np.abs(np.diff(np.log(x)))
-    rows += [("move", *b) for b in _bins(moves[moves > 0], 32)]
-    volume = col["volume"].astype(float)
-    rows += [("volume", *b) for b in _bins(volume[home & np.isfinite(volume) & (volume > 0)], 8)]
-    return pa.Table.from_arrays([pa.array([source] * len(rows)), pa.array([block] * len(rows), pa.int64()), *[pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64()))]], schema=_STATS)
+def _usable(value: np.ndarray, field: str) -> np.ndarray:
+    with np.errstate(invalid="ignore"):
+        return np.isfinite(value) & ((value > 0) if field == "close" else (value >= 0))
+
+
+def volume_rest(at: np.ndarray, x: np.ndarray, step: int, rules: SpikeRules) -> tuple[np.ndarray, float]:
+    """The low-rank part of the bars' volumes, as ln(1 + volume / scale), and the scale."""
+    scale = float(np.median(x[x > 0])) if (x > 0).any() else 1.0
+    return _profile(at, np.log1p(x / scale), step, rules.rank, rules.rounds, rules.sparse), scale
+
+
+def close_normal(at: np.ndarray, logs: np.ndarray, step: int, move: float, rules: SpikeRules) -> np.ndarray:
+    """The normal logarithm of the bars' closes: the local level and the low-rank part of what it leaves."""
+    base = _running_median(logs, rules.half)
+    return base + _profile(at, logs - base, step, 1, rules.rounds, 4 * move)
+
+
+def _block_stats(rules: SpikeRules):
+    """What a block tells its source and its neighbours: a histogram of its moves, the range of its ordinary volumes (those in the
+    low-rank part), a histogram of its sparse ones, and its first and last bars. The block itself is one row, with n = 0."""
+
+    def stats(table: pa.Table) -> pa.Table:
+        source, block = table["source"][0].as_py(), table["_block"][0].as_py()
+        col = _columns(table, ("bar_id", "_us", "_seen", "close", "volume", "_step"))
+        step = int(col["_step"][0])
+        rows = [("block", 0, 0, 0.0, 0.0, None, None)]
+        for field in ("close", "volume"):
+            value = col[field].astype(float)
+            ok = _usable(value, field)
+            at, x, bar = _bars(col["_us"], value, ok)
+            if not len(x):
+                continue
+            for side, part in (("head", slice(None, rules.edge)), ("tail", slice(-rules.edge, None))):
+                rows.append((f"{side}_{field}", 0, 0, 0.0, 0.0, at[part].tolist(), x[part].tolist()))
+            if field == "close":
+                moves = np.abs(np.diff(np.log(x)))
+                rows += [("move", *b, None, None) for b in _bins(moves[moves > 0], 32)]
+                continue
+            normal, scale = volume_rest(at, x, step, rules)
+            own = np.flatnonzero(ok)  # each row by its own value, corrected ones too
+            v = value[own]
+            far = np.log1p(v / scale) - normal[bar[own]] > rules.sparse
+            if (~far).any():
+                rows.append(("ordinary", 0, int((~far).sum()), float(v[~far].min()), float(v[~far].max()), None, None))
+            rows += [("sparse", *b, None, None) for b in _bins(v[far & (v > 0)], 8)]
+        return pa.Table.from_arrays([pa.array([source] * len(rows), pa.string()), pa.array([block] * len(rows), pa.int64()), *[pa.array([r[i] for r in rows], _STATS.field(i + 2).type) for i in range(7)]], schema=_STATS)
+
+    return stats
 
 
 def _block_finder(rules: SpikeRules):
     out = pa.schema([("bar_id", pa.int64()), ("field", pa.string())])
 
-    def find(table: pa.Table) -> pa.Table:
-        col = _columns(table, ("bar_id", "_us", "_seen", "_home", "close", "volume", "_move", "_most", "_step", "_bad_close", "_bad_volume"))
-        ts, home, step = col["_us"], col["_home"], int(col["_step"][0])
+    def find(table: pa.Table, told: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return out.empty_table()
+        col = _columns(table, ("bar_id", "_us", "_seen", "close", "volume", "_step", "_bad_close", "_bad_volume"))
+        known = told.to_pylist()[0]
+        step = int(col["_step"][0])
         ids, fields = [], []
 
         def report(hit: np.ndarray, field: str) -> None:
-            got = col["bar_id"][hit & home]
-            ids.append(got)
-            fields.extend([field] * len(got))
+            ids.append(col["bar_id"][hit])
+            fields.extend([field] * int(hit.sum()))
 
         for field in ("close", "volume"):
-            bad = col[f"_bad_{field}"]
+            bad = col[f"_bad_{field}"].astype(bool)
             report(bad, field)
             value = col[field].astype(float)
-            ok = np.isfinite(value) & ((value > 0) if field == "close" else (value >= 0))
-            at, x, bar = _bars(ts, value, ok)
+            ok = _usable(value, field)
+            at, x, bar = _bars(col["_us"], value, ok)
             if not len(x):
                 continue
-            own = ok & (bar < len(x))
-            bar = np.minimum(bar, len(x) - 1)
-            own &= at[bar] == ts
-            report(own & ~bad & _stuck(x, rules.stuck)[bar] & (value == x[bar]), field)
+            ahead, behind = known[f"before_{field}"] or [], known[f"after_{field}"] or []
+            at = np.concatenate((np.array([b["us"] for b in ahead], np.int64), at, np.array([b["us"] for b in behind], np.int64)))
+            x = np.concatenate((np.array([b["x"] for b in ahead], float), x, np.array([b["x"] for b in behind], float)))
+            bar = np.minimum(bar + len(ahead), len(x) - 1)
+            own = ok & (at[bar] == col["_us"])
+            stuck = own & ~bad & _stuck(x, rules.stuck)[bar] & (value == x[bar])
+            report(stuck, field)
             hit = np.zeros(len(value), bool)
             if field == "close":
-                move = float(col["_move"][0])
-                if np.isfinite(move) and move > 0:
+                move = known["_move"]
+                if move and np.isfinite(move):
                     logs = np.log(x)
-                    base = _running_median(logs, 3)
-                    normal = base + _profile(at, logs - base, step, 1, rules.rounds, 4 * move)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        rest = np.log(np.where(own, value, 1.0)) - normal[bar]
-                    for i in np.flatnonzero(own & home & (np.abs(rest) > 0.4 * rules.close_moves * move)):
-                        hit[i] = _between(logs, bar[i], np.log(value[i]), rules.close_moves * move, rules.longest)
+                    normal = close_normal(at, logs, step, move, rules)
+                    limit = rules.close_moves * move
+                    rest = np.log(np.where(own, value, 1.0)) - normal[bar]
+                    far = np.abs(logs - normal) > limit
+                    for i in np.flatnonzero(own & (np.abs(rest) > limit)):
+                        hit[i] = _short(far, bar[i], rules.longest, logs, float(np.log(value[i])), limit / 2)
             else:
-                most = float(col["_most"][0])
-                if np.isfinite(most) and most > 0:
-                    scale = np.median(x[x > 0]) if (x > 0).any() else 1.0
-                    logs = np.log1p(x / scale)
-                    normal = _profile(at, logs, step, rules.rank, rules.rounds, 0.6)
+                most = known["_most"]
+                if most and np.isfinite(most):
+                    normal, scale = volume_rest(at, x, step, rules)
                     rest = np.log1p(np.where(own, value, 0.0) / scale) - normal[bar]
-                    high = x > rules.volume_times * most
-                    edge = np.r_[0, np.cumsum(high)]
-                    for i in np.flatnonzero(own & home & (rest > 0.6) & (value > rules.volume_times * most)):
-                        b, lo, hi = int(bar[i]), int(bar[i]), int(bar[i])
-                        while lo > 0 and high[lo - 1] and b - lo < rules.longest:
-                            lo -= 1
-                        while hi + 1 < len(x) and high[hi + 1] and hi - b < rules.longest:
-                            hi += 1
-                        hit[i] = hi - lo < rules.longest
-            report(hit & ~bad & ~(own & _stuck(x, rules.stuck)[bar] & (value == x[bar])), field)
+                    far = (np.log1p(x / scale) - normal > rules.sparse) & (x > rules.volume_times * most)
+                    for i in np.flatnonzero(own & (rest > rules.sparse) & (value > rules.volume_times * most)):
+                        hit[i] = _short(far, bar[i], rules.longest)
+            report(hit & ~bad & ~stuck, field)
         return pa.table({"bar_id": np.concatenate(ids) if ids else np.zeros(0, np.int64), "field": pa.array(fields, pa.string())}, schema=out)
 
     return find
 
 
 def _source_stats(stats: DataFrame, times: float) -> DataFrame:
-    """(source, _move, _most): the median of a source's moves that aren't zero, and its largest ordinary volume: the largest that
-    smaller ones lead up to, each at most `times` the one before, from the upper tenth on."""
-    binned = stats.where("n > 0").groupBy("source", "kind", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    """(source, _move, _most): the median of a source's moves that aren't zero, and its largest ordinary volume: that of the
+    low-rank part, or of sparse volumes that it leads up to, each at most `times` the one before."""
+    binned = stats.groupBy("source", "kind", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     w = Window.partitionBy("source", "kind").orderBy("bin")
     upto = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    x = binned.withColumns({"_upto": upto, "_all": F.sum("n").over(Window.partitionBy("source", "kind")), "_before": F.lag("hi").over(w)})
-    jump = (F.col("lo") > F.col("_before") * times) & (F.col("_upto") - F.col("n") >= 0.9 * F.col("_all"))
+    x = binned.withColumns({"_upto": upto, "_all": F.sum("n").over(Window.partitionBy("source", "kind")), "_before": F.lag("hi").over(w), "_plain": F.max(F.when(F.col("kind") == "ordinary", F.col("hi"))).over(Window.partitionBy("source"))})
+    jump = F.col("lo") > F.greatest("_plain", "_before") * times
     x = x.withColumn("_jumps", F.sum(F.coalesce(jump, F.lit(False)).cast("int")).over(w))
     middle = (F.col("kind") == "move") & (F.col("_upto") * 2 >= F.col("_all")) & ((F.col("_upto") - F.col("n")) * 2 < F.col("_all"))
     inside = (F.col("_all") / 2 - (F.col("_upto") - F.col("n"))) / F.col("n")
-    return x.groupBy("source").agg(F.max(F.when(middle, F.col("lo") + (F.col("hi") - F.col("lo")) * inside)).alias("_move"), F.max(F.when((F.col("kind") == "volume") & (F.col("_jumps") == 0), F.col("hi"))).alias("_most"))
+    led = (F.col("kind") == "ordinary") | ((F.col("kind") == "sparse") & (F.col("_jumps") == 0) & F.col("_plain").isNotNull())
+    return x.groupBy("source").agg(F.max(F.when(middle, F.col("lo") + (F.col("hi") - F.col("lo")) * inside)).alias("_move"), F.max(F.when(led, F.col("hi"))).alias("_most"))
+
+
+def _around(edges: DataFrame, k: int, stretch: int = 1024) -> DataFrame:
+    """(source, field, _block, before, after): the last k bars before a block and the first k after it. edges: a row for each block
+    with bars, with its first and last ones in `head` and `tail`. Windows run over stretches of blocks, then over stretches."""
+    keys = ["source", "field"]
+    x = edges.withColumn("_s", F.expr(f"_block div {stretch}"))
+    near, far = Window.partitionBy(*keys, "_s").orderBy("_block"), Window.partitionBy(*keys).orderBy("_s")
+    last = lambda c: F.slice(c, F.greatest(F.lit(1), F.size(c) - k + 1), k)
+    ahead = lambda w, c: F.flatten(F.collect_list(c).over(w.rowsBetween(-k, -1)))
+    behind = lambda w, c: F.flatten(F.collect_list(c).over(w.rowsBetween(1, k)))
+    x = x.withColumns({"_b": ahead(near, "tail"), "_a": behind(near, "head")})
+    whole = x.groupBy(*keys, "_s").agg(F.sort_array(F.collect_list(F.struct("_block", "head", "tail"))).alias("_all"))  # stretch x k bars at most
+    whole = whole.select(*keys, "_s", F.slice(F.flatten("_all.head"), 1, k).alias("_head"), last(F.flatten("_all.tail")).alias("_tail"))
+    whole = whole.select(*keys, "_s", ahead(far, "_tail").alias("_bb"), behind(far, "_head").alias("_aa"))
+    x = x.join(whole, [*keys, "_s"])
+    return x.select(*keys, "_block", last(F.concat("_bb", "_b")).alias("before"), F.slice(F.concat("_a", "_aa"), 1, k).alias("after"), "head")
 
 
 def find_implausible(df: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFrame:
-    """(bar_id, field): each close or volume reading that can't be right, once.
+    """(bar_id, field): each close or volume reading that can't be right, once; the same for any size of the blocks, but for what
+    the low-rank part of other days gives.
 
     df: bar_id, source, bar_step, timestamp, low, high, close, volume, ingested_at; other columns are ignored. Null readings
     are never reported. Rows of one source and time are one bar, which stands for its last usable row; each row is judged by
@@ -248,20 +299,21 @@ def find_implausible(df: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFra
         F.col("bar_id").cast("bigint").alias("bar_id"), "source", F.unix_micros("timestamp").alias("_us"), F.coalesce(F.unix_micros("ingested_at"), F.lit(0)).alias("_seen"),
         number("close"), number("volume"), F.coalesce(step_seconds(F.col("bar_step")), F.lit(3600)).alias("_step"), bad_close.alias("_bad_close"), bad_volume.alias("_bad_volume"),
     )
-    days = F.greatest(F.lit(1), F.floor(F.lit(rules.block) * F.col("_step") / 86400))
-    rows = rows.withColumn("_span", (days * 86_400_000_000).cast("bigint"))
-    block = lambda us: F.expr(f"({us} - pmod({us}, _span)) div _span")
-    edge = f"_step * {rules.margin * 1_000_000}"
-    rows = rows.withColumns({"_own": block("_us"), "_prev": block(f"(_us - {edge})"), "_next": block(f"(_us + {edge})")})
-    rows = rows.withColumn("_block", F.explode(F.array_distinct(F.array("_own", "_prev", "_next")))).withColumn("_home", F.col("_block") == F.col("_own"))
-
-    # Two passes over the blocks: what is usual for a source, then its readings.
-    rows = rows.select("bar_id", "source", "_block", "_us", "_seen", "_home", "close", "volume", "_step", "_bad_close", "_bad_volume")
-    stats = rows.groupBy("source", "_block").applyInArrow(_block_stats, "source string, _block bigint, kind string, bin int, n bigint, lo double, hi double")
-    stats = cut_lineage(stats)  # read for the sources and for the list of blocks
-    # By block, so that the rows of a large source meet its numbers in many tasks.
-    blocks = stats.where("kind = 'block'").select("source", "_block").join(_source_stats(stats, rules.volume_times), "source", "left")
-    ready = rows.join(blocks, ["source", "_block"], "left")
-    series = ready.groupBy("source", "_block").applyInArrow(_block_finder(rules), "bar_id bigint, field string")
+    days = F.greatest(F.lit(7), F.floor(F.lit(rules.block) * F.col("_step") / 86400))
+    rows = rows.withColumn("_span", (days * 86_400_000_000).cast("bigint")).withColumn("_block", F.expr("(_us - pmod(_us, _span)) div _span")).drop("_span")
+
+    # Two passes over the blocks: what is usual for a source, then its readings. One row for each block carries what the second
+    # pass has to know; it meets the block's rows in their group, not in each row.
+    stats = cut_lineage(rows.groupBy("source", "_block").applyInArrow(_block_stats(rules), _STATS_DDL))
+    edges = stats.where("kind rlike '^(head|tail)_'").groupBy("source", F.substring("kind", 6, 6).alias("field"), "_block").agg(*[F.max(F.when(F.col("kind").startswith(s), F.arrays_zip("us", "x"))).alias(s) for s in ("head", "tail")])
+    around = _around(edges, rules.edge)
+    # The move from a block's last bar to the next block's first counts as well.
+    gap = F.abs(F.ln(F.element_at("after", 1)["x"]) - F.ln(F.element_at("own", -1)["x"]))
+    step_over = around.join(edges.select("source", "field", "_block", F.col("tail").alias("own")), ["source", "field", "_block"]).where((F.col("field") == "close") & (F.size("after") > 0)).select("source", "_block", F.lit("move").alias("kind"), gap.alias("lo")).where("lo > 0")
+    step_over = step_over.select("source", "_block", "kind", F.floor(F.log2("lo") * 32).cast("int").alias("bin"), F.lit(1).cast("bigint").alias("n"), "lo", F.col("lo").alias("hi"))
+    usual = _source_stats(stats.where("n > 0").drop("us", "x").unionByName(step_over), rules.volume_times)
+    told = around.groupBy("source", "_block").agg(*[F.max(F.when(F.col("field") == f, F.col(s))).alias(f"{s}_{f}") for f in ("close", "volume") for s in ("before", "after")])
+    told = stats.where("kind = 'block'").select("source", "_block").join(told, ["source", "_block"], "left").join(usual, "source", "left")
+    series = rows.groupBy("source", "_block").cogroup(told.groupBy("source", "_block")).applyInArrow(_block_finder(rules), "bar_id bigint, field string")
     loose = df.where(F.col("source").isNull() | F.col("timestamp").isNull()).select("bar_id", F.explode(F.filter(F.array(F.when(bad_close, F.lit("close")), F.when(bad_volume, F.lit("volume"))), lambda x: x.isNotNull())).alias("field"))
     return series.unionByName(loose)
