@@ -11,7 +11,7 @@ Everything is a column expression, so the scan stays one stage; the only join is
 from __future__ import annotations
 
 import zoneinfo
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import lru_cache
@@ -56,36 +56,36 @@ RESULT = "struct<utc_us:bigint,status:string,pattern:string>"
 
 
 @lru_cache(maxsize=None)
-def _zone_rules(first: int, last: int) -> tuple[tuple[str, tuple[tuple[str, int], ...]], ...]:
-    rows = []
-    for name in sorted(zoneinfo.available_timezones()):
-        if "/" not in name and name not in ("UTC", "GMT"):
-            continue
-        zone, seen = zoneinfo.ZoneInfo(name), {}
-        for year in range(first, last + 1):
-            for month in (1, 4, 7, 10):
-                t = datetime(year, month, 15, tzinfo=timezone.utc).astimezone(zone)
-                seen[t.tzname().upper()] = int(t.utcoffset().total_seconds())
-        rows.append((name, tuple(sorted(seen.items()))))
-    return tuple(rows)
-
-
-def zone_table(spark: SparkSession, first: int = 2000, last: int = 2037) -> DataFrame:
-    """(zone, abbreviations): each IANA zone with the UTC offsets in seconds of its abbreviations in the given years; about 600 rows."""
-    schema = T.StructType([T.StructField("zone", T.StringType()), T.StructField("abbreviations", T.MapType(T.StringType(), T.IntegerType()))])
-    return spark.createDataFrame([(z, dict(a)) for z, a in _zone_rules(first, last)], schema)
+def _zone_rules(name: str, first: int, last: int) -> dict[str, list[int]]:
+    """The UTC offsets in seconds of each abbreviation of a zone in the given years, the latest last."""
+    zone, seen = zoneinfo.ZoneInfo(name), {}
+    for year in range(first, last + 1):
+        for month in (1, 4, 7, 10):
+            t = datetime(year, month, 15, tzinfo=timezone.utc).astimezone(zone)
+            offset, own = int(t.utcoffset().total_seconds()), seen.setdefault(t.tzname().upper(), [])
+            if offset in own:
+                own.remove(offset)
+            own.append(offset)
+    return seen
 
 
 @lru_cache(maxsize=None)
 def _regions() -> tuple[str, ...]:
-    """Zone names that both Python and the JVM know."""
-    names = {n for n in zoneinfo.available_timezones() if "/" in n} | {"UTC", "GMT"}
+    """Zone names that both Python and the JVM know, those without a slash included."""
+    names = set(zoneinfo.available_timezones())
     spark = SparkSession.getActiveSession()
     if spark is not None and hasattr(spark, "sparkContext"):
         names &= set(spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds())
     return tuple(sorted(names))
 
 
+def zone_table(spark: SparkSession, names: Iterable[str], first: int = 1990, last: int = 2037) -> DataFrame:
+    """(zone, abbreviations): the named IANA zones, about 600 at most, each with the UTC offsets that its abbreviations had in the
+    given years; an abbreviation may have had several. Unknown names have no row."""
+    schema = T.StructType([T.StructField("zone", T.StringType()), T.StructField("abbreviations", T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))])
+    return spark.createDataFrame([(z, _zone_rules(z, first, last)) for z in sorted(set(names) & set(_regions()))], schema)
+
+
 def _at(fields: Column, i: int) -> Column:
     x = fields.getItem(i)
     return F.when(x != "", x)
@@ -113,12 +113,12 @@ def _wall(f: Column, month_first: Column) -> Column:
     return F.when(ok, F.try_make_timestamp(_at(f, 1).try_cast("int"), month, day, hour24, minute, second.cast("decimal(16,6)"), F.lit("UTC")))
 
 
-def _offset(zone: Column, region: Column, abbreviations: Column) -> Column:
-    """The offset in seconds that the text itself settles, else null."""
+def _offset(zone: Column, region: Column) -> Column:
+    """The offset in seconds that the text itself settles, whatever the source; else null."""
     signed = zone.rlike(r"^[+-]")
     hh, mm = F.substring(zone, 2, 2).try_cast("int"), F.coalesce(F.regexp_extract(zone, r"^[+-]\d{2}:?(\d{2})$", 1).try_cast("int"), F.lit(0))
     number = F.when((hh <= 18) & (mm < 60), (hh * 3600 + mm * 60) * F.when(zone.startswith("-"), -1).otherwise(1))
-    return F.when(signed, number).when(zone.isin("Z", "UTC", "GMT", "UT") | (zone.isNull() & region.isin("UTC", "GMT")), 0).when(zone.isNotNull(), F.try_element_at(abbreviations, zone))
+    return F.when(signed, number).when(zone.isin("Z", "UTC", "GMT", "UT") | (zone.isNull() & region.isin("UTC", "GMT")), 0)
 
 
 def _epoch(t: Column) -> Column:
@@ -140,13 +140,18 @@ def normalize_timestamps(df: DataFrame, sources: DataFrame, columns: Mapping[str
     are after it, the earlier; the later where it is null), `earlier`, `later` or `null`. nonexistent: for a skipped wall time,
     `null` or `shift` (moved forward by the length of the gap).
 
+    An abbreviation means the offset that it had, by the rules of the source's zone, at the time it names; where the zone used it at
+    another time of the year only, the last offset that it had.
+
     status: `exact` (epoch, offset, UTC or abbreviation), `zoned` (a wall time with one instant), `ambiguous`, `skipped`,
     `no_zone` (the default zone or abbreviation isn't known), `unreadable`; a null or blank text gives a null struct. Rows whose
     source is null or unknown keep what their texts settle themselves. Other columns of `sources` aren't taken, so equal names
     in df don't clash. Rows are never dropped or repeated; an empty table stays empty.
     """
     own = sources.where(F.col(source_col).isNotNull()).groupBy(F.col(source_col).alias("_src")).agg(F.min(zone_col).alias("_zone"), F.min(order_col).alias("_order"))
-    own = own.join(F.broadcast(zone_table(df.sparkSession)), F.col("_zone") == F.col("zone"), "left").select("_src", F.col("zone").alias("_zone"), F.coalesce(F.col("_order") == "mdy", F.lit(False)).alias("_mdy"), F.col("abbreviations").alias("_abbr"))
+    # Rules are made for the zones that the sources name, of which there are no more than zones of the world.
+    named = [r[0] for r in own.where(F.col("_zone").isin(*_regions())).select("_zone").distinct().collect()]
+    own = own.join(F.broadcast(zone_table(df.sparkSession, named)), F.col("_zone") == F.col("zone"), "left").select("_src", F.col("zone").alias("_zone"), F.coalesce(F.col("_order") == "mdy", F.lit(False)).alias("_mdy"), F.col("abbreviations").alias("_abbr"))
     # Columns go by their place until the end, so that no name of df meets one of the steps.
     place = {n: f"c{i}" for i, n in enumerate(df.columns)}
     source, received_at = F.col(place[source_col]), F.col(place[received_col])
@@ -157,29 +162,35 @@ def normalize_timestamps(df: DataFrame, sources: DataFrame, columns: Mapping[str
     out = out.withColumns({f"_f{i}": _texts(F.col(f"_t{i}")) for i, *_ in each})
     out = out.withColumns({f"_w{i}": _wall(F.col(f"_f{i}"), F.coalesce("_mdy", F.lit(False))) for i, *_ in each} | {f"_z{i}": F.upper(_at(F.col(f"_f{i}"), 9)) for i, *_ in each} | {f"_r{i}": _at(F.col(f"_f{i}"), 10) for i, *_ in each})
     known = F.split(F.lit(",".join(_regions())), ",")  # folded to one literal array
-    tz = lambda i, default: F.when(F.col(f"_z{i}").isNull(), F.when(F.col(f"_r{i}").isNull(), default).when(F.array_contains(known, F.col(f"_r{i}")), F.col(f"_r{i}")))
-    out = out.withColumns({f"_o{i}": _offset(F.col(f"_z{i}"), F.col(f"_r{i}"), F.col("_abbr")) for i, *_ in each} | {f"_zone{i}": tz(i, F.lit(z) if z else F.col("_zone")) for i, _, z in each})
+    # An abbreviation is one of the source's own zone, whatever the column's default.
+    offsets = lambda i: F.try_element_at(F.col("_abbr"), F.col(f"_z{i}"))
+    tz = lambda i, default: F.when(F.col(f"_z{i}").isNotNull(), F.when(offsets(i).isNotNull(), F.col("_zone"))).when(F.col(f"_r{i}").isNull(), default).when(F.array_contains(known, F.col(f"_r{i}")), F.col(f"_r{i}"))
+    out = out.withColumns({f"_o{i}": _offset(F.col(f"_z{i}"), F.col(f"_r{i}")) for i, *_ in each} | {f"_zone{i}": tz(i, F.lit(z) if z else F.col("_zone")) for i, _, z in each} | {f"_n{i}": offsets(i) for i, *_ in each})
     # The offsets in force a day before and a day after the wall time cover at most one change of the clock.
     day = F.expr("interval 1 day")
     shifted = lambda w, z, d: w - (F.from_utc_timestamp(w + d, z) - (w + d))
     zone = lambda i: F.coalesce(F.col(f"_zone{i}"), F.lit("UTC"))
     out = out.withColumns({f"_b{i}": shifted(F.col(f"_w{i}"), zone(i), -day) for i, *_ in each} | {f"_a{i}": shifted(F.col(f"_w{i}"), zone(i), day) for i, *_ in each})
     out = out.withColumns({f"_fb{i}": F.from_utc_timestamp(F.col(f"_b{i}"), zone(i)) == F.col(f"_w{i}") for i, *_ in each} | {f"_fa{i}": F.from_utc_timestamp(F.col(f"_a{i}"), zone(i)) == F.col(f"_w{i}") for i, *_ in each})
+    # An abbreviation had other offsets at other times: it settles those instants whose offset it had by the zone's rules.
+    said = lambda i, at: F.col(f"_n{i}").isNull() | F.array_contains(F.col(f"_n{i}"), (F.unix_seconds(F.col(f"_w{i}")) - F.unix_seconds(F.col(at))).cast("int"))
+    out = out.withColumns({f"_sb{i}": F.col(f"_fb{i}") & said(i, f"_b{i}") for i, *_ in each} | {f"_sa{i}": F.col(f"_fa{i}") & said(i, f"_a{i}") for i, *_ in each})
     # A filter on the result would be pushed below these steps with all of them written out in it, again and again for each use;
     # a generator of one row stops that and stays in the same stage.
-    kept = [f"_{k}{i}" for i, *_ in each for k in ("t", "f", "w", "o", "zone", "b", "a", "fb", "fa")]
+    kept = [f"_{k}{i}" for i, *_ in each for k in ("t", "f", "w", "o", "zone", "n", "b", "a", "sb", "sa")]
     out = out.select(*place.values(), F.explode(F.array(F.struct(*kept))).alias("_steps")).select(*place.values(), *[F.col(f"_steps.{c}").alias(c) for c in kept])
     none = F.lit(None).cast("bigint")
 
     def instant(i: int) -> Column:
-        t, f, w, offset, before, after, fb, fa = (F.col(f"_{k}{i}") for k in ("t", "f", "w", "o", "b", "a", "fb", "fa"))
+        t, f, w, offset, before, after, fb, fa = (F.col(f"_{k}{i}") for k in ("t", "f", "w", "o", "b", "a", "sb", "sa"))
+        named, abbreviated = F.element_at(F.col(f"_n{i}"), -1), F.col(f"_n{i}").isNotNull()
         micro = F.coalesce(F.substring(F.rpad(_at(f, 7), 6, "0"), 1, 6).try_cast("bigint"), F.lit(0))
         first, last = F.unix_micros(F.least(before, after)) + micro, F.unix_micros(F.greatest(before, after)) + micro
         received = F.unix_micros(received_at)
         picks = {"later_not_after": F.when(received.isNull() | (last <= received), last).otherwise(first), "earlier": first, "later": last, "null": none}
         gap = F.unix_micros(before) + micro if nonexistent == "shift" else none
         epoch = _epoch(t)
-        out = lambda us, status, pattern=_at(f, 0): F.struct(us.alias("utc_us"), F.lit(status).alias("status"), pattern.alias("pattern"))
+        out = lambda us, status, pattern=_at(f, 0): F.struct(us.alias("utc_us"), (F.lit(status) if isinstance(status, str) else status).alias("status"), pattern.alias("pattern"))
         return (
             F.when(t.isNull() | (t == ""), F.lit(None).cast(RESULT))
             .when(f.isNull() & epoch.isNotNull(), out(epoch, "exact", F.lit("epoch")))
@@ -187,8 +198,8 @@ def normalize_timestamps(df: DataFrame, sources: DataFrame, columns: Mapping[str
             .when(offset.isNotNull(), out(F.unix_micros(w) - offset.cast("bigint") * 1_000_000 + micro, "exact"))
             .when(F.col(f"_zone{i}").isNull(), out(none, "no_zone"))
             .when(fb & fa & (before != after), out(picks[ambiguous], "ambiguous"))
-            .when(fb, out(F.unix_micros(before) + micro, "zoned"))
-            .when(fa, out(F.unix_micros(after) + micro, "zoned"))
+            .when(fb | fa, out(F.when(fb, F.unix_micros(before)).otherwise(F.unix_micros(after)) + micro, F.when(abbreviated, "exact").otherwise("zoned")))
+            .when(abbreviated, out(F.unix_micros(w) - named.cast("bigint") * 1_000_000 + micro, "exact"))
             .otherwise(out(gap, "skipped"))
         )
 

@@ -12,16 +12,13 @@ from barloom.sources.tables import table
 
 
 def _p1_texts(spark: SparkSession, d: str) -> DataFrame:
-    feeds = table(spark, d, "feeds")
-    k = ts.normalize_timestamps(table(spark, d, "klines_raw").select("raw_id", "feed_id", "open_time", "received_at"), feeds, {"open_time": None})
-    f = ts.normalize_timestamps(
-        table(spark, d, "funding_raw").select("raw_id", "feed_id", "fundingTime", "funding_time_utc", "timestamp", "received_at"),
-        feeds,
-        {"fundingTime": None, "funding_time_utc": "UTC", "timestamp": None},
-    )
-    return k.select("raw_id", F.array("open_time_instant").alias("texts"), F.col("open_time_instant.utc_us").alias("utc_us")).unionByName(
-        f.select("raw_id", F.array("funding_time_utc_instant", "fundingTime_instant", "timestamp_instant").alias("texts"), ts.agreed_instant([F.col(f"{c}_instant") for c in ("funding_time_utc", "fundingTime", "timestamp")]).alias("utc_us"))
-    )
+    # Both tables go through one cascade: its expressions are many, so they're compiled once.
+    none = F.lit(None).cast("string")
+    k = table(spark, d, "klines_raw").select("raw_id", "feed_id", "received_at", F.col("open_time").alias("a"), none.alias("b"), none.alias("c"))
+    f = table(spark, d, "funding_raw").select("raw_id", "feed_id", "received_at", F.col("timestamp").alias("a"), F.col("fundingTime").alias("b"), F.col("funding_time_utc").alias("c"))
+    x = ts.normalize_timestamps(k.unionByName(f), table(spark, d, "feeds"), {"a": None, "b": None, "c": "UTC"})
+    texts = [F.col(f"{c}_instant") for c in "cba"]
+    return x.select("raw_id", F.array(*texts).alias("texts"), ts.agreed_instant(texts).alias("utc_us"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

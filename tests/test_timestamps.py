@@ -61,6 +61,18 @@ def test_clock_changes(spark):
     assert run(spark, rows[5:], nonexistent="shift")[0][0] == us(2021, 3, 28, 1, 30)
 
 
+def test_zones_without_a_slash_and_changed_abbreviations(spark):
+    feeds = spark.createDataFrame([("jp", "Japan", "dmy"), ("est", "EST5EDT", "mdy"), ("msk", "Europe/Moscow", "dmy")], "feed_id string, home_zone string, date_order string")
+    texts = [("jp", "2021-03-04 09:00:00"), ("est", "2021-07-04 08:00:00"), ("msk", "2012-06-01 12:00:00 MSK"), ("msk", "2016-06-01 12:00:00 MSK"), ("msk", "2009-01-01 12:00:00 MSK"), ("msk", "2014-10-26 01:30:00 MSK"), ("msk", "2014-10-26 01:30:00")]
+    df = spark.createDataFrame([(i, f, t, datetime(2022, 1, 1)) for i, (f, t) in enumerate(texts)], "id int, feed_id string, text string, received_at timestamp")
+    got = [(r.text_instant.utc_us, r.text_instant.status) for r in normalize_timestamps(df, feeds, {"text": None}).orderBy("id").collect()]
+    assert got == [
+        (us(2021, 3, 4, 0), "zoned"), (us(2021, 7, 4, 12), "zoned"), (us(2012, 6, 1, 8), "exact"), (us(2016, 6, 1, 9), "exact"), (us(2009, 1, 1, 9), "exact"),
+        (us(2014, 10, 25, 22, 30), "ambiguous"), (us(2014, 10, 25, 22, 30), "ambiguous"),  # both instants are MSK, at four and at three hours
+    ]
+    assert run(spark, [("paris", "2021-03-04 09:00:00[Japan]", None)])[0] == (us(2021, 3, 4, 0), "zoned")
+
+
 def test_unknown_source(spark):
     got = run(spark, [(None, "2021-03-04 05:06:07", None), ("other", "2021-03-04 05:06:07", None), ("other", "2021-03-04T05:06:07Z", None)])
     assert [g[1] for g in got] == ["no_zone", "no_zone", "exact"]
