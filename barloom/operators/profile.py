@@ -1,8 +1,9 @@
 """Column-level data quality profile.
 
 Declared checks for all columns compile into one aggregate over one scan. Its result is a table of mergeable states (counts,
-extremes and sketches of distinct values and of the distribution), so that loads, days or partitions profiled apart combine
-into the same state as if they had been profiled together. Reports and tests against other loads read only states.
+extremes and sketches of distinct values and of the distribution), so that files, loads or days profiled apart combine into the
+same state as if they had been profiled together. A kept table of states is refreshed by reading new parts alone. Reports, control
+limits and tests against other loads read only states.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-STATE = ("n_rows", "n_null", "n_out", "n_bad", "distinct_state", "shape_state", "low", "high")
+from barloom.session import broadcast_if_small
+
+STATE = ("n_rows", "n_null", "n_out", "n_bad", "distinct_state", "shape_state", "kind", "low", "high")
 
 
 @dataclass(frozen=True)
@@ -59,7 +62,7 @@ def column_states(df: DataFrame, keys: Sequence[str], checks: Mapping[str, Check
 
     n_out counts values outside a declared range, NaN and infinite ones included; n_bad counts texts that break the pattern.
     The distribution state holds the values within range, that of distinct values all but nulls. low and high are texts of the
-    least and greatest value. Key columns may be null and then form a group of their own; an empty table has no rows.
+    least and greatest value, compared as what kind says: `integer`, `number` or `text`. Key columns may be null and then form a group of their own; an empty table has no rows.
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
     names = [c for c in (columns or df.columns) if c not in keys and not isinstance(fields[c], (T.ArrayType, T.MapType, T.StructType))]
@@ -81,21 +84,49 @@ def column_states(df: DataFrame, keys: Sequence[str], checks: Mapping[str, Check
             F.min(real).cast("string").alias(f"l_{i}"),
             F.max(real).cast("string").alias(f"h_{i}"),
         ]
+        order = "integer" if isinstance(kind, T.IntegralType) else "number" if isinstance(kind, T.NumericType) else "text"
         get = lambda p: F.col(f"{p}_{i}")  # noqa: B023, E731
-        cells.append(F.struct(F.lit(c).alias("column_name"), F.col("n").alias("n_rows"), (F.col("n") - get("n")).alias("n_null"), get("o").alias("n_out"), get("b").alias("n_bad"), get("d").alias("distinct_state"), get("s").alias("shape_state"), get("l").alias("low"), get("h").alias("high")))
+        cells.append(F.struct(F.lit(c).alias("column_name"), F.col("n").alias("n_rows"), (F.col("n") - get("n")).alias("n_null"), get("o").alias("n_out"), get("b").alias("n_bad"), get("d").alias("distinct_state"), get("s").alias("shape_state"), F.lit(order).alias("kind"), get("l").alias("low"), get("h").alias("high")))
     return df.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*cells)))
 
 
 def merge_states(states: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """States of parts combined to those of the coarser groups `keys`. Extremes are compared as texts only where not numbers."""
-    number = lambda c: F.col(c).try_cast("double")
+    """States of parts combined to those of the coarser groups `keys`, the same as if the parts had been read together (sketches
+    within their error). Extremes are compared as whole numbers, numbers or texts, by the column's kind."""
+    by = lambda c: F.struct(F.when(F.col("kind") == "integer", F.col(c).try_cast("decimal(38,0)")), F.when(F.col("kind") == "number", F.col(c).try_cast("double")), F.when(F.col("kind") == "text", F.col(c)))
+    some = lambda c: F.when(F.col(c).isNotNull(), by(c))
     return states.groupBy(*[F.col(f"`{k}`") for k in keys], "column_name").agg(
         F.sum("n_rows").alias("n_rows"), F.sum("n_null").alias("n_null"), F.sum("n_out").alias("n_out"), F.sum("n_bad").alias("n_bad"),
         F.hll_union_agg("distinct_state").alias("distinct_state"), F.kll_merge_agg_double("shape_state").alias("shape_state"),
-        F.min_by("low", F.struct(F.coalesce(number("low"), F.lit(0.0)), F.col("low"))).alias("low"), F.max_by("high", F.struct(F.coalesce(number("high"), F.lit(0.0)), F.col("high"))).alias("high"),
+        F.first("kind").alias("kind"), F.min_by("low", some("low")).alias("low"), F.max_by("high", some("high")).alias("high"),
     )
 
 
+def refresh_states(df: DataFrame, known: DataFrame | None, part: str, keys: Sequence[str], checks: Mapping[str, Check], columns: Sequence[str] | None = None, listed: int = 10_000) -> DataFrame:
+    """`known`, states of earlier parts by (part, keys), with those of the parts of df that it lacks.
+
+    part: the column that tells parts, such as files or loads, which are complete once they are known. New parts are found from
+    that column alone; up to `listed` of them become a filter of the scan, so that only they are read, more of them a join. Null
+    parts are read again each time and not kept."""
+    new = df.where(F.col(part).isNotNull())
+    if known is not None:
+        lacking = new.select(part).distinct().join(known.select(part).distinct(), part, "left_anti")
+        some = [r[0] for r in lacking.limit(listed + 1).collect()]
+        new = new.where(F.col(part).isin(some)) if len(some) <= listed else new.join(broadcast_if_small(lacking, 100_000), part, "left_semi")
+    states = column_states(new, [part, *keys], checks, columns)
+    return states if known is None else known.unionByName(states)
+
+
+def control_limits(compared: DataFrame, group: str, load: str, metric: str, width: float = 3.0, least: int = 2) -> DataFrame:
+    """compared with `<metric>_low`, `<metric>_high`: mean of the group's earlier loads, less and plus `width` deviations, and
+    `<metric>_out`, whether a load lies outside. Null while there are fewer than `least` earlier loads."""
+    w = Window.partitionBy(group, "column_name").orderBy(load).rowsBetween(Window.unboundedPreceding, -1)
+    enough = F.count(metric).over(w) >= least
+    mean, spread = F.avg(metric).over(w), F.stddev_pop(metric).over(w)
+    out = compared.withColumns({f"{metric}_low": F.when(enough, mean - width * spread), f"{metric}_high": F.when(enough, mean + width * spread)})
+    return out.withColumn(f"{metric}_out", (F.col(metric) < F.col(f"{metric}_low") - 1e-12) | (F.col(metric) > F.col(f"{metric}_high") + 1e-12))
+
+
 def _median_of_others(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
     """df with the median of `value` over the other rows of its group, from the three middle values of the sorted group."""
     w, sort = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last(), "load_id")

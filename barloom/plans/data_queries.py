@@ -42,9 +42,11 @@ PACK_CHECKS = {
 
 
 def _p5_compared(spark: SparkSession, d: str, columns: list[str] | None) -> DataFrame:
-    pack = table(spark, d, "rl_observation_pack")
-    states = cut_lineage(profile.column_states(pack, ["pack_id", "load_id"], PACK_CHECKS, columns))  # the scan happens once
-    return profile.compare_loads(states, "pack_id", "load_id")
+    """The loads of each pack compared, from states of single files that are merged."""
+    pack = table(spark, d, "rl_observation_pack").withColumn("_file", F.input_file_name())
+    names = columns or [c for c in pack.columns if c not in ("pack_id", "load_id", "_file")]
+    files = profile.refresh_states(pack, None, "_file", ["pack_id", "load_id"], PACK_CHECKS, names)
+    return profile.compare_loads(cut_lineage(profile.merge_states(files, ["pack_id", "load_id"])), "pack_id", "load_id")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -52,9 +54,27 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return profile.findings(_p5_compared(spark, d, list(PACK_CHECKS)), "load_id", PACK_CHECKS)
 
 
+def p5_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """The same after the newest load of each pack has come: states of the earlier loads are kept, only the new loads are read."""
+    pack = table(spark, d, "rl_observation_pack")
+    newest = pack.groupBy("pack_id").agg(F.max("load_id").alias("load_id"))
+    before = pack.join(newest, ["pack_id", "load_id"], "left_anti")
+    kept = as_table(profile.refresh_states(before, None, "load_id", ["pack_id"], PACK_CHECKS, list(PACK_CHECKS)), "states")
+    states = cut_lineage(profile.refresh_states(pack, kept, "load_id", ["pack_id"], PACK_CHECKS, list(PACK_CHECKS)))
+    return profile.findings(profile.compare_loads(states, "pack_id", "load_id"), "load_id", PACK_CHECKS)
+
+
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
-    """The profile of every column for each load, with its change against the other loads of the pack."""
-    return _p5_compared(spark, d, None).select("pack_id", "load_id", "column_name", "n_rows", F.col("null_share").alias("null_rate"), F.hll_sketch_estimate("distinct_state").alias("distinct_count"), "low", "high", "n_out", "n_bad", F.round(F.col("null_share") - F.col("usual_null_share"), 6).alias("null_change"), F.round("shifted_from", 6).alias("shifted_from"))
+    """The profile of every column for each load, with its change against the other loads of the pack and against the limits that
+    the earlier ones set."""
+    x = _p5_compared(spark, d, None)
+    for metric in ("null_share", "distinct_share"):
+        x = profile.control_limits(x, "pack_id", "load_id", metric)
+    change, shares = F.col("null_share") - F.col("usual_null_share"), [F.round(f"{m}_{side}", 6).alias(f"{m}_{side}") for m in ("null_share", "distinct_share") for side in ("low", "high")]
+    return x.select(
+        "pack_id", "load_id", "column_name", "n_rows", F.col("null_share").alias("null_rate"), F.hll_sketch_estimate("distinct_state").alias("distinct_count"), "low", "high", "n_out", "n_bad",
+        F.round(change, 6).alias("null_change"), F.round("shifted_from", 6).alias("shifted_from"), *shares, "null_share_out", "distinct_share_out",
+    )
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -76,10 +96,11 @@ def p7_counters(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_series(spark: SparkSession, d: str) -> DataFrame:
     """One row for each period of each pack and segment; the summaries are gauges, their missing periods filled or marked."""
-    return gridding.grid_series(table(spark, d, "rl_observation_pack"), ["pack_id", "segment"], ["p_max_filter", "effective_num_states_filter", "expected_state_filter", "p_margin_filter"], id_col="obs_id")
+    x = gridding.grid_series(table(spark, d, "rl_observation_pack"), ["pack_id", "segment"], _GAUGES, id_col="obs_id")
+    return x.withColumns({c: F.round(c, 9) + 0.0 for c in _GAUGES} | {"covered_s": F.round("covered_s", 6) + 0.0})
 
 
-QUERIES = {"p1_found": p1_found, "p1_formats": p1_formats, "p5_found": p5_found, "p5_profile": p5_profile, "p7_found": p7_found, "p7_series": p7_series, "p7_counters": p7_counters}
+QUERIES = {"p1_found": p1_found, "p1_formats": p1_formats, "p5_found": p5_found, "p5_incremental": p5_incremental, "p5_profile": p5_profile, "p7_found": p7_found, "p7_series": p7_series, "p7_counters": p7_counters}
 ORACLES: dict[str, str] = {}
 
 ORACLES["p7_found"] = """
@@ -134,6 +155,33 @@ UNION ALL SELECT load_id, column_name, 'pattern' FROM u WHERE n_bad > 0
 UNION ALL SELECT load_id, column_name, 'shift' FROM sh
 """
 
+ORACLES["p5_incremental"] = ORACLES["p5_found"]
+
+_GAUGES = ("p_max_filter", "effective_num_states_filter", "expected_state_filter", "p_margin_filter")
+
+
+def _gauge_sql(i: int, c: str) -> str:
+    return f"""
+a{i} AS (SELECT pack_id, segment, step, us, max_by({c}, obs_id) AS x FROM r WHERE {c} IS NOT NULL AND NOT isnan({c}) GROUP BY 1, 2, 3, 4),
+b{i} AS (SELECT *, lead(us) OVER (PARTITION BY pack_id, segment, step ORDER BY us) AS z FROM a{i}),
+c{i} AS (SELECT *, unnest(generate_series(us // step, (z - 1) // step)) AS slot FROM b{i} WHERE z IS NOT NULL AND z - us <= 2 * step),
+y{i} AS (SELECT pack_id, segment, step, slot, sum(x * o) / sum(o) AS y FROM (SELECT *, least(z, (slot + 1) * step) - greatest(us, slot * step) AS o FROM c{i}) GROUP BY 1, 2, 3, 4)"""
+
+
+_ON = " AND ".join(f"g.{k} = {{0}}.{k}" for k in ("pack_id", "segment", "step", "slot"))
+ORACLES["p7_series"] = f"""
+WITH r AS (SELECT *, CASE bar_step WHEN '30m' THEN 1800000000 WHEN '1h' THEN 3600000000 WHEN '4h' THEN 14400000000 WHEN '8h' THEN 28800000000 END AS step, epoch_us("timestamp") AS us
+  FROM rl_observation_pack WHERE pack_id IS NOT NULL AND segment IS NOT NULL AND "timestamp" IS NOT NULL AND bar_step IS NOT NULL),
+g AS (SELECT pack_id, segment, step, unnest(generate_series(min(us // step), max(us // step))) AS slot FROM r GROUP BY 1, 2, 3),
+n AS (SELECT pack_id, segment, step, us // step AS slot, count(*) AS n FROM r GROUP BY 1, 2, 3, 4),
+u AS (SELECT DISTINCT pack_id, segment, step, us FROM r), v AS (SELECT *, lead(us) OVER (PARTITION BY pack_id, segment, step ORDER BY us) AS z FROM u),
+w AS (SELECT *, unnest(generate_series(us // step, (z - 1) // step)) AS slot FROM v WHERE z IS NOT NULL AND z - us <= 2 * step),
+k AS (SELECT pack_id, segment, step, slot, sum(least(z, (slot + 1) * step) - greatest(us, slot * step)) / 1000000 AS c FROM w GROUP BY 1, 2, 3, 4),{','.join(_gauge_sql(i, c) for i, c in enumerate(_GAUGES))}
+SELECT g.pack_id, g.segment, CAST(g.slot * g.step // 1000000 AS BIGINT) AS slot_s, CAST(coalesce(n, 0) AS BIGINT) AS n_readings, round(coalesce(c, 0), 6) + 0.0 AS covered_s,
+  CASE WHEN n > 0 THEN 'read' WHEN c > 0 THEN 'filled' ELSE 'missing' END AS state, {', '.join(f'round(y{i}.y, 9) + 0.0 AS {c}' for i, c in enumerate(_GAUGES))}
+FROM g LEFT JOIN n ON {_ON.format('n')} LEFT JOIN k ON {_ON.format('k')} {' '.join(f'LEFT JOIN y{i} ON ' + _ON.format(f'y{i}') for i in range(len(_GAUGES)))}
+"""
+
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Close and volume readings that can't be right, measured by what is normal for their source."""

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import gridding
 from barloom.operators.gridding import grid_series
-from barloom.operators.profile import Check, column_states, compare_loads, findings, merge_states
+from barloom.operators.profile import Check, column_states, compare_loads, control_limits, findings, merge_states, refresh_states
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 CHECKS = {"x": Check(0.0, 1.0), "h": Check(pattern="[0-9a-f]{4}")}
@@ -48,6 +48,35 @@ def test_states_merge(spark):
     assert {r.column_name for r in parts.collect()} == {"x", "h", "n"}
 
 
+def test_merged_extremes_of_every_kind(spark):
+    rows = [(0, "10", 10, 10.0, True), (1, "9", 9, 9.5, False), (1, "abc", -2, float("nan"), None), (1, None, 9007199254740993, None, None), (0, "b", 9007199254740992, float("inf"), None)]
+    df = spark.createDataFrame(rows, "part int, t string, i bigint, d double, b boolean").withColumns({"at": F.timestamp_seconds(F.col("i") % 1000), "dec": F.col("i").cast("decimal(20,2)")})
+    whole = {r.column_name: (r.low, r.high) for r in column_states(df.drop("part"), [], {}).collect()}
+    merged = {r.column_name: (r.low, r.high) for r in merge_states(column_states(df, ["part"], {}), []).collect()}
+    assert merged == whole and whole["t"] == ("10", "b") and whole["i"] == ("-2", "9007199254740993")
+
+
+def test_refresh_reads_new_parts_alone(spark, tmp_path):
+    df = loads(spark, [usual(k) for k in range(5)])
+    df.write.partitionBy("load").parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    first = refresh_states(df.where("load < 4"), None, "load", ["pack"], CHECKS, ["x", "h"])
+    kept = spark.createDataFrame(first.collect(), first.schema)
+    again = refresh_states(df, kept, "load", ["pack"], CHECKS, ["x", "h"])
+    whole = {(r.load, r.column_name): r for r in column_states(df, ["load", "pack"], CHECKS, ["x", "h"]).collect()}
+    assert {(r.load, r.column_name): r for r in again.select(*first.columns).collect()} == whole and len(whole) == 10
+    assert "PartitionFilters: [isnotnull(load" in again._jdf.queryExecution().toString() and "(load#" in again._jdf.queryExecution().toString()
+    assert refresh_states(df, again, "load", ["pack"], CHECKS, ["x", "h"]).count() == 10
+    assert refresh_states(df, kept, "load", ["pack"], CHECKS, ["x", "h"], listed=0).count() == 10
+
+
+def test_control_limits(spark):
+    per = [[(None if i < n else 0.5, "0f0f") for i in range(100)] for n in (10, 12, 11, 60, 11)]
+    s = compare_loads(column_states(loads(spark, per), ["pack", "load"], CHECKS, ["x"]), "pack", "load")
+    got = {r.load: r.null_share_out for r in control_limits(s, "pack", "load", "null_share").collect()}
+    assert got == {0: None, 1: None, 2: False, 3: True, 4: False}
+
+
 READINGS = "k string, timestamp timestamp, bar_step string, v double, id int, slot int, _us int"
 
 
