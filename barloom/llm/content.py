@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans("аеорсухіѕјһԁкмтвнӏԛԝгαεοιυνκρτχ", "aeopcyxisjhdkmtbhlqwraeoiuvkptx")
@@ -40,7 +41,8 @@ _MARK = re.compile("[̀-ͯ]")
 @dataclass(frozen=True)
 class ContentRules:
     """most_labelled: labelled documents that training takes at most, those of the smallest hash of doc_id. bits: of the hash space.
-    stretches: their lengths in words. alpha, beta, l1, l2: of FTRL-proximal. rounds: passes. words: words kept for undisguising at most."""
+    stretches: their lengths in words. alpha, beta, l1, l2: of FTRL-proximal. rounds: passes. The words known for undisguising are
+    all that two labelled documents have."""
 
     most_labelled: int = 20_000
     bits: int = 20
@@ -50,7 +52,6 @@ class ContentRules:
     l1: float = 0.6
     l2: float = 0.5
     rounds: int = 4
-    words: int = 50_000
     seed: int = 7
 
 
@@ -253,7 +254,7 @@ def train(texts: list[str | None], labels: list[int], rules: ContentRules = Cont
     threshold is the one with the best F1 on what the other half's model says. Without both classes, the model flags nothing."""
     y = np.array(labels, float)
     count = Counter(w for t in texts for w in {_plain(x) for x in split_words(t or "") if "*" not in x})
-    known = dict(sorted(((w, c) for w, c in count.items() if c >= 2), key=lambda x: (-x[1], x[0]))[: rules.words])
+    known = {w: c for w, c in sorted(count.items()) if c >= 2}
     model = Model(np.zeros(1 << rules.bits), -10.0, known, rules, 1.1)
     if len(y) < 4 or y.min() == y.max():
         return model
@@ -308,16 +309,22 @@ def fit(docs: DataFrame, labels: DataFrame, rules: ContentRules = ContentRules()
     return bytes(found[0]["model"]) if found else Model(np.zeros(1 << rules.bits), -10.0, {}, rules, 1.1).dump()
 
 
-def score_documents(docs: DataFrame, model: bytes, rules: ContentRules = ContentRules()) -> DataFrame:
-    """(doc_id, score, flagged) for each row of docs; null, empty and blank texts have the score of no words and are never flagged."""
+def score_documents(docs: DataFrame, model: bytes, rules: ContentRules = ContentRules(), keep: tuple[str, ...] = (), most_bytes: int = 256 << 20) -> DataFrame:
+    """(doc_id, score, flagged, and the columns named in keep) for each row of docs; null, empty and blank texts have the score of no
+    words and are never flagged. The model goes to every worker; its size follows from the labelled documents, and one of more
+    than most_bytes raises."""
+    if len(model) > most_bytes:
+        raise ValueError(f"a model of {len(model)} bytes is too large to be sent to every worker; train it on fewer labelled documents")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("flagged", pa.bool_())])
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model.load(shared.value, rules)
         for b in batches:
             texts = b.column(1).to_pylist()
             scores = [m.score(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array([bool(t and t.strip()) and s >= m.threshold for s, t in zip(scores, texts)])], schema=schema)
+            flags = pa.array([bool(t and t.strip()) and s >= m.threshold for s, t in zip(scores, texts)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), flags, *b.columns[2:]], names=["doc_id", "score", "flagged", *keep])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double, flagged boolean")
+    out = StructType([StructField("doc_id", LongType()), StructField("score", DoubleType()), StructField("flagged", BooleanType()), *kept.fields])
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, out)

@@ -2,8 +2,9 @@
 
 Vector best-fit: an open container has residual capacities for tokens, documents and attention cost (the sum of squared
 lengths). Items are placed in falling order of size; of the containers that hold an item under every constraint, the one with the
-smallest weighted norm of what would be left takes it. Items are split at random into shards of bounded size, packed side by
-side; containers that stay open are emptied and their items packed again together, with ever fewer shards.
+smallest weighted norm of what would be left takes it; every open container is weighed. Items are split at random into shards of
+bounded size, packed side by side; containers that stay open are emptied and their items packed again in new shards of the same
+size, for as long as that frees containers.
 """
 
 from __future__ import annotations
@@ -17,94 +18,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-#: Kinds of containers that one call takes.
+#: Kinds of containers that are part of the plan; more of them are joined.
 MOST_KINDS = 1000
 
 
 @dataclass(frozen=True)
 class PackingRules:
-    """shard: items of a shard at most, about. weights: of tokens, documents and attention cost in the norm. max_documents and
-    max_attention: capacities of a container; None for the most that its tokens allow, which never binds. look: containers
-    weighed for an item at most before the first that holds it is taken. open_share: room, as a share of the capacity, from
-    which a container is emptied and packed again."""
+    """shard: items of a shard, about. weights: of tokens, documents and attention cost in the norm. max_documents and
+    max_attention: capacities of a container; None for the most that its tokens allow, which never binds. open_share: room, as a
+    share of the capacity, from which a container is emptied and packed again. gain: share of the emptied containers that a round
+    must free for another one to follow."""
 
-    shard: int = 40_000
-    weights: tuple[float, float, float] = (1.0, 0.05, 0.05)
+    shard: int = 10_000
+    weights: tuple[float, float, float] = (1.0, 0.001, 0.001)
     max_documents: int | None = None
     max_attention: float | None = None
-    look: int = 8
     open_share: float = 0.01
-
-
-class _Open:
-    """Open containers by residual tokens: for a size, the next residual that some container has is a bit search."""
-
-    def __init__(self) -> None:
-        self.mask, self.at = 0, {}
-
-    def add(self, room: int, bin_no: int) -> None:
-        self.at.setdefault(room, []).append(bin_no)
-        self.mask |= 1 << room
-
-    def take(self, room: int, bin_no: int) -> None:
-        own = self.at[room]
-        own.remove(bin_no)
-        if not own:
-            del self.at[room]
-            self.mask &= ~(1 << room)
-
-    def rooms(self, size: int):
-        rest = self.mask >> size
-        while rest:
-            low = (rest & -rest).bit_length() - 1
-            size += low
-            yield size
-            rest = (rest >> low) >> 1
-            size += 1
+    gain: float = 0.001
 
 
 def best_fit(sizes: np.ndarray, capacity: int, rules: PackingRules = PackingRules()) -> np.ndarray:
-    """The container of each item; sizes are at most the capacity."""
-    most_docs = rules.max_documents or capacity
-    most_cost = rules.max_attention or float(capacity) ** 2
-    wt, wd, wa = rules.weights
+    """The container of each item; sizes are at most the capacity. All open containers are weighed for each item, as vectors; of
+    equal norms the earliest container takes it."""
+    most_docs = float(rules.max_documents or capacity)
+    most_cost = float(rules.max_attention or float(capacity) ** 2)
+    wt, wd, wa = rules.weights[0] / capacity**2, rules.weights[1] / most_docs**2, rules.weights[2] / most_cost**2
     out = np.full(len(sizes), -1, np.int64)
-    room: list[int] = []
-    docs: list[int] = []
-    cost: list[float] = []
-    ready = _Open()
-    for i in np.argsort(-sizes, kind="stable"):
-        s = int(sizes[i])
-        c = float(s) * s
-        best, norm, seen = -1, math.inf, 0
-        for r in ready.rooms(s):
-            for b in ready.at[r][-rules.look :] if len(ready.at[r]) > rules.look else ready.at[r]:
-                if docs[b] < 1 or cost[b] < c:
-                    continue
-                left = wt * ((r - s) / capacity) ** 2 + wd * ((docs[b] - 1) / most_docs) ** 2 + wa * ((cost[b] - c) / most_cost) ** 2
-                seen += 1
-                if left < norm:
-                    best, norm = b, left
-            if best >= 0 and (seen >= rules.look or r == s):
-                break
-        if best < 0:
-            # every open container, where the newest of a residual don't hold it
-            best = next((b for r in ready.rooms(s) for b in ready.at[r] if docs[b] >= 1 and cost[b] >= c), -1)
-        if best < 0:
-            best = len(room)
-            room.append(capacity), docs.append(most_docs), cost.append(most_cost)
+    order = np.argsort(-sizes, kind="stable")
+    least = int(sizes.min()) if len(sizes) else 0
+    # Residuals of the open containers, whose numbers are `name`; closed ones are swept out now and then.
+    room, docs, cost, name = (np.zeros(64), np.zeros(64), np.zeros(64), np.zeros(64, np.int64))
+    n = made = closed = 0
+    for i in order:
+        s = float(sizes[i])
+        c = s * s
+        r, d, q = room[:n], docs[:n], cost[:n]
+        fits = np.flatnonzero((r >= s) & (d >= 1) & (q >= c)) if n else ()
+        if len(fits):
+            x, y, z = r[fits] - s, d[fits] - 1, q[fits] - c
+            at = int(fits[np.argmin(wt * x * x + wd * y * y + wa * z * z)])
         else:
-            ready.take(room[best], best)
-        room[best] -= s
-        docs[best] -= 1
-        cost[best] -= c
-        if room[best] > 0 and docs[best] > 0:
-            ready.add(room[best], best)
-        out[i] = best
+            if closed * 2 > n:
+                keep = np.flatnonzero((r >= least) & (d >= 1))
+                n, closed = len(keep), 0
+                for a in (room, docs, cost, name):
+                    a[:n] = a[keep]
+            if n == len(room):
+                room, docs, cost, name = (np.concatenate((a, np.zeros_like(a))) for a in (room, docs, cost, name))
+            at, n, made = n, n + 1, made + 1
+            room[at], docs[at], cost[at], name[at] = capacity, most_docs, most_cost, made - 1
+        room[at] -= s
+        docs[at] -= 1
+        cost[at] -= c
+        closed += bool(room[at] < least or docs[at] < 1)
+        out[i] = name[at]
     return out
 
 
-_PACKED = pa.schema([("container_kind", pa.string()), ("container_id", pa.string()), ("doc_id", pa.int64()), ("piece_no", pa.int32()), ("n_tokens", pa.int32()), ("capacity_tokens", pa.int32()), ("room", pa.int32())])
+_PACKED = pa.schema([("container_kind", pa.string()), ("container_id", pa.string()), ("doc_id", pa.int64()), ("piece_no", pa.int32()), ("n_tokens", pa.int32()), ("capacity_tokens", pa.int32()), ("room", pa.int32()), ("first", pa.int32())])
 
 
 def _pack_shard(rules: PackingRules, level: int):
@@ -116,7 +87,9 @@ def _pack_shard(rules: PackingRules, level: int):
         bins = best_fit(sizes, capacity, rules)
         room = capacity - np.bincount(bins, weights=sizes).astype(np.int64)
         n = len(sizes)
-        return pa.table([pa.array([kind] * n, pa.string()), pa.array([f"{level}-{shard}-{b}" for b in bins], pa.string()), items["doc_id"].combine_chunks(), items["piece_no"].combine_chunks(), items["n_tokens"].combine_chunks(), pa.array([capacity] * n, pa.int32()), pa.array(room[bins].astype(np.int32))], schema=_PACKED)
+        first = np.zeros(n, np.int32)
+        first[np.unique(bins, return_index=True)[1]] = 1  # one item of each container, to count them
+        return pa.table([pa.array([kind] * n, pa.string()), pa.array([f"{level}-{shard}-{b}" for b in bins], pa.string()), items["doc_id"].combine_chunks(), items["piece_no"].combine_chunks(), items["n_tokens"].combine_chunks(), pa.array([capacity] * n, pa.int32()), pa.array(room[bins].astype(np.int32)), pa.array(first)], schema=_PACKED)
 
     return pack
 
@@ -125,14 +98,19 @@ def pieces(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     """(container_kind, capacity_tokens, doc_id, piece_no, n_tokens): each item once for each kind of container.
 
     sizes: doc_id, n_tokens. An item longer than the capacity is cut into full pieces and a rest. Items without tokens (null or
-    0) and kinds without a positive capacity have no rows. The kinds, of
-    which there may be MOST_KINDS, are part of the plan, not joined.
+    0) and kinds without a positive capacity have no rows. Up to MOST_KINDS kinds are part of the plan; of more, each item has a row
+    for each kind all the same, by an equi-join on a spread key that every kind has.
     """
-    found = containers.where((F.col("capacity_tokens") > 0) & F.col("container_kind").isNotNull()).groupBy("container_kind").agg(F.max("capacity_tokens").cast("int").alias("c")).limit(MOST_KINDS + 1).collect()
-    if len(found) > MOST_KINDS:
-        raise ValueError(f"more than {MOST_KINDS} kinds of containers; pack them in several calls")
-    kinds = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("int").alias("capacity_tokens")) for k, c in sorted(map(tuple, found))]) if found else F.array().cast("array<struct<container_kind:string,capacity_tokens:int>>")
-    each = sizes.where(F.col("n_tokens") > 0).select("doc_id", "n_tokens", F.inline(kinds))
+    found = containers.where((F.col("capacity_tokens") > 0) & F.col("container_kind").isNotNull()).groupBy("container_kind").agg(F.max("capacity_tokens").cast("int").alias("c"))
+    some = found.limit(MOST_KINDS + 1).collect()
+    kinds = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("int").alias("capacity_tokens")) for k, c in sorted(map(tuple, some))]) if some else F.array().cast("array<struct<container_kind:string,capacity_tokens:int>>")
+    items = sizes.where(F.col("n_tokens") > 0)
+    if len(some) <= MOST_KINDS:
+        each = items.select("doc_id", "n_tokens", F.inline(kinds))
+    else:
+        spread = 64  # keys over which the items are spread
+        all_kinds = found.select("container_kind", F.col("c").alias("capacity_tokens"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("_s"))
+        each = items.withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(spread)).cast("int")).join(all_kinds, "_s").select("doc_id", "n_tokens", "container_kind", "capacity_tokens")
     last = F.expr("(n_tokens - 1) div capacity_tokens").cast("int")
     each = each.withColumn("piece_no", F.explode(F.sequence(F.lit(0), last)))
     return each.select("container_kind", "capacity_tokens", F.col("doc_id").cast("bigint").alias("doc_id"), "piece_no", F.least(F.col("capacity_tokens"), F.col("n_tokens") - F.col("piece_no") * F.col("capacity_tokens")).cast("int").alias("n_tokens"))
@@ -142,13 +120,15 @@ def pack(items: DataFrame, n_items: int, rules: PackingRules = PackingRules(), c
     """(container_kind, container_id, doc_id, piece_no, n_tokens, capacity_tokens): the container of each piece.
 
     items: as from pieces(); n_items: their number, which sets the number of shards. cut: materialises a round's result, since it
-    is read twice. Full pieces are containers of their own. Every piece comes out once; an empty table gives no rows.
+    is read twice. Full pieces are containers of their own. Every piece comes out once; an empty table gives no rows. No task packs
+    more than about a shard, whatever is left open: items of which no two go together simply stay as they are.
     """
     columns = ["container_kind", "container_id", "doc_id", "piece_no", "n_tokens", "capacity_tokens"]
     whole = items.where(F.col("n_tokens") == F.col("capacity_tokens")).select("container_kind", F.concat_ws("-", F.lit("f"), F.col("doc_id").cast("string"), F.col("piece_no").cast("string")).alias("container_id"), "doc_id", "piece_no", "n_tokens", "capacity_tokens")
     done, rest, level = [whole], items.where(F.col("n_tokens") < F.col("capacity_tokens")), 0
     shards = max(1, math.ceil(n_items / rules.shard))
-    ddl = "container_kind string, container_id string, doc_id bigint, piece_no int, n_tokens int, capacity_tokens int, room int"
+    ddl = "container_kind string, container_id string, doc_id bigint, piece_no int, n_tokens int, capacity_tokens int, room int, first int"
+    before = None  # containers that held this round's items so far
     while True:
         sharded = rest.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(level)), F.lit(shards)))
         packed = sharded.groupBy("container_kind", "_shard").applyInArrow(_pack_shard(rules, level), ddl)
@@ -156,10 +136,13 @@ def pack(items: DataFrame, n_items: int, rules: PackingRules = PackingRules(), c
             return _union([*done, packed.select(columns)])
         packed = cut(packed)
         still_open = F.col("room") > F.greatest(F.lit(1), F.col("capacity_tokens") * rules.open_share)
+        counts = packed.groupBy("container_kind").agg(F.sum("first").alias("used"), F.sum(F.when(still_open, F.col("first"))).alias("open"), F.count_if(still_open).alias("left"))
+        used, is_open, left = counts.agg(F.sum("used"), F.sum("open"), F.max("left")).first()
+        if not left or (before is not None and used > before * (1 - rules.gain)):
+            return _union([*done, packed.select(columns)])
         done.append(packed.where(~still_open).select(columns))
-        rest = packed.where(still_open).select("container_kind", "capacity_tokens", "doc_id", "piece_no", "n_tokens")
-        left = rest.count()
-        shards, level = max(1, min(math.ceil(left / rules.shard), shards // 4)), level + 1
+        rest, before = packed.where(still_open).select("container_kind", "capacity_tokens", "doc_id", "piece_no", "n_tokens"), is_open
+        shards, level = max(1, math.ceil(left / rules.shard)), level + 1
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

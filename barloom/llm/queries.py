@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import content, nearest, packing, quantiles, tokenizer
-from barloom.session import cut_lineage
+from barloom.session import as_table, cut_lineage
 from barloom.sources.tables import table
 
 _METRICS = ("sharpe", "max_dd")
@@ -15,7 +15,7 @@ _METRICS = ("sharpe", "max_dd")
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of sharpe and max_dd per wf_id and fold, per fold and overall, from states of single days of logged_at."""
     runs = quantiles.once_per_run(table(spark, d, "run_walkforward").select("run_id", "row_id", "wf_id", "fold", "logged_at", *_METRICS), "run_id", "row_id", ["wf_id", "fold", "logged_at", *_METRICS])
-    days = cut_lineage(quantiles.day_states(runs, F.to_date("logged_at"), ["wf_id", "fold"], _METRICS))
+    days = as_table(quantiles.day_states(runs, F.to_date("logged_at"), ["wf_id", "fold"], _METRICS), "days")  # kept, a later day's states join them
     groups = cut_lineage(quantiles.merge_states(days, ["wf_id", "fold"], _METRICS))
     none = F.lit(None)
     fine = quantiles.percentiles(groups, ["wf_id", "fold"], _METRICS).withColumn("level", F.lit("wf_id_fold"))
@@ -29,14 +29,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return _p6(spark, d).select("row_id", "funding_id")
 
 
-def _p6(spark: SparkSession, d: str) -> DataFrame:
-    return nearest.nearest_by_time(table(spark, d, "train_v1_dataset"), table(spark, d, "funding_8h"), ["venue", "symbol"], "row_id", "funding_id", values=["funding_rate_1h_scaled"], tolerance_s=1800)
+def _p6(spark: SparkSession, d: str, keep: list[str] | None = None) -> DataFrame:
+    return nearest.nearest_by_time(table(spark, d, "train_v1_dataset"), table(spark, d, "funding_8h"), ["venue", "symbol"], "row_id", "funding_id", values=["funding_rate_1h_scaled"], tolerance_s=1800, keep=keep)
 
 
 def p6_nearest(spark: SparkSession, d: str) -> DataFrame:
     """Each row of train_v1_dataset with its nearest funding event and that event's rate, null where none is within the tolerance."""
-    rows = table(spark, d, "train_v1_dataset").select("row_id", "venue", "symbol", "timestamp")
-    return rows.join(_p6(spark, d), "row_id", "left")
+    return _p6(spark, d, ["venue", "symbol", "timestamp"])
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -58,9 +57,9 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return bins.groupBy("container_kind").agg(F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"), (1 - F.sum("used") / F.sum("capacity")).alias("room_share"))
 
 
-def _p10(spark: SparkSession, d: str) -> DataFrame:
+def _p10(spark: SparkSession, d: str, keep: tuple[str, ...] = ()) -> DataFrame:
     docs = table(spark, d, "documents")
-    return content.score_documents(docs, content.fit(docs, table(spark, d, "content_labels")))
+    return content.score_documents(docs, content.fit(docs, table(spark, d, "content_labels")), keep=keep)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +74,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     """The share of such documents for each source."""
-    scored = table(spark, d, "documents").select("doc_id", "source").join(_p10(spark, d), "doc_id")
+    scored = _p10(spark, d, ("source",))
     return scored.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if("flagged").alias("n_flagged"), F.avg(F.col("flagged").cast("double")).alias("rate"))
 
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -64,6 +65,17 @@ def test_in_spark(spark):
     assert len(out) == 403 and not any(out[k].flagged for k in (9000, 9001, 9002))
     assert np.mean([out[i].flagged == bool(y) for i, y in enumerate(labels)]) > 0.95
     assert C.score_documents(docs.limit(0), C.fit(docs, marks.limit(0), rules), rules).count() == 0
+    model = C.fit(docs, marks, rules)
+    kept = C.score_documents(docs, model, rules, keep=("label",))
+    assert kept.columns == ["doc_id", "score", "flagged", "label"] and {r.label for r in kept.collect()} == {"x"}
+    with pytest.raises(ValueError):
+        C.score_documents(docs, model, rules, most_bytes=10)
+
+
+def test_all_words_of_two_labelled_documents_are_known():
+    words = ["".join(w) for w in itertools.permutations("abcdefg", 4)][:600]
+    m = C.train([f"{w} {x}" for w in words[:300] for x in ("once" + w, w)] + ["other " + w for w in words[300:]], [i % 2 for i in range(900)], C.ContentRules(bits=12, rounds=1))
+    assert set(words[:300]) < set(m.words.known) and not set(words[300:]) & set(m.words.known)
 
 
 def test_first_pass_takes_stretches_by_log_odds(monkeypatch):

@@ -90,3 +90,12 @@ def test_nearest_ends_included_and_empty(spark):
     run = lambda lhs, rhs, tol: nearest.nearest_by_time(spark.createDataFrame(lhs, LEFT), spark.createDataFrame(rhs, RIGHT), ["e", "f"], "lid", "rid", values=["rate"], tolerance_s=tol).collect()
     assert [(r.rid, r.rate, r.distance_us) for r in run(left, right, 60)] == [(6, 2.0, 60_000_000)]
     assert run(left, right, 59.999999) == [] and run([], right, 60) == [] and run(left, [], 60) == []
+
+
+@pytest.mark.parametrize("dense", [1, 256])
+def test_every_left_record_with_its_columns(spark, dense):
+    left = [(1, "a", "x", T0, 1, 0.5), (2, "a", "x", T0 + timedelta(hours=9), 2, 0.25), (3, None, "x", T0, 3, None), (4, "a", "x", None, 4, 1.0)]
+    right = [(7, "a", "x", T0 + timedelta(seconds=60 + i), 9.0, 1) for i in range(5)]
+    got = nearest.nearest_by_time(spark.createDataFrame(left, LEFT), spark.createDataFrame(right, RIGHT), ["e", "f"], "lid", "rid", tolerance_s=60, dense=dense, keep=["_us", "rate"])
+    assert got.columns == ["lid", "_us", "rate", "rid", "distance_us"]
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 0.5, 7, 60_000_000), (2, 2, 0.25, None, None), (3, 3, None, None, None), (4, 4, 1.0, None, None)]

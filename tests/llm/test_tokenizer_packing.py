@@ -1,5 +1,6 @@
 import base64
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -79,3 +80,38 @@ def test_packing_in_spark(spark):
         assert len(use) <= total / cap * 1.02 + 2
     assert packing.pack(items.limit(0), 0).count() == 0
     assert packing.pieces(spark.createDataFrame(sizes, "doc_id bigint, n_tokens int"), kinds.limit(0)).count() == 0
+
+
+def test_items_that_never_go_together(spark):
+    """Items of more than half a container leave room in each; no task packs more than a shard of them all the same."""
+    items = spark.range(6000).selectExpr("'s' AS container_kind", "100 AS capacity_tokens", "id AS doc_id", "0 AS piece_no", "60 AS n_tokens")
+    cut = lambda df: df.sparkSession.createDataFrame(df.collect(), df.schema)
+    out = packing.pack(items, 6000, packing.PackingRules(shard=300), cut).collect()
+    groups = Counter(r.container_id.rsplit("-", 1)[0] for r in out)
+    assert len(out) == len({r.container_id for r in out}) == 6000 and max(groups.values()) < 450
+
+
+def test_best_fit_weighs_every_container():
+    """Brute force over all open containers."""
+    rng = np.random.default_rng(3)
+    rules = packing.PackingRules(weights=(1.0, 0.5, 0.5), max_documents=6, max_attention=2500.0)
+    sizes = rng.integers(1, 50, 400)
+    room, docs, cost, want = [], [], [], np.zeros(400, int)
+    for i in np.argsort(-sizes, kind="stable"):
+        s = float(sizes[i])
+        norms = [(1 / 64**2 * (r - s) ** 2 + 0.5 / 36 * (d - 1) ** 2 + 0.5 / 2500**2 * (c - s * s) ** 2, b) for b, (r, d, c) in enumerate(zip(room, docs, cost)) if r >= s and d >= 1 and c >= s * s]
+        if norms:
+            b = min(norms)[1]
+        else:
+            b = len(room)
+            room.append(64.0), docs.append(6.0), cost.append(2500.0)
+        room[b], docs[b], cost[b], want[i] = room[b] - s, docs[b] - 1, cost[b] - s * s, b
+    assert (packing.best_fit(sizes, 64, rules) == want).all()
+
+
+def test_many_kinds_are_joined(spark, monkeypatch):
+    sizes = spark.createDataFrame([(1, 5), (2, 12), (3, 0)], "doc_id bigint, n_tokens int")
+    kinds = spark.createDataFrame([(f"k{i}", 4 + i) for i in range(5)], "container_kind string, capacity_tokens int")
+    want = sorted(map(tuple, packing.pieces(sizes, kinds).collect()))
+    monkeypatch.setattr(packing, "MOST_KINDS", 2)
+    assert sorted(map(tuple, packing.pieces(sizes, kinds).collect())) == want and len(want) == sum(-(-5 // c) + -(-12 // c) for c in range(4, 9))
