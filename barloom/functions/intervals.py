@@ -22,3 +22,8 @@ def interval_hours(text: str, default: float | None = None) -> float:
 def bars_of(hours: float, step_hours: float, least: int = 1) -> int:
     """Bars in so many hours, rounded half to even, at least `least`."""
     return max(least, int(round(hours / step_hours)))
+
+
+def step_hours(freq_per_year: float) -> float:
+    """Hours of a step of which a year of 365 days has so many."""
+    return 24.0 * 365.0 / freq_per_year

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from barloom.functions.numeric import is_finite
 from barloom.operators import windows as W
+from barloom.operators.quantiles import exact_percentiles
+from barloom.session import cut_lineage
 
 
 def data_report(df: DataFrame, key: str, at: str, step_s: int, value: str) -> DataFrame:
@@ -42,8 +44,22 @@ def probability_sums(df: DataFrame, key: str, columns: list[str], tolerance: flo
     return df.withColumn("_s", s).groupBy(key).agg(F.avg("_s").alias("mean_sum"), F.min("_s").alias("min_sum"), F.max("_s").alias("max_sum"), F.count_if(F.abs(F.col("_s") - 1) > tolerance).alias("n_off"))
 
 
-def pack_report(df: DataFrame, key: str, at: str) -> DataFrame:
-    """Rows, distinct and repeated times and the extremes and median of the gaps between them, for each key."""
-    w = Window.partitionBy(key).orderBy(at)
-    x = df.where(F.col(at).isNotNull()).withColumn("_gap", F.col(at) - F.lag(at).over(w))
-    return x.groupBy(key).agg(F.count("*").alias("n_rows"), F.count_distinct(at).alias("n_distinct"), (F.count("*") - F.count_distinct(at)).alias("n_repeated"), F.min("_gap").alias("min_gap"), F.max("_gap").alias("max_gap"), F.percentile("_gap", F.lit(0.5)).alias("median_gap"))
+def chunked_gaps(df: DataFrame, key: str, at: str, chunk: int) -> DataFrame:
+    """(key, at, gap) of the rows with a time: the distance to the row before. Rows are ordered within chunks of time; the last time of a
+    chunk is carried to the next one that has rows, so no key is ordered as a whole."""
+    x = df.where(F.col(at).isNotNull()).select(key, at).withColumn("_c", F.expr(f"({at} - pmod({at}, {chunk})) div {chunk}"))
+    ends = x.groupBy(key, "_c").agg(F.max(at).alias("_end"))
+    ends = ends.select(F.col(key).alias("_key"), F.col("_c").alias("_d"), F.lag("_end").over(Window.partitionBy(key).orderBy("_c")).alias("_prev"))
+    x = x.withColumn("_in", F.lag(at).over(Window.partitionBy(key, "_c").orderBy(at)))
+    x = x.join(ends, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_c") == F.col("_d")))
+    return x.select(key, at, (F.col(at) - F.coalesce("_in", "_prev")).alias("gap"))
+
+
+def pack_report(df: DataFrame, key: str, at: str, chunk: int = 86_400_000_000) -> DataFrame:
+    """Rows, distinct and repeated times and the extremes and median of the gaps between them, for each key. Null times don't count;
+    null keys are one key."""
+    x = cut_lineage(chunked_gaps(df, key, at, chunk))
+    gaps = x.groupBy(key).agg(F.count("*").alias("n_rows"), F.count_if(F.col("gap") == 0).alias("n_repeated"), F.min("gap").alias("min_gap"), F.max("gap").alias("max_gap"))
+    middle = exact_percentiles(x, [key], F.col("gap"), (0.5,), ("median_gap",)).select(F.col(key).alias("_key"), "median_gap")
+    out = gaps.join(middle, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return out.select(key, "n_rows", (F.col("n_rows") - F.col("n_repeated")).alias("n_distinct"), "n_repeated", "min_gap", "max_gap", "median_gap")

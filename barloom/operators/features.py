@@ -43,12 +43,11 @@ def bar_features(df: DataFrame, spec: FeatureSpec = FeatureSpec()) -> DataFrame:
     r = F.col("log_ret_1")
     x = x.withColumns({
         "vol_roll": W.rolling(F.stddev_samp(r), r, w, vol),
-        "rsi": W.rsi(c, w, F.col("_delta"), spec.rsi_window),
         "vol_z": (v - W.rolling(F.avg(v), v, w, spec.z_window)) / (W.rolling(F.stddev_samp(v), v, w, spec.z_window) + 1e-8),
         "ma_ratio": W.rolling(F.avg(c), c, w, fast) / (W.rolling(F.avg(c), c, w, slow) + 1e-8),
         FORWARD: F.lead(r).over(w),
-    }).withColumn("sigma_1h", F.col("vol_roll")).drop("_delta")
-    return x
+    }).withColumn("sigma_1h", F.col("vol_roll"))
+    return W.with_rsi(x, "rsi", "_delta", spec.rsi_window, "instrument").drop("_delta")
 
 
 def usable_rows(df: DataFrame, features: tuple[str, ...] = FEATURES, forward: str = FORWARD) -> DataFrame:
@@ -88,8 +87,8 @@ def regime_pack(df: DataFrame) -> DataFrame:
     return x.select("instrument", "bar_s", *[f"p_filter_{k}" for k in range(3)], *[f"dp_filter_{k}" for k in range(3)], "p_max_filter", "p_margin_filter", "effective_num_states_filter", "expected_state_filter")
 
 
-#: Parts of names that no feature may have.
-FORBIDDEN = ("fwd", "forward", "future", "label", "target", r"^y_", "ground_truth", r"^next_", r"t\+1", "reward", "pnl", "equity")
+#: Parts that no feature's name may have, wherever they stand.
+FORBIDDEN = ("fwd", "forward", "future", "label", "target", "y_", "ground_truth", "next_", r"t\+1", "reward", "pnl", "equity")
 
 
 def forbidden_names(names: list[str]) -> list[str]:

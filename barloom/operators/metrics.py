@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.numeric import is_finite
 from barloom.operators import windows as W
+from barloom.operators.quantiles import exact_percentiles
 
 
 def log_steps(df: DataFrame, keys: tuple[str, ...], equity: str = "equity") -> DataFrame:
@@ -104,3 +106,37 @@ def histogram(df: DataFrame, keys: tuple[str, ...], x: str, bins: int = 80) -> D
     y = df.where(F.col(x).isNotNull()).withColumns({"_lo": F.min(x).over(w), "_hi": F.max(x).over(w)})
     b = F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col(x) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * bins))
     return y.groupBy(*keys, F.coalesce(b, F.lit(0)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def risk_metrics(df: DataFrame, keys: tuple[str, ...], freq: float, target: float = 0.0, equity: str = "equity") -> DataFrame:
+    """The second set of definitions: Sortino against a target return, tail_ratio as the 95 % point over the size of the 5 % point,
+    value at risk and the mean beyond it; tails are 0 below ten returns, everything below three points of the curve."""
+    x = log_steps(df, keys, equity)
+    r = F.col("r")
+    q = F.percentile(r, F.array(*[F.lit(p) for p in (0.01, 0.05, 0.95)])).over(Window.partitionBy(*keys))
+    below = F.when(r < target, (r - target) * (r - target))
+    m = x.withColumn("_q", q).groupBy(*keys).agg(
+        F.count(r).alias("n"), F.avg(r).alias("mu"), (F.stddev_pop(r) + 1e-12).alias("sd"), F.max("dd").alias("max_dd"), F.sqrt(F.avg(below)).alias("down"), F.first("_q", True).alias("_q"),
+        F.avg(F.when(r <= F.col("_q")[1], r)).alias("c95"), F.avg(F.when(r <= F.col("_q")[0], r)).alias("c99"),
+    )
+    s = F.sqrt(F.lit(freq))
+    few = lambda c: F.when(F.col("n") < 10, 0.0).otherwise(c)
+    out = {"sharpe": F.col("mu") / F.col("sd") * s, "ann_vol": F.col("sd") * s, "sortino": F.col("mu") / (F.coalesce("down", F.lit(0.0)) + 1e-12) * s, "max_dd": F.col("max_dd"), "var_95": few(F.col("_q")[1]), "cvar_95": few(F.col("c95")), "var_99": few(F.col("_q")[0]), "cvar_99": few(F.col("c99")), "tail_ratio": few(F.col("_q")[2] / (F.abs(F.col("_q")[1]) + 1e-12))}
+    return m.select(*keys, "n", *[F.when(F.col("n") < 2, 0.0).otherwise(v).alias(k) for k, v in out.items()])
+
+
+def selection_sharpe(df: DataFrame, key: str, seed: str, value: str) -> DataFrame:
+    """(key, config, seed, seed_fold): the Sharpe ratio that each way of selecting runs would report: the median of all runs, the best
+    seed's mean, the best single run. Values that aren't finite don't count."""
+    x = df.where(is_finite(F.col(value)))
+    middle = exact_percentiles(x, [key], F.col(value), (0.5,), ("config",)).select(F.col(key).alias("_key"), "config")
+    best = x.groupBy(key, seed).agg(F.avg(value).alias("_m"), F.max(value).alias("_x")).groupBy(key).agg(F.max("_m").alias("seed"), F.max("_x").alias("seed_fold"))
+    return best.join(middle, F.col(key).eqNullSafe(F.col("_key"))).select(key, "config", "seed", "seed_fold")
+
+
+def paired(left: DataFrame, right: DataFrame, keys: tuple[str, ...], value: str, other: str) -> DataFrame:
+    """(keys, i, value, other): two curves zipped by position to the shorter one's length."""
+    w = W.series(*keys)
+    a = left.select(*keys, (F.row_number().over(w) - 1).alias("i"), F.col(value).alias("value"))
+    b = right.select(*keys, (F.row_number().over(w) - 1).alias("i"), F.col(other).alias("other"))
+    return a.join(b, [*keys, "i"])

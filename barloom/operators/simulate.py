@@ -26,9 +26,6 @@ class SimRules:
     start_position: float = 0.0
     ruin: float = 0.15
     beta: float | None = None  # None: instant execution
-    depth: int = 512
-
-
 
 
 def actions(df: DataFrame, names: tuple[str, ...] = ("flat", "long", "short", "random"), seed: int = 0) -> DataFrame:
@@ -43,7 +40,7 @@ def ledger(df: DataFrame, rules: SimRules = SimRules(), keys: tuple[str, ...] =
     w = W.series(*keys)
     x = df.withColumns({"ret_fwd": F.when((F.col("close") > 0) & (F.lead("close").over(w) > 0), F.ln(F.lead("close").over(w) / F.col("close"))), "t_index": F.row_number().over(w) - 1}).where(F.col("ret_fwd").isNotNull())
     x = x.withColumn("target", clip(F.col("action"), -1.0, 1.0) * rules.leverage)
-    x = x.withColumn("pos", F.col("target") if rules.beta is None else W.ewma(F.col("target"), w, rules.beta, rules.depth, F.lit(rules.start_position)))
+    x = x.withColumn("pos", F.col("target")) if rules.beta is None else W.with_ewma(x, {"pos": F.col("target")}, rules.beta, *keys, start=rules.start_position)
     x = x.withColumn("pos_prev", F.lag("pos", 1, rules.start_position).over(w))
     x = x.withColumn("turnover", F.abs(F.col("pos") - F.col("pos_prev")))
     rate = F.col(funding) if funding else F.lit(0.0)
@@ -61,6 +58,17 @@ def naive_action(ma: Column, rsi: Column, leverage: float = 1.0) -> Column:
     return F.when((ma > 1) & (rsi >= 50), leverage).when((ma < 1) & (rsi <= 50), -leverage).otherwise(0.0)
 
 
+def centred_action(ma: Column, rsi: Column, leverage: float = 1.0) -> Column:
+    """The same for a moving-average ratio that is centred on zero."""
+    return naive_action(ma + 1, rsi, leverage)
+
+
+def anchor_action(ma: Column | None, momentum: Column | None, leverage: float = 1.0) -> Column:
+    """Where no strength is known: the sign of the centred moving-average ratio, or else of the momentum; 0 without a finite value."""
+    x = ma if ma is not None else momentum
+    return F.lit(0.0) if x is None else F.signum(F.coalesce(F.when(is_finite(x), x), F.lit(0.0))) * leverage
+
+
 def vol_target_position(sigma: Column, target: float, freq: float, leverage: float = 1.0) -> Column:
     """Target volatility over annualised volatility, in [0, leverage]; leverage where no volatility is known."""
     return F.when(sigma > 0, clip(target / (sigma * freq**0.5), 0.0, leverage)).otherwise(leverage)

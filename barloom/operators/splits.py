@@ -25,12 +25,12 @@ def chronological(df: DataFrame, train: float = 0.8, val: float = 0.1, drop_last
     return x.drop("n")
 
 
-def explicit(df: DataFrame, spec: dict[str, tuple[int, int]], key: str = "instrument") -> DataFrame:
-    """Rows of half-open ranges of row numbers, labelled; raises on a range that isn't one."""
+def explicit(df: DataFrame, spec: dict[str, tuple[int, int | None]], key: str = "instrument") -> DataFrame:
+    """Rows of half-open ranges of row numbers, labelled; an end of None is that of the series. Raises on a range that isn't one."""
     for name, (a, b) in spec.items():
-        if not 0 <= a < b:
+        if not 0 <= a or (b is not None and a >= b):
             raise ValueError(f"bad range of {name}: {a}, {b}")
-    label = F.coalesce(*[F.when((F.col("rn") >= a) & (F.col("rn") < b), F.lit(name)) for name, (a, b) in spec.items()])
+    label = F.coalesce(*[F.when((F.col("rn") >= a) & (F.lit(True) if b is None else F.col("rn") < b), F.lit(name)) for name, (a, b) in spec.items()])
     return numbered(df, key).withColumn("split", label).where(F.col("split").isNotNull()).drop("n")
 
 

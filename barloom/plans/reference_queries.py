@@ -14,25 +14,33 @@ from pyspark.sql import functions as F
 from barloom.functions.numeric import is_finite, norm_ppf, safe_float
 from barloom.operators import audit, features, joins, metrics, robustness, simulate, splits
 from barloom.operators import windows as W
+from barloom.operators.quantiles import exact_percentiles
 from barloom.sources import bars, timecols
 from barloom.sources.tables import table
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
 STEP = 14_400
 FREQ = 6 * 365.0
 DAY_FREQ = 365.0
 
 
-def query(sql: str | None = None, name: str | None = None):
-    def add(f):
-        QUERIES[name or f.__name__] = f
-        if sql:
-            ORACLES[name or f.__name__] = sql
-        return f
+def registry():
+    """A decorator that names a query, with its SQL, and the two tables it fills."""
+    queries: dict = {}
+    oracles: dict[str, str] = {}
+
+    def query(sql: str | None = None, name: str | None = None):
+        def add(f):
+            queries[name or f.__name__] = f
+            if sql:
+                oracles[name or f.__name__] = sql
+            return f
+
+        return add
 
-    return add
+    return query, queries, oracles
+
+
+query, QUERIES, ORACLES = registry()
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -61,7 +69,7 @@ def _roll(f: str, x: str, size: int, least: int | None = None, part: str = W_SQL
 
 
 def _ewma(x: str, alpha: float) -> str:
-    return f"list_reduce(list({x}) FILTER (WHERE {x} IS NOT NULL) OVER ({W_SQL} ROWS BETWEEN 511 PRECEDING AND CURRENT ROW), lambda y, v: y * (1 - {alpha!r}) + v * {alpha!r})"
+    return f"list_reduce(list({x}) FILTER (WHERE {x} IS NOT NULL) OVER ({W_SQL} ROWS UNBOUNDED PRECEDING), lambda y, v: y * (1 - {alpha!r}) + v * {alpha!r})"
 
 
 FEATURES_SQL = f"""f1 AS (SELECT *, ln(close / lag(close) OVER ({W_SQL})) AS log_ret_1, ln(close / lag(close, 6) OVER ({W_SQL})) AS log_ret_24, close - lag(close) OVER ({W_SQL}) AS delta FROM bars),
@@ -106,12 +114,22 @@ def ref_bars_daily(s: SparkSession, d: str) -> DataFrame:
     return rounded(bars.daily_bars(s, d), 8)
 
 
-@query("""SELECT event_type, min(epoch_ms(ts)) // 1000 AS first_s, CAST('ms' AS VARCHAR) AS unit FROM events WHERE ts IS NOT NULL GROUP BY 1""")
+_UNITS = (("ms", 1_000), ("s", 1_000_000), ("ns", 1))
+
+
+@query(" UNION ALL ".join(f"""SELECT '{u}' AS written, event_type, min(epoch_us(ts) // {k if u != 'ns' else 1} * {k if u != 'ns' else 1} // 1000000) AS first_s,
+  (SELECT CASE WHEN median(n) > 1e14 THEN 'ns' WHEN median(n) > 1e11 THEN 'ms' WHEN median(n) > 1e9 THEN 's' ELSE 'ns' END FROM (SELECT CAST(epoch_us(ts) {'// ' + str(k) if u != 'ns' else '* 1000'} AS DOUBLE) AS n FROM events WHERE ts IS NOT NULL)) AS unit
+  FROM events WHERE ts IS NOT NULL GROUP BY 2""" for u, k in _UNITS))
 def ref_t2_epoch_unit(s: SparkSession, d: str) -> DataFrame:
-    """Epoch numbers whose unit follows from their median."""
-    x = table(s, d, "events").where(F.col("ts").isNotNull()).select("event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("fundingTime"))
-    unit = timecols.epoch_unit(x.agg(F.percentile_approx(F.col("fundingTime").cast("double"), 0.5)).first()[0])
-    return timecols.with_timestamp(x).groupBy("event_type").agg(F.min(F.unix_seconds("timestamp")).alias("first_s"), F.lit(unit).alias("unit"))
+    """Epoch numbers in milliseconds, seconds and nanoseconds, whose unit follows from their median."""
+    out = None
+    for unit, k in _UNITS:
+        us = F.unix_micros(F.col("ts").cast("timestamp"))
+        x = table(s, d, "events").where(F.col("ts").isNotNull()).select("event_type", (us * 1000 if unit == "ns" else F.floor(us / k)).alias("fundingTime"))
+        told = timecols.epoch_unit(x.agg(F.percentile_approx(F.col("fundingTime").cast("double"), 0.5)).first()[0])
+        y = timecols.with_timestamp(x).groupBy("event_type").agg(F.min(F.unix_seconds("timestamp")).alias("first_s")).select(F.lit(unit).alias("written"), "event_type", "first_s", F.lit(told).alias("unit"))
+        out = y if out is None else out.unionByName(y)
+    return out
 
 
 @query("""SELECT CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, strftime(min(o_orderdate), '%Y-%m-%dT%H:%M:%SZ') AS first_iso, count(*) AS n FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1, 2""")
@@ -198,13 +216,13 @@ def ref_w14_w15_rolling(s: SparkSession, d: str) -> DataFrame:
     return rounded(x.select("instrument", "bar_s", (W.rolling(F.avg(r), r, w, 30) / (sd + 1e-12) * math.sqrt(FREQ)).alias("rolling_sharpe"), (sd * math.sqrt(FREQ)).alias("rolling_vol")))
 
 
-@query(f"""WITH {PANEL}, o AS (SELECT instrument, bar_s, row_number() OVER ({W_SQL}) AS rn, close, list(close) OVER ({W_SQL} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS l FROM bars)
-SELECT instrument, bar_s, round(l[greatest(1, len(l) - 3)], 6) + 0.0 AS first_obs, round(l[-1], 6) + 0.0 AS last_obs, round(list_sum(l) + (4 - len(l)) * l[1], 6) + 0.0 AS sum_obs, CAST(4 AS INT) AS n_obs FROM o""")
+@query(f"""WITH {PANEL}, o AS (SELECT instrument, bar_s, row_number() OVER ({W_SQL}) AS rn, close, list(close) OVER ({W_SQL} ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS l FROM bars)
+SELECT instrument, bar_s, round(l[greatest(1, len(l) - 63)], 6) + 0.0 AS first_obs, round(l[-1], 6) + 0.0 AS last_obs, round(list_sum(l) + (64 - len(l)) * l[1], 5) + 0.0 AS sum_obs, CAST(len(l) + (64 - len(l)) AS INT) AS n_obs FROM o""")
 def ref_w18_window_stack(s: SparkSession, d: str) -> DataFrame:
-    """Four observations stacked, padded in front with the first."""
+    """Sixty-four observations stacked, padded in front with the first."""
     w = W.series("instrument")
-    x = bars.panel_bars(s, d).withColumn("_o", F.array("close")).withColumn("_s", W.stack(F.col("_o"), w, 4))
-    return rounded(x.select("instrument", "bar_s", F.element_at("_s", 1).alias("first_obs"), F.element_at("_s", -1).alias("last_obs"), F.aggregate("_s", F.lit(0.0), lambda a, v: a + v).alias("sum_obs"), F.size("_s").alias("n_obs")))
+    x = bars.panel_bars(s, d).withColumn("_o", F.array("close")).withColumn("_s", W.stack(F.col("_o"), w, 64))
+    return rounded(x.select("instrument", "bar_s", F.element_at("_s", 1).alias("first_obs"), F.element_at("_s", -1).alias("last_obs"), F.round(F.aggregate("_s", F.lit(0.0), lambda a, v: a + v), 5).alias("sum_obs"), F.size("_s").alias("n_obs")))
 
 
 _PACK = f"""q1 AS (SELECT *, ln(close / lag(close) OVER ({W_SQL})) AS r FROM bars), q2 AS (SELECT instrument, bar_s, {_roll('avg', 'r', 12)} AS t, {_roll('stddev_pop', 'r', 12)} AS sd FROM q1),
@@ -269,13 +287,22 @@ def ref_k1_chronological_split(s: SparkSession, d: str) -> DataFrame:
     return splits.chronological(bars.panel_bars(s, d)).groupBy("instrument", "split").agg(F.count("*").alias("n_rows"), F.min("bar_s").alias("first_s"), F.max("bar_s").alias("last_s"))
 
 
-@query()
+_FOLDS = f"""c AS (SELECT instrument, count(*) AS n FROM days GROUP BY 1), s AS (SELECT instrument, n, greatest(200, round_even(CAST({0.6 + 0.1 + 0.1!r} AS DOUBLE) * n, 0)) AS span, greatest(1, round_even(CAST(0.1 AS DOUBLE) * n, 0)) AS step FROM c),
+u AS (SELECT *, round_even(CAST(0.6 AS DOUBLE) * span, 0) AS a, round_even(CAST({0.6 + 0.1!r} AS DOUBLE) * span, 0) AS b, round_even(CAST(0.1 AS DOUBLE) * span, 0) AS c, unnest(range(6)) AS fold FROM s),
+v AS (SELECT instrument, fold, fold * step AS o, a, b, least(span, b + 24 + c) AS e FROM u WHERE fold * step + span <= n AND a - 1 >= 50 AND b - 1 - a >= 20 AND least(span, b + 24 + c) - b - 24 >= 20),
+folds AS (SELECT instrument, CAST(fold AS INT) AS fold, 'train' AS split, CAST(o AS INT) AS start_rn, CAST(o + a - 1 AS INT) AS end_rn FROM v UNION ALL SELECT instrument, CAST(fold AS INT), 'val', CAST(o + a AS INT), CAST(o + b - 1 AS INT) FROM v
+  UNION ALL SELECT instrument, CAST(fold AS INT), 'test', CAST(o + b + 24 AS INT), CAST(o + e AS INT) FROM v)"""
+_DAYS = _bars_sql("days", "orders", "o_orderpriority", "o_orderdate", "o_totalprice", "o_orderkey", 86_400)
+_FOLD_ROWS = f"nr AS (SELECT *, row_number() OVER ({W_SQL}) - 1 AS rn FROM days), fr AS (SELECT nr.*, fold, split FROM nr JOIN folds ON nr.instrument = folds.instrument AND rn >= start_rn AND rn < end_rn)"
+
+
+@query(f"WITH {_DAYS}, {_FOLDS}, {_FOLD_ROWS} SELECT instrument, fold, split, count(*) AS n_rows, min(bar_s) AS first_s, max(bar_s) AS last_s FROM fr GROUP BY 1, 2, 3")
 def ref_k2_k3_walk_forward(s: SparkSession, d: str) -> DataFrame:
     """Rows of each walk-forward fold and split over daily bars, with purge and embargo."""
     return splits.walk_forward(bars.daily_bars(s, d)).groupBy("instrument", "fold", "split").agg(F.count("*").alias("n_rows"), F.min("bar_s").alias("first_s"), F.max("bar_s").alias("last_s"))
 
 
-@query()
+@query(f"WITH {_DAYS}, {_FOLDS} SELECT * FROM folds")
 def ref_k4_fold_manifest(s: SparkSession, d: str) -> DataFrame:
     """The row ranges of each instrument's folds, cut over its own number of bars."""
     return splits.fold_manifest(bars.daily_bars(s, d))
@@ -314,7 +341,7 @@ def ref_m1_m6_ledger(s: SparkSession, d: str) -> DataFrame:
     return rounded(_trace(s, d).select("instrument", "policy", "bar_s", "pos", "pos_prev", "turnover", "cost", "pnl_net", "equity", "drawdown"))
 
 
-@query(f"""WITH {PANEL}, {_LEDGER}, e0 AS (SELECT *, list(pos) OVER ({_PW} ROWS BETWEEN 511 PRECEDING AND CURRENT ROW) AS l FROM s1 WHERE policy IN ('long', 'random'))
+@query(f"""WITH {PANEL}, {_LEDGER}, e0 AS (SELECT *, list(pos) OVER ({_PW} ROWS UNBOUNDED PRECEDING) AS l FROM s1 WHERE policy IN ('long', 'random'))
 SELECT instrument, policy, bar_s, round(list_reduce(l, lambda y, v: y * 0.75 + v * 0.25, 0.0), 6) + 0.0 AS pos FROM e0""")
 def ref_m3_ewma_execution(s: SparkSession, d: str) -> DataFrame:
     """Positions that approach their target by a quarter each step."""
@@ -361,7 +388,8 @@ def ref_m15_policy_hook(s: SparkSession, d: str) -> DataFrame:
     return rounded(simulate.rollout(f, lambda o: (1.0 if o["rsi"] >= 50 else -1.0) * (0.5 if o["drawdown"] > 0.2 else 1.0), ("rsi",)))
 
 
-@query(f"""WITH {PANEL}, s0 AS (SELECT instrument, ln(lead(close) OVER ({W_SQL}) / close) AS r FROM bars) SELECT instrument, CAST(0 AS DOUBLE) AS mirror_error FROM s0 WHERE r IS NOT NULL GROUP BY 1""")
+@query(f"""WITH {PANEL}, s0 AS (SELECT instrument, bar_s, ln(lead(close) OVER ({W_SQL}) / close) AS r FROM bars), e AS (SELECT instrument, exp(sum(r) OVER (PARTITION BY instrument ORDER BY bar_s)) AS up, exp(sum(-r) OVER (PARTITION BY instrument ORDER BY bar_s)) AS down FROM s0 WHERE r IS NOT NULL)
+SELECT instrument, round(max(abs(ln(up) + ln(down))), 6) + 0.0 AS mirror_error FROM e GROUP BY 1""")
 def ref_m16_identities(s: SparkSession, d: str) -> DataFrame:
     """Without frictions, the equities of long and short multiply to one."""
     t = simulate.ledger(simulate.actions(bars.panel_bars(s, d), ("long", "short")), simulate.SimRules(0.0, 0.0, ruin=-1.0)).select("instrument", "bar_s", "policy", "equity")
@@ -475,12 +503,16 @@ def ref_e22_histogram(s: SparkSession, d: str) -> DataFrame:
     return metrics.histogram(bars.panel_bars(s, d), ("instrument",), "volume")
 
 
-@query()
+_QQ = [(i + 0.5) / 40 for i in range(40)]
+
+
+@query(f"""WITH {PANEL}, l AS (SELECT instrument, ln(close / lag(close) OVER ({W_SQL})) AS r FROM bars), q AS (SELECT instrument, unnest(range(40)) AS i, unnest(quantile_cont(r, {_QQ})) AS sample, unnest({[norm_ppf(p) for p in _QQ]}) AS normal FROM l WHERE r IS NOT NULL GROUP BY 1)
+SELECT instrument, CAST(i AS INT) AS i, {_r('sample;normal')} FROM q""")
 def ref_e22_qq_points(s: SparkSession, d: str) -> DataFrame:
     """Quantiles of returns against those of the normal distribution."""
     w = W.series("instrument")
     r = bars.panel_bars(s, d).withColumn("r", W.log_return(F.col("close"), w)).where(F.col("r").isNotNull())
-    p = [(i + 0.5) / 40 for i in range(40)]
+    p = _QQ
     q = r.groupBy("instrument").agg(F.percentile("r", F.array(*[F.lit(x) for x in p])).alias("_q"))
     theory = F.array(*[F.lit(norm_ppf(x)) for x in p])
     return rounded(q.select("instrument", F.posexplode(F.arrays_zip(F.col("_q").alias("sample"), theory.alias("normal"))).alias("i", "_z")).select("instrument", "i", F.col("_z.sample").alias("sample"), F.col("_z.normal").alias("normal")))
@@ -506,7 +538,9 @@ _RUNS = """u AS (SELECT * FROM run_walkforward WHERE isfinite(sharpe) AND isfini
 def ref_a2_fold_summary(s: SparkSession, d: str) -> DataFrame:
     """Sharpe by fold."""
     u = table(s, d, "run_walkforward").where(is_finite(F.col("sharpe")) & is_finite(F.col("max_dd")))
-    return rounded(u.groupBy("fold").agg(F.count("*").alias("n"), F.avg("sharpe").alias("mean"), F.stddev_pop("sharpe").alias("std"), *[F.percentile("sharpe", F.lit(q)).alias(f"p{round(q * 100)}") for q in (0.1, 0.5, 0.9)]), 5)
+    q = exact_percentiles(u, ["fold"], F.col("sharpe"), (0.1, 0.5, 0.9), ("p10", "p50", "p90")).select(F.col("fold").alias("_fold"), "p10", "p50", "p90")
+    m = u.groupBy("fold").agg(F.count("*").alias("n"), F.avg("sharpe").alias("mean"), F.stddev_pop("sharpe").alias("std"))
+    return rounded(m.join(q, F.col("fold").eqNullSafe(F.col("_fold"))).drop("_fold"), 5)
 
 
 @query("""WITH l AS (SELECT 'cumret' AS metric, cumret AS x FROM run_walkforward UNION ALL SELECT 'max_dd', max_dd FROM run_walkforward UNION ALL SELECT 'sharpe', sharpe FROM run_walkforward)
@@ -619,7 +653,14 @@ def ref_w16_r5_regimes(s: SparkSession, d: str) -> DataFrame:
     return robustness.regimes(bars.panel_bars(s, d), "instrument", 20, 20).groupBy("instrument", "regime").agg(F.count("*").alias("n"))
 
 
-@query()
+_REGIME = f"""x0 AS (SELECT instrument, bar_s, ln(close / lag(close) OVER ({W_SQL})) AS lr FROM bars), x1 AS (SELECT *, {_roll('avg', 'lr', 20)} AS m0, {_roll('stddev_samp', 'lr', 20)} AS s0, count(*) OVER (PARTITION BY instrument) AS n FROM x0),
+x2 AS (SELECT *, first(m0 IGNORE NULLS) OVER ({W_SQL} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m, first(s0 IGNORE NULLS) OVER ({W_SQL} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sd FROM x1), md AS (SELECT instrument, quantile_cont(sd, 0.5) AS mid FROM x2 GROUP BY 1),
+reg AS (SELECT x2.instrument, bar_s, CASE WHEN n < 30 THEN 'unknown' WHEN lr IS NULL THEN 'start' ELSE (CASE WHEN m >= 0 THEN 'bull' ELSE 'bear' END) || '_' || (CASE WHEN sd >= mid THEN 'high_vol' ELSE 'low_vol' END) END AS regime FROM x2 JOIN md ON x2.instrument = md.instrument)"""
+
+
+@query(f"""WITH {PANEL}, {_REGIME}, {_HOLD_D}, y AS (SELECT reg.*, equity, count(*) OVER (PARTITION BY reg.instrument, regime) AS n FROM reg JOIN hold ON reg.instrument = hold.instrument AND reg.bar_s = hold.bar_s),
+z AS (SELECT *, ln(equity + 1e-12) - lag(ln(equity + 1e-12)) OVER w AS r, 1 - equity / max(equity) OVER w AS dd FROM y WHERE n >= 20 WINDOW w AS (PARTITION BY instrument, regime ORDER BY bar_s))
+SELECT instrument, regime, count(r) AS n, {_r('avg(r) / (stddev_pop(r) + 1e-12) * sqrt(2190.0) AS sharpe;max(dd) AS max_dd', 5)} FROM z GROUP BY 1, 2""")
 def ref_r6_metrics_by_regime(s: SparkSession, d: str) -> DataFrame:
     """Metrics of the bars of each regime with at least 20 of them."""
     x = robustness.regimes(simulate.hold_equity(bars.panel_bars(s, d)).drop("log_ret"), "instrument", 20, 20)
@@ -627,23 +668,31 @@ def ref_r6_metrics_by_regime(s: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.equity_metrics(x.withColumn("_n", n).where(F.col("_n") >= 20), ("instrument", "regime"), FREQ).select("instrument", "regime", "n", "sharpe", "max_dd"), 5)
 
 
-@query()
+_TAIL = "CASE WHEN z >= 0 THEN q ELSE 1 - q END"
+
+
+@query(f"""WITH {PANEL}, {_LEDGER}, {_METRICS}, a AS (SELECT instrument, policy, n, CASE WHEN n < 2 THEN 0 ELSE mu / (sd + 1e-12) END AS sr, CASE WHEN n < 2 THEN 0 ELSE m3 / pow(m2 + 1e-12, 1.5) END AS sk, CASE WHEN n < 2 THEN 3 ELSE m4 / pow(m2 + 1e-12, 2) END AS ku FROM m WHERE policy <> 'flat'),
+t AS (SELECT count(DISTINCT policy) * count(DISTINCT instrument) AS trials FROM a),
+b AS (SELECT *, sqrt(2 * ln(trials)) / sqrt(greatest(5, n) - 1) AS st FROM a, t), c AS (SELECT *, (sr - st) * sqrt(greatest(5, n) - 1) / sqrt(greatest(1e-12, 1 - sk * sr + (ku - 1) / 4 * sr * sr)) AS z FROM b),
+e AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM c), f AS (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))) AS q FROM e)
+SELECT instrument, policy, {_r(f'sr AS sharpe;st AS sr_star;z;{_TAIL} AS p_value', 5)} FROM f""")
 def ref_r7_deflated_sharpe(s: SparkSession, d: str) -> DataFrame:
-    """Each curve's Sharpe ratio for a bar against the best of as many trials."""
+    """Each curve's Sharpe ratio for a bar against the best of as many trials as there are curves."""
     m = metrics.equity_metrics(_trace(s, d).where(F.col("policy") != "flat"), _KEYS, 1.0)
-    best = F.sqrt(2 * F.ln(F.lit(15.0))) / F.sqrt(F.greatest(F.lit(1), F.col("n") - 1))
-    spread = F.sqrt(F.greatest(F.lit(1e-12), (1 - F.col("skew") * F.col("sharpe") + (F.col("kurtosis") + 2) / 4 * F.pow("sharpe", F.lit(2.0))) / F.greatest(F.lit(1), F.col("n") - 1)))
-    return rounded(m.select(*_KEYS, "sharpe", best.alias("sr_star"), ((F.col("sharpe") - best) / spread).alias("z")))
+    trials = m.agg((F.count_distinct("policy") * F.count_distinct("instrument")).alias("trials")).withColumn("_one", F.lit(1))
+    x = m.withColumn("_one", F.lit(1)).join(F.broadcast(trials), "_one")  # one row
+    own = robustness.deflated_sharpe_columns(F.col("sharpe"), F.col("trials"), F.col("n"), F.col("skew"), F.col("kurtosis") + 3)
+    return rounded(x.select(*_KEYS, "sharpe", own["sr_star"].alias("sr_star"), own["z"].alias("z"), robustness.upper_tail(own["z"]).alias("p_value")), 5)
 
 
 @query(f"""WITH {DAILY}, {_HOLD_D}, x AS (SELECT *, row_number() OVER ({W_SQL}) - 1 AS rn, count(*) OVER (PARTITION BY instrument) AS n FROM hold),
-wv AS (SELECT a.instrument, a.rn, b.rn - a.rn AS j, b.equity, max(b.equity) OVER (PARTITION BY a.instrument, a.rn ORDER BY b.rn) AS pk FROM x a JOIN x b ON a.instrument = b.instrument AND b.rn BETWEEN a.rn AND a.rn + 29 WHERE a.rn < a.n - 30),
+wv AS (SELECT a.instrument, a.rn, b.rn - a.rn AS j, b.equity, max(b.equity) OVER (PARTITION BY a.instrument, a.rn ORDER BY b.rn) AS pk FROM x a JOIN x b ON a.instrument = b.instrument AND b.rn BETWEEN a.rn AND a.rn + 719 WHERE a.rn < a.n - 720 AND a.n >= 725),
 wm AS (SELECT instrument, rn, last(equity ORDER BY j) / first(equity ORDER BY j) - 1 AS cum_return, max(1 - equity / pk) AS max_dd FROM wv GROUP BY 1, 2),
 a AS (SELECT *, 'cum_return' AS rank_type, row_number() OVER (PARTITION BY instrument ORDER BY cum_return, rn) AS k FROM wm UNION ALL SELECT *, 'max_dd', row_number() OVER (PARTITION BY instrument ORDER BY max_dd DESC, rn) FROM wm)
 SELECT instrument, CAST(rn AS BIGINT) AS rn, {_r('cum_return;max_dd')}, CAST(k AS INT) AS k, rank_type FROM a WHERE k <= 5""")
 def ref_w21_o5_r10_stress(s: SparkSession, d: str) -> DataFrame:
-    """The five worst windows of 30 days by return and by drawdown."""
-    x = robustness.stress_windows(simulate.hold_equity(bars.daily_bars(s, d)), "instrument", 30, 5)
+    """The five worst windows of 720 days by return and by drawdown."""
+    x = robustness.stress_windows(simulate.hold_equity(bars.daily_bars(s, d)), "instrument", 720, 5)
     return rounded(x.withColumn("rn", F.col("rn").cast("bigint")))
 
 
@@ -662,11 +711,16 @@ def ref_x6_digest(s: SparkSession, d: str) -> DataFrame:
     return audit.digest(rounded(bars.panel_bars(s, d), 8))
 
 
-@query("""SELECT event_type, count(*) AS n FROM events GROUP BY 1 INTERSECT SELECT event_type, count(*) FROM events GROUP BY 1""")
+@query("""WITH a AS (SELECT venue, symbol, CAST(NULL AS DOUBLE) AS rate FROM train_v1_dataset UNION ALL SELECT venue, symbol, funding_rate FROM funding_8h),
+b AS (SELECT venue, symbol FROM train_v1_dataset INTERSECT SELECT venue, symbol FROM funding_8h WHERE funding_rate > 0)
+SELECT a.venue, a.symbol, count(*) AS n, count(rate) AS n_rates FROM a JOIN b ON a.venue IS NOT DISTINCT FROM b.venue AND a.symbol IS NOT DISTINCT FROM b.symbol GROUP BY 1, 2""")
 def ref_u1_u4_sets(s: SparkSession, d: str) -> DataFrame:
-    """Unions of frames with other columns, and intersections."""
-    n = table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return n.unionByName(n.withColumn("x", F.lit(1)), allowMissingColumns=True).select("event_type", "n").intersect(n)
+    """The union of two tables with different columns, for the pairs of names that both have."""
+    left, right = table(s, d, "train_v1_dataset").select("venue", "symbol"), table(s, d, "funding_8h").select("venue", "symbol", F.col("funding_rate").alias("rate"))
+    both = left.intersect(right.where("rate > 0").select("venue", "symbol")).select(F.col("venue").alias("_v"), F.col("symbol").alias("_s"))
+    x = left.unionByName(right, allowMissingColumns=True)
+    x = x.join(both, F.col("venue").eqNullSafe(F.col("_v")) & F.col("symbol").eqNullSafe(F.col("_s")))
+    return x.groupBy("venue", "symbol").agg(F.count("*").alias("n"), F.count("rate").alias("n_rates"))
 
 
 # --- further operators ---------------------------------------------------------------------------------------------------
@@ -696,10 +750,10 @@ def ref_p14_warm_up(s: SparkSession, d: str) -> DataFrame:
     return n.join(use, "instrument", "left").select("instrument", "n_rows", F.coalesce("u", F.lit(0)).alias("n_usable"))
 
 
-@query(f"""WITH {PANEL}, {_RN} SELECT instrument, CASE WHEN rn < 50 THEN 'train' WHEN rn < 80 THEN 'val' ELSE 'test' END AS split, count(*) AS n_rows, min(bar_s) AS first_s FROM x WHERE rn < 120 GROUP BY 1, 2""")
+@query(f"""WITH {PANEL}, {_RN} SELECT instrument, CASE WHEN rn < 50 THEN 'train' WHEN rn < 80 THEN 'val' ELSE 'test' END AS split, count(*) AS n_rows, min(bar_s) AS first_s FROM x GROUP BY 1, 2""")
 def ref_p18_o7_explicit_split(s: SparkSession, d: str) -> DataFrame:
     """Half-open ranges of row numbers."""
-    return splits.explicit(bars.panel_bars(s, d), {"train": (0, 50), "val": (50, 80), "test": (80, 120)}).groupBy("instrument", "split").agg(F.count("*").alias("n_rows"), F.min("bar_s").alias("first_s"))
+    return splits.explicit(bars.panel_bars(s, d), {"train": (0, 50), "val": (50, 80), "test": (80, None)}).groupBy("instrument", "split").agg(F.count("*").alias("n_rows"), F.min("bar_s").alias("first_s"))
 
 
 @query("""WITH c AS (SELECT source, "timestamp" AS t, bar_id, row_number() OVER (PARTITION BY source, "timestamp" ORDER BY bar_id) AS k FROM features) SELECT source, count(*) AS n_kept, CAST(sum(bar_id) AS BIGINT) AS id_sum FROM c WHERE k = 1 GROUP BY 1""")
@@ -745,12 +799,12 @@ def ref_a9_stability(s: SparkSession, d: str) -> DataFrame:
     return rounded(_trace(s, d).groupBy("policy").agg(F.avg("action").alias("mean_action"), F.stddev_pop("action").alias("std_action"), F.avg((F.abs("action") > 0.95).cast("double")).alias("pct_saturated"), F.avg("turnover").alias("mean_turnover"), F.avg("cost").alias("mean_cost"), F.avg("pnl_net").alias("mean_pnl")))
 
 
-@query(f"""WITH {PANEL}, {_LEDGER}, w AS (SELECT l.policy, l.instrument, v.k, l.pnl_net, l.turnover FROM led l, (VALUES (0), (1), (2)) v(k) WHERE l.t_index >= v.k * 32 AND l.t_index < v.k * 32 + 64),
+@query(f"""WITH {HOURLY}, {_LEDGER}, w AS (SELECT l.policy, l.instrument, v.k, l.pnl_net, l.turnover FROM led l, (VALUES (0), (1), (2)) v(k) WHERE l.t_index >= v.k * 256 AND l.t_index < v.k * 256 + 512),
 m AS (SELECT instrument, policy, k, count(*) AS n, avg(pnl_net) / (stddev_pop(pnl_net) + 1e-12) * sqrt(2190.0) AS sh FROM w GROUP BY 1, 2, 3) SELECT policy, count(*) AS n_windows, {_r('quantile_cont(sh, 0.5) AS median;min(sh) AS worst;max(sh) AS best', 5)} FROM m WHERE n >= 20 AND policy <> 'flat' GROUP BY 1""")
 def ref_a12_m17_validation_windows(s: SparkSession, d: str) -> DataFrame:
-    """Scores over overlapping validation windows: median, worst and best."""
-    t = _trace(s, d).where(F.col("policy") != "flat")
-    k = F.filter(F.array(*[F.when((F.col("t_index") >= i * 32) & (F.col("t_index") < i * 32 + 64), F.lit(i)) for i in range(3)]), lambda x: x.isNotNull())
+    """Scores over three overlapping validation windows of 512 hours, 256 apart: median, worst and best."""
+    t = simulate.ledger(simulate.actions(bars.panel_bars(s, d, 3600))).where(F.col("policy") != "flat")
+    k = F.filter(F.array(*[F.when((F.col("t_index") >= i * 256) & (F.col("t_index") < i * 256 + 512), F.lit(i)) for i in range(3)]), lambda x: x.isNotNull())
     m = t.withColumn("k", F.explode(k)).groupBy("instrument", "policy", "k").agg(F.count("*").alias("n"), (F.avg("pnl_net") / (F.stddev_pop("pnl_net") + 1e-12) * FREQ**0.5).alias("sh"))
     return rounded(m.where(F.col("n") >= 20).groupBy("policy").agg(F.count("*").alias("n_windows"), F.percentile("sh", F.lit(0.5)).alias("median"), F.min("sh").alias("worst"), F.max("sh").alias("best")), 5)
 
@@ -762,10 +816,13 @@ def ref_e18_funding_summary(s: SparkSession, d: str) -> DataFrame:
     return f.groupBy("instrument").agg(F.count("*").alias("n"), (F.round(F.avg("funding_rate"), 10) + 0.0).alias("mean_rate"), (F.round(F.sum("funding_rate"), 9) + 0.0).alias("total_rate"), F.when(F.percentile("funding_rate", F.lit(0.5)) >= 0, "longs pay").otherwise("shorts pay").alias("sign"))
 
 
-@query(f"""WITH {PANEL}, {_LEDGER} SELECT instrument, policy, bar_s, {_r('CAST(CAST(pos_prev AS FLOAT) AS DOUBLE) AS o1;CAST(CAST(equity AS FLOAT) AS DOUBLE) AS o2;CAST(CAST(drawdown AS FLOAT) AS DOUBLE) AS o3', 4)} FROM led WHERE policy = 'random'""")
+@query(f"""WITH {PANEL}, {FEATURES_SQL}, {_LEDGER} SELECT led.instrument, policy, led.bar_s, {_r(';'.join(f'CAST(CAST({c} AS FLOAT) AS DOUBLE) AS o{i}' for i, c in enumerate(('feat.log_ret_24', 'feat.rsi', 'feat.ma_ratio', 'pos_prev', 'equity', 'drawdown'), 1)), 4)}
+FROM led JOIN feat ON led.instrument = feat.instrument AND led.bar_s = feat.bar_s WHERE policy = 'random'""")
 def ref_m9_observation(s: SparkSession, d: str) -> DataFrame:
-    """The observation vector's own state columns."""
-    o = simulate.observations(_trace(s, d).where(F.col("policy") == "random"), ()).select("instrument", "policy", "bar_s", *[F.col("obs")[i].cast("double").alias(f"o{i + 1}") for i in range(3)])
+    """The observation vector: market features, then the simulator's own state."""
+    names = ("log_ret_24", "rsi", "ma_ratio")
+    trace = simulate.ledger(simulate.actions(features.bar_features(bars.panel_bars(s, d)))).where(F.col("policy") == "random")
+    o = simulate.observations(trace, names).select("instrument", "policy", "bar_s", *[F.col("obs")[i].cast("double").alias(f"o{i + 1}") for i in range(len(names) + 3)])
     return rounded(o, 4)
 
 
@@ -779,12 +836,15 @@ def ref_m11_positions_to_equity(s: SparkSession, d: str) -> DataFrame:
 @query("""SELECT bar_step, CAST(CASE bar_step WHEN '30m' THEN 0.5 WHEN '1h' THEN 1.0 WHEN '4h' THEN 4.0 WHEN '8h' THEN 8.0 END AS DOUBLE) AS hours, count(*) AS n FROM rl_observation_pack GROUP BY 1, 2""")
 def ref_t4_interval_hours(s: SparkSession, d: str) -> DataFrame:
     """Interval texts as hours."""
+    from barloom.functions.intervals import interval_hours
     from barloom.operators.gridding import step_seconds
 
-    return table(s, d, "rl_observation_pack").groupBy("bar_step", (step_seconds(F.col("bar_step")) / 3600.0).alias("hours")).agg(F.count("*").alias("n"))
+    x = table(s, d, "rl_observation_pack").groupBy("bar_step", (step_seconds(F.col("bar_step")) / 3600.0).alias("hours")).agg(F.count("*").alias("n"))
+    known = F.create_map(*[F.lit(v) for text in ("30m", "1h", "4h", "8h") for v in (text, interval_hours(text))])  # the driver's grammar
+    return x.withColumn("hours", F.when(F.col("hours") == F.try_element_at(known, F.col("bar_step")), F.col("hours")))
 
 
-@query("""SELECT raw_id, CAST(epoch_ms(received_at) AS BIGINT) AS ms, strftime(received_at, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM klines_raw WHERE received_at IS NOT NULL""")
+@query("""SELECT raw_id, CAST(epoch_us(received_at) // 1000 AS BIGINT) AS ms, strftime(received_at, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM klines_raw WHERE received_at IS NOT NULL""")
 def ref_t3_t7_epoch_ms(s: SparkSession, d: str) -> DataFrame:
     """Times as epoch milliseconds and as ISO-8601 texts."""
     t = F.col("received_at")
@@ -797,7 +857,9 @@ def ref_f4_strings(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "features").groupBy("source").agg(F.sum(F.lower(F.trim("source")).rlike("^btc").cast("bigint")).alias("n_btc"), F.max("symbol").isNotNull().alias("has_symbol"))
 
 
-@query()
+@query(f"""WITH {_DAYS}, {_FOLDS}, {_FOLD_ROWS}, bars AS (SELECT instrument || '#' || fold AS instrument, bar_s, close FROM fr WHERE split = 'test'), {_LEDGER.replace("instrument || '|' || bar_s", "split_part(instrument, '#', 1) || '|' || bar_s")}, {_METRICS},
+z AS (SELECT CAST(split_part(instrument, '#', 2) AS INT) AS fold, policy, CASE WHEN n < 2 THEN 0 ELSE mu / (sd + 1e-12) * sqrt(365.0) END AS sharpe, CASE WHEN n < 2 THEN 0 ELSE max_dd END AS dd FROM m WHERE policy <> 'flat')
+SELECT fold, policy, count(*) AS n, {_r('avg(sharpe) AS mean;stddev_pop(sharpe) AS std;quantile_cont(sharpe, 0.1) AS p10;quantile_cont(sharpe, 0.5) AS p50;quantile_cont(sharpe, 0.9) AS p90;max(dd) AS worst_dd', 5)} FROM z GROUP BY 1, 2""")
 def ref_r12_fold_policy(s: SparkSession, d: str) -> DataFrame:
     """Folds and policies as group keys: the test metrics of each, and their summary over instruments."""
     test = splits.walk_forward(bars.daily_bars(s, d)).where(F.col("split") == "test").drop("rn", "n")

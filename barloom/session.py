@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -28,10 +29,13 @@ def build_session(app: str = "barloom", master: str | None = None, shuffle_parti
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one."""
+    """The folder all executors share, from spark.checkpoint.dir. Only a session on one machine may leave it unset and gets a
+    temporary one; on a cluster that raises."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not known:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {sc.master} share")
         known = tempfile.mkdtemp(prefix="barloom-shared-")
         atexit.register(shutil.rmtree, known, True)
         spark.conf.set("spark.checkpoint.dir", known)
@@ -47,10 +51,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def as_table(df: DataFrame, name: str) -> DataFrame:
-    """df written as a parquet table in the shared folder and read again, for results that several plans read by column."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df written as a parquet table in the shared folder and read again, for results that several plans read by column. The table
+    is removed when the session's process ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int = 10_000) -> DataFrame:

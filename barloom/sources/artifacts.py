@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import os
-from collections.abc import Mapping
+import sys
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +21,8 @@ REGISTRY = T.StructType([T.StructField(n, T.StringType()) for n in ("run_id", "t
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A parquet, csv or json table by its suffix; header names of csv files are trimmed."""
+    """A parquet, csv or json table by its suffix; header names of csv files are trimmed. A single .json file is one document, a folder
+    of that name and .jsonl files have one document a line."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     reader = spark.read.schema(schema) if schema else spark.read
     if kind == "parquet":
@@ -26,7 +31,8 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
         df = (reader if schema else reader.option("inferSchema", True)).option("header", True).csv(path)
         return df.toDF(*[c.strip() for c in df.columns])
     if kind in ("json", "jsonl"):
-        return reader.option("multiLine", kind == "json").json(path)
+        fs, at = _hadoop(spark, path)
+        return reader.option("multiLine", kind == "json" and not fs.getFileStatus(at).isDirectory()).json(path)
     raise ValueError(f"no reader for {path}")
 
 
@@ -51,8 +57,108 @@ def append_run(spark: SparkSession, path: str, row: Mapping[str, object]) -> Non
     spark.createDataFrame([tuple(text(row.get(f.name)) for f in REGISTRY)], REGISTRY).coalesce(1).write.mode("append").option("header", True).option("emptyValue", "").csv(path)
 
 
-def read_json(path: str) -> dict:
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+def default_path(folder: str | None = None, names: Sequence[str] = ("dataset.parquet", "ohlcv.parquet", "ohlcv.csv")) -> str:
+    """The dataset to read when none is named: BARLOOM_DATA where it is set, else the first of `names` in folder; raises if none is there."""
+    if wanted := os.environ.get("BARLOOM_DATA"):
+        return wanted
+    for n in names:
+        if folder and os.path.exists(os.path.join(folder, n)):
+            return os.path.join(folder, n)
+    raise FileNotFoundError(f"none of {', '.join(names)} in {folder}; set BARLOOM_DATA or name a path")
+
+
+def plain_json(value: object) -> object:
+    """value in JSON's own types: paths and other objects as texts, sets sorted, times in ISO 8601, NumPy numbers as numbers, NaN and
+    infinite numbers as null."""
+    if isinstance(value, Mapping):
+        return {str(k): plain_json(v) for k, v in value.items()}
+    if isinstance(value, (set, frozenset)):
+        return sorted((plain_json(v) for v in value), key=repr)
+    if isinstance(value, (list, tuple)):
+        return [plain_json(v) for v in value]
+    if hasattr(value, "tolist"):
+        return plain_json(value.tolist())
+    if hasattr(value, "isoformat"):
+        return value.isoformat()
+    if isinstance(value, float):
+        return value if math.isfinite(value) else None
+    return value if value is None or isinstance(value, (bool, int, str)) else str(value)
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(path: str, spark: SparkSession | None = None) -> bool:
+    if spark is None:
+        return os.path.exists(path)
+    fs, at = _hadoop(spark, path)
+    return fs.exists(at)
+
+
+def write_json(path: str, value: Mapping[str, object], merge: bool = False, spark: SparkSession | None = None) -> None:
+    """value as a JSON file; merge keeps the other keys of the file that is there. With spark, on any file system that it knows."""
+    known = read_json(path, spark) if merge and exists(path, spark) else {}
+    text = json.dumps({**known, **plain_json(value)}, indent=1, sort_keys=True).encode("utf-8")
+    if spark is None:
+        Path(path).write_bytes(text)
+        return
+    fs, at = _hadoop(spark, path)
+    out = fs.create(at, True)
+    out.write(text)
+    out.close()
+
+
+def run_manifest(spark: SparkSession, inputs: Mapping[str, DataFrame], settings: Mapping[str, object]) -> dict:
+    """What a run read and how: rows and content digest of each input, settings, versions and time."""
+    from barloom.operators.audit import digest
+
+    read = {n: digest(df).first().asDict() for n, df in inputs.items()}
+    return plain_json({"created_utc": datetime.now(timezone.utc), "inputs": read, "settings": settings, "spark": spark.version, "python": sys.version.split()[0], "session_timezone": spark.conf.get("spark.sql.session.timeZone")})
+
+
+@dataclass(frozen=True)
+class RegimePack:
+    """A checked regime pack: its rows, contract, manifest, quality summary (or None) and the hash of its data file (None for a folder)."""
+
+    rows: DataFrame
+    contract: dict
+    manifest: dict
+    quality: dict | None
+    digest: str | None
+
+
+def read_regime_pack(spark: SparkSession, folder: str, strict: bool = True) -> RegimePack:
+    """The pack in a directory of rl_observation_pack.parquet, feature_contract.json, manifest.json and maybe quality_summary.json.
+
+    Rows without a readable time and repeated times of a pack and segment raise if strict, else they are dropped, of repeated ones all but
+    that with the smallest values. Columns that the contract forbids raise, and a hash that the manifest gives (`sha256`) must be
+    the file's."""
+    at = os.path.join(folder, "rl_observation_pack.parquet")
+    contract, manifest = read_json(os.path.join(folder, "feature_contract.json"), spark), read_json(os.path.join(folder, "manifest.json"), spark)
+    quality = os.path.join(folder, "quality_summary.json")
+    rows = spark.read.parquet(at)
+    kind = dict(rows.dtypes)["timestamp"]
+    rows = rows.withColumn("timestamp", F.col("timestamp").cast("timestamp") if kind.startswith(("timestamp", "date")) else F.col("timestamp").try_cast("timestamp"))
+    if bad := sorted(set(contract.get("forbidden_columns_v1", ())) & set(rows.columns)):
+        raise ValueError(f"forbidden columns: {bad}")
+    own = sha256(at) if os.path.isfile(at) else None
+    if own and manifest.get("sha256") not in (None, own):
+        raise ValueError(f"{at} isn't the file of its manifest")
+    keys = [k for k in ("pack_id", "segment", "timestamp") if k in rows.columns]
+    rest = [c for c in rows.columns if c not in keys]
+    good = rows.where(F.col("timestamp").isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"), F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_row"))
+    if strict:
+        lost = rows.where(F.col("timestamp").isNull()).count()
+        twice = good.where("_n > 1").count()
+        if lost or twice:
+            raise ValueError(f"{lost} rows without a time, {twice} repeated times")
+    return RegimePack(good.select(*keys, "_row.*").select(*rows.columns), contract, manifest, read_json(quality, spark) if exists(quality, spark) else None, own)
+
+
+def read_json(path: str, spark: SparkSession | None = None) -> dict:
+    return json.loads(spark.read.text(path, wholetext=True).first()[0] if spark else Path(path).read_text(encoding="utf-8"))
 
 
 def sha256(path: str, block: int = 1 << 20) -> str:

@@ -6,10 +6,12 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.functions.intervals import bars_of, interval_hours
 from barloom.functions.numeric import norm_cdf, norm_ppf
-from barloom.operators import contracts, features, joins, metrics, robustness, simulate, splits
+from barloom import session
+from barloom.operators import audit, contracts, dataset, features, joins, metrics, quantiles, robustness, simulate, splits, windows
 from barloom.plans import reference_queries
 from barloom.sources import artifacts, rest
 from barloom.streaming.bars import streaming_bars
@@ -234,3 +236,166 @@ def test_streaming_bars_equal_batch_bars(spark, data, tmp_path):
     q.awaitTermination(120)
     got = {tuple(r) for r in spark.table("bars_out").collect()}
     assert got == {tuple(r) for r in panel_bars(spark, data).select("instrument", "bar_s", "open", "high", "low", "close", "volume").collect()}
+
+
+@pytest.mark.parametrize("alpha", [0.0005, 0.01, 0.25, 0.9, 0.9999999, 1.0])
+def test_ewma_is_exact(spark, alpha):
+    r = np.random.default_rng(5)
+    x = [None if r.random() < 0.1 else float(v) for v in r.normal(0, 1, 2500)]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(x)] + [("b", 0, None), ("b", 1, 2.0)], "instrument string, bar_s bigint, x double")
+    for start in (None, 0.5):
+        got = {(g.instrument, g.bar_s): g.y for g in windows.with_ewma(df, {"y": F.col("x")}, alpha, "instrument", start=start).collect()}
+        y = start
+        for i, v in enumerate(x):
+            y = y if v is None else v if y is None else y * (1 - alpha) + v * alpha
+            assert (y is None and got["a", i] is None) or abs(got["a", i] - y) < 1e-9
+        assert got["b", 0] == start
+    ones = spark.createDataFrame([("a", i, 1.0) for i in range(2000)], "instrument string, bar_s bigint, x double")
+    assert windows.with_ewma(ones, {"y": F.col("x")}, alpha, "instrument").where("abs(y - 1) > 1e-12").count() == 0
+    with pytest.raises(ValueError):
+        windows.with_ewma(ones, {"y": F.col("x")}, 0.0, "instrument")
+
+
+def test_stress_windows_against_brute_force(spark):
+    e = np.exp(np.cumsum(np.random.default_rng(8).normal(0, 0.02, 200)))
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(e)] + [("short", i, 1.0) for i in range(20)], "instrument string, bar_s bigint, equity double")
+    for window in (17, 50):
+        want = []
+        for i in range(200 - window):
+            seg = e[i : i + window]
+            want.append((seg[-1] / seg[0] - 1, float((1 - seg / np.maximum.accumulate(seg)).max())))
+        for r in robustness.stress_windows(df, "instrument", window, 500).collect():
+            assert r.instrument == "a" and abs(r.cum_return - want[r.rn][0]) < 1e-12 and abs(r.max_dd - want[r.rn][1]) < 1e-12
+        assert robustness.stress_windows(df, "instrument", window, 500).count() == 2 * (200 - window)
+
+
+def test_exact_percentiles(spark):
+    r = np.random.default_rng(2)
+    per = {"many": r.normal(0, 1, 30_000), "ties": r.integers(0, 3, 5000).astype(float), "one": np.array([4.0]), None: r.exponential(1, 900), "odd": np.array([float("inf"), float("-inf"), 1.0, 2.0, float("nan"), 3.0])}
+    rows = [(k, float(v)) for k, x in per.items() for v in x] + [("none", None), ("many", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    points = (0.0, 0.01, 0.25, 0.5, 0.999, 1.0)
+    names = [f"q{i}" for i in range(len(points))]
+    want = {x.k: x for x in df.where("v is not null").groupBy("k").agg(*[F.percentile("v", F.lit(p)).alias(n) for p, n in zip(points, names)]).collect()}
+    for few in (100_000, 50):
+        got = {x.k: x for x in quantiles.exact_percentiles(df, ["k"], F.col("v"), points, names, few=few).collect()}
+        assert set(got) == set(per) == set(want) and got["many"].n == 30_000
+        for k in per:
+            for n in names:
+                a, b = got[k][n], want[k][n]
+                assert abs(a - b) < 1e-12 or (k == "odd" and (a == b or a != a)), (few, k, n, a, b)
+    assert abs(quantiles.exact_percentiles(df.where("k = 'ties'"), [], F.col("v"), (0.5,), ("m",)).first().m - 1.0) < 1e-12
+    assert quantiles.exact_percentiles(df.limit(0), ["k"], F.col("v"), (0.5,), ("m",)).count() == 0
+
+
+def test_pack_report_by_chunks(spark):
+    r = np.random.default_rng(3)
+    rows = [("ab"[i % 2], int(t)) for i, t in enumerate(r.integers(0, 3000, 300))] + [("a", None), (None, 5), (None, 5), ("lone", 7)]
+    df = spark.createDataFrame(rows, "k string, us bigint")
+    for chunk in (100, 10**9):
+        for x in audit.pack_report(df, "k", "us", chunk).collect():
+            t = sorted(u for k, u in rows if k == x.k and u is not None)
+            g = np.diff(t)
+            assert (x.n_rows, x.n_distinct, x.n_repeated) == (len(t), len(set(t)), len(t) - len(set(t)))
+            assert (x.min_gap, x.max_gap, x.median_gap) == ((g.min(), g.max(), float(np.median(g))) if len(g) else (None, None, None))
+
+
+def test_single_reality_check(spark):
+    up = [("up", i, 0.01 + 0.001 * (i % 5)) for i in range(60)] + [("down", i, -0.01) for i in range(60)] + [("few", i, 1.0) for i in range(9)]
+    got = {r.k: r for r in robustness.single_reality_check(spark.createDataFrame(up, "k string, rn int, r double"), "k", 50, 20).collect()}
+    assert got["up"].p_value == 0.0 and got["down"].p_value == 1.0 and got["few"].p_value is None and got["few"].n == 9
+
+
+def test_tails_and_trials(spark):
+    z = [-3.0, -0.5, 0.0, 0.7, 2.5]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in z], "z double").select(robustness.upper_tail(F.col("z"))).collect()]
+    assert max(abs(g - (1 - norm_cdf(v))) for g, v in zip(got, z)) < 1e-6
+    assert robustness.deflated_sharpe(0.1, 1, 2)["sr_star"] == 0.0
+
+
+def test_forbidden_parts_anywhere():
+    assert features.forbidden_names(["x_next_bar", "ray_y_1", "my_close", "close"]) == ["x_next_bar", "ray_y_1", "my_close"]
+
+
+def test_wide_dataset_refuses_bad_blocks(spark):
+    b = frame(spark, walk(80))
+    funding = spark.createDataFrame([("a", 0, 0.0001)], "instrument string, funding_s bigint, rate double")
+    block = b.select("bar_s", F.lit(1.0).alias("hc_growth_cycle"))
+    out = dataset.wide_dataset(b, funding, {"macro": (block.union(block), ["hc_growth_cycle"])})
+    assert out.count() == 80 - 19 and out.columns[-1] == "hc_growth_cycle"
+    with pytest.raises(ValueError, match="repeats"):
+        dataset.wide_dataset(b, funding, {"a": (block, ["hc_growth_cycle"]), "b": (block, ["hc_growth_cycle"])})
+    with pytest.raises(ValueError, match="missing"):
+        dataset.wide_dataset(b, funding, {"a": (block, ["nothing"])})
+    with pytest.raises(ValueError, match="no funding rate"):
+        dataset.wide_dataset(b, funding.drop("rate"), {})
+
+
+def test_json_manifest_and_regime_pack(spark, tmp_path):
+    place = str(tmp_path / "m.json")
+    artifacts.write_json(place, {"a": {3, 1}, "p": tmp_path, "x": np.float64("nan"), "n": np.arange(2), "t": datetime(2024, 1, 1)})
+    artifacts.write_json(place, {"b": 1}, merge=True, spark=spark)
+    assert artifacts.read_json(place, spark) == {"a": [1, 3], "p": str(tmp_path), "x": None, "n": [0, 1], "t": "2024-01-01T00:00:00", "b": 1}
+    m = artifacts.run_manifest(spark, {"x": spark.range(3)}, {"seed": 1})
+    assert m["inputs"]["x"]["n_rows"] == 3 and m["settings"] == {"seed": 1}
+    folder = tmp_path / "pack"
+    folder.mkdir()
+    pd.DataFrame({"timestamp": ["2024-01-01 00:00:00", "2024-01-01 00:00:00", "soon"], "segment": "s", "p_filter_0": [0.2, 0.1, 0.3]}).to_parquet(folder / "rl_observation_pack.parquet")
+    contract = {"agent_observable_columns_v1": ["p_filter_0"], "forbidden_columns_v1": []}
+    artifacts.write_json(str(folder / "feature_contract.json"), contract)
+    artifacts.write_json(str(folder / "manifest.json"), {"sha256": artifacts.sha256(str(folder / "rl_observation_pack.parquet"))})
+    p = artifacts.read_regime_pack(spark, str(folder), strict=False)
+    assert [(r.segment, r.p_filter_0) for r in p.rows.collect()] == [("s", 0.1)] and p.quality is None and p.digest == p.manifest["sha256"]
+    with pytest.raises(ValueError, match="1 rows without a time, 1 repeated"):
+        artifacts.read_regime_pack(spark, str(folder))
+    artifacts.write_json(str(folder / "manifest.json"), {"sha256": "0"})
+    with pytest.raises(ValueError, match="manifest"):
+        artifacts.read_regime_pack(spark, str(folder), strict=False)
+    artifacts.write_json(str(folder / "feature_contract.json"), {**contract, "forbidden_columns_v1": ["segment"]})
+    with pytest.raises(ValueError, match="forbidden"):
+        artifacts.read_regime_pack(spark, str(folder), strict=False)
+
+
+def test_default_path(tmp_path, monkeypatch):
+    with pytest.raises(FileNotFoundError):
+        artifacts.default_path(str(tmp_path))
+    (tmp_path / "ohlcv.csv").write_text("x")
+    assert artifacts.default_path(str(tmp_path)).endswith("ohlcv.csv")
+    monkeypatch.setenv("BARLOOM_DATA", "/d/x.parquet")
+    assert artifacts.default_path(str(tmp_path)) == "/d/x.parquet"
+
+
+def _fetch(start, end, limit):
+    return [(t, t * 2) for t in range(-(-start // 10) * 10, end + 1, 10)][:limit]
+
+
+def test_pages_as_a_table(spark):
+    schema = T.StructType([T.StructField("t", T.LongType()), T.StructField("v", T.LongType())])
+    got = rest.read_pages(spark, _fetch, schema, 5, 2005, lambda row: row[0], span_ms=300, limit=7)
+    assert sorted(map(tuple, got.collect())) == [(t, t * 2) for t in range(10, 2001, 10)] and got.rdd.getNumPartitions() == 7
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    fake = type("S", (), {"conf": Conf(), "sparkContext": type("C", (), {"getConf": lambda self: Conf(), "master": "spark://host:7077"})()})()
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_dir(fake)
+
+
+def test_command_line(spark, data, tmp_path, capsys):
+    from barloom.__main__ import main
+
+    trace = simulate.ledger(simulate.actions(frame(spark, walk(120)), ("long", "random")))
+    artifacts.write_table(trace, str(tmp_path / "trace.parquet"))
+    main(["eval", str(tmp_path / "trace.parquet"), str(tmp_path / "eval")], spark)
+    main(["robustness", str(tmp_path / "trace.parquet"), str(tmp_path / "rob"), "--draws", "20", "--block", "10", "--window", "30"], spark)
+    assert spark.read.parquet(str(tmp_path / "eval" / "metrics.parquet")).count() == 2 and spark.read.parquet(str(tmp_path / "rob" / "stress.parquet")).count() == 20
+    artifacts.write_table(frame(spark, walk(80)), str(tmp_path / "market.parquet"))
+    artifacts.write_table(spark.createDataFrame([("a", 0, 0.0001)], "instrument string, funding_s bigint, rate double"), str(tmp_path / "f.csv"))
+    main(["build", str(tmp_path / "wide.parquet"), "--market", str(tmp_path / "market.parquet"), "--funding", str(tmp_path / "f.csv")], spark)
+    assert spark.read.parquet(str(tmp_path / "wide.parquet")).count() == 61 and artifacts.read_json(str(tmp_path / "wide.manifest.json"))["inputs"]["market"]["n_rows"] == 80
+    main(["list"])
+    assert "ref_j7_wide_dataset" in capsys.readouterr().out
