@@ -12,12 +12,13 @@ from barloom.operators.quantiles import exact_percentiles
 from barloom.session import cut_lineage
 
 
-def data_report(df: DataFrame, key: str, at: str, step_s: int, value: str) -> DataFrame:
-    """rows, time range, repeated times, gaps, greatest gap, values that aren't finite, and quantiles of `value`, for each key."""
+def data_report(df: DataFrame, key: str, at: str, step_s: int, value: str, tolerance: float = 1e-6) -> DataFrame:
+    """rows, time range, repeated times, gaps, greatest gap, distances that differ from step_s by more than `tolerance` of it, values that
+    aren't finite, and quantiles of `value`, for each key."""
     w = Window.partitionBy(key).orderBy(at)
     x = df.withColumn("_gap", F.col(at) - F.lag(at).over(w))
     v = F.when(is_finite(F.col(value).cast("double")), F.col(value).cast("double"))
-    return x.groupBy(key).agg(F.count("*").alias("n_rows"), F.min(at).alias("first_s"), F.max(at).alias("last_s"), F.count_if(F.col("_gap") == 0).alias("n_repeated"), F.count_if(F.col("_gap") > step_s).alias("n_gaps"), F.max("_gap").alias("max_gap_s"), F.count_if(~is_finite(F.col(value).cast("double"))).alias("n_not_finite"), *[F.percentile(v, F.lit(q)).alias(f"p{round(q * 100):02d}") for q in (0.01, 0.5, 0.99)])
+    return x.groupBy(key).agg(F.count("*").alias("n_rows"), F.min(at).alias("first_s"), F.max(at).alias("last_s"), F.count_if(F.col("_gap") == 0).alias("n_repeated"), F.count_if(F.col("_gap") > step_s).alias("n_gaps"), F.max("_gap").alias("max_gap_s"), F.count_if(F.abs(F.col("_gap") - step_s) > tolerance * step_s).alias("n_off_step"), F.count_if(~is_finite(F.col(value).cast("double"))).alias("n_not_finite"), *[F.percentile(v, F.lit(q)).alias(f"p{round(q * 100):02d}") for q in (0.01, 0.5, 0.99)])
 
 
 def gap_rows(df: DataFrame, key: str, at: str, step_s: int) -> DataFrame:
@@ -34,6 +35,19 @@ def null_shares(df: DataFrame) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("null_share")) for i, c in enumerate(df.columns)])).alias("x")).select("x.*")
 
 
+def frame_report(df: DataFrame) -> DataFrame:
+    """(position, column_name, type, n_rows, n_null) of each column, from one scan; NaN isn't null here."""
+    one = df.agg(F.count("*").alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    rows = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.lit(t).alias("type"), F.col("n").alias("n_rows"), (F.col("n") - F.col(f"c{i}")).alias("n_null")) for i, (c, t) in enumerate(df.dtypes)]
+    return one.select(F.inline(F.array(*rows)))
+
+
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, value, n): how often each value of the columns occurs, as texts; null is a value."""
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]))
+    return df.select(cells).groupBy("column_name", "value").agg(F.count("*").alias("n"))
+
+
 def digest(df: DataFrame) -> DataFrame:
     """(n_rows, digest): a hash of the content that doesn't depend on the order of rows."""
     return df.agg(F.count("*").alias("n_rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string").alias("digest"))

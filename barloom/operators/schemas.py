@@ -227,7 +227,7 @@ def schema_changes(df: DataFrame, payload: str = "payload", cells: DataFrame | N
     if not rest.isEmpty():
         few = broadcast_if_small(rest, 100_000)
         evidence = evidence.join(settled, at, "left_semi").select(*at, "field", "new_field", "n_both", "n_same").unionByName(_linked_records(sides.join(few, at, "left_semi")))
-    nested = met.where(F.size("children") > 0).select(*at, "side", "field", F.inline("children").alias("new_field", "_k")).groupBy(*at, "side", "field", "new_field").agg(F.mode("_k", True).alias("kind"))
+    nested = met.where(F.col("kind") == "object").select(*at, "side", "field", F.inline("children").alias("new_field", "_k")).groupBy(*at, "side", "field", "new_field").agg(F.mode("_k", True).alias("kind"))
     what = lambda text: F.lit(text).alias("what")
     fields = asked.select(*at, F.inline("_f"))
     nodes = fields.where("_old = 1").select(*at, what("old"), "field", F.col("old_kind").alias("kind")).unionByName(fields.where("_new = 1").select(*at, what("new"), "field", "kind"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.intervals import bars_of, interval_hours
 from barloom.functions.numeric import finite_or_zero, is_finite
-from barloom.operators import contracts, dataset, features, joins, metrics, robustness, simulate, splits
+from barloom.operators import audit, contracts, dataset, features, joins, metrics, robustness, simulate, splits
 from barloom.operators import windows as W
 from barloom.plans.reference_queries import _BOOT, _DAYS, _FOLD_ROWS, _FOLDS, _FUND, _KEYS, _LEDGER, _METRICS, _PACK, FEATURES_SQL, FREQ, MARKET, PANEL, W_SQL, _r, _returns, _roll, _trace, registry, rounded
 from barloom.session import shared_dir
@@ -319,6 +319,23 @@ def ref_r8_single_reality_check(s: SparkSession, d: str) -> DataFrame:
     return x.select("instrument", "n", (F.round("observed", 9) + 0.0).alias("observed"), (F.round("p_value", 6) + 0.0).alias("p_value"))
 
 
+# --- reports of tables ---------------------------------------------------------------------------------------------------
+
+@query(f"""WITH c AS (SELECT row_number() OVER () - 1 AS position, column_name, column_type FROM (DESCRIBE rl_observation_pack)),
+n AS (SELECT column_name, count(*) AS n_rows, count(*) FILTER (WHERE v IS NULL) AS n_null FROM (SELECT COLUMNS(*)::VARCHAR FROM rl_observation_pack) UNPIVOT INCLUDE NULLS (v FOR column_name IN (*)) GROUP BY 1)
+SELECT CAST(position AS INT) AS position, column_name, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' WHEN 'TIMESTAMP' THEN 'timestamp' ELSE lower(column_type) END AS type, n_rows, n_null FROM c JOIN n USING (column_name)""")
+def ref_x3_frame_report(s: SparkSession, d: str) -> DataFrame:
+    """Place, name, type, rows and nulls of each column."""
+    x = audit.frame_report(table(s, d, "rl_observation_pack"))
+    return x.withColumn("type", F.regexp_replace("type", "^timestamp_ntz$", "timestamp"))
+
+
+@query("""SELECT 'pack_id' AS column_name, pack_id AS value, count(*) AS n FROM rl_observation_pack GROUP BY 2 UNION ALL SELECT 'segment', segment, count(*) FROM rl_observation_pack GROUP BY 2 UNION ALL SELECT 'bar_step', bar_step, count(*) FROM rl_observation_pack GROUP BY 2""")
+def ref_x5_value_counts(s: SparkSession, d: str) -> DataFrame:
+    """How often each pack, segment and step occurs."""
+    return audit.value_counts(table(s, d, "rl_observation_pack"), ["pack_id", "segment", "bar_step"])
+
+
 # --- plot tables ---------------------------------------------------------------------------------------------------------
 
 _HELD = f"""h0 AS (SELECT instrument, bar_s, coalesce(ln(close / lag(close) OVER ({W_SQL})), 0) AS lr FROM bars), hold AS (SELECT instrument, bar_s, lr, exp(sum(lr) OVER ({W_SQL})) AS equity FROM h0)"""

@@ -699,7 +699,7 @@ def ref_w21_o5_r10_stress(s: SparkSession, d: str) -> DataFrame:
 # --- audit ---------------------------------------------------------------------------------------------------------------
 
 @query(f"""WITH {HOURLY}, g AS (SELECT *, bar_s - lag(bar_s) OVER ({W_SQL}) AS gap FROM bars)
-SELECT instrument, count(*) AS n_rows, min(bar_s) AS first_s, max(bar_s) AS last_s, count(*) FILTER (WHERE gap = 0) AS n_repeated, count(*) FILTER (WHERE gap > 3600) AS n_gaps, max(gap) AS max_gap_s, count(*) FILTER (WHERE NOT isfinite(close)) AS n_not_finite, {_r('quantile_cont(close, 0.01) AS p01;quantile_cont(close, 0.5) AS p50;quantile_cont(close, 0.99) AS p99')} FROM g GROUP BY 1""")
+SELECT instrument, count(*) AS n_rows, min(bar_s) AS first_s, max(bar_s) AS last_s, count(*) FILTER (WHERE gap = 0) AS n_repeated, count(*) FILTER (WHERE gap > 3600) AS n_gaps, max(gap) AS max_gap_s, count(*) FILTER (WHERE abs(gap - 3600) > 0.0036) AS n_off_step, count(*) FILTER (WHERE NOT isfinite(close)) AS n_not_finite, {_r('quantile_cont(close, 0.01) AS p01;quantile_cont(close, 0.5) AS p50;quantile_cont(close, 0.99) AS p99')} FROM g GROUP BY 1""")
 def ref_x1_x2_data_report(s: SparkSession, d: str) -> DataFrame:
     """Rows, range, gaps and quantiles of hourly bars."""
     return rounded(audit.data_report(bars.panel_bars(s, d, 3600), "instrument", "bar_s", 3600, "close"))
@@ -763,11 +763,13 @@ def ref_o1_o3_dedupe(s: SparkSession, d: str) -> DataFrame:
     return one.groupBy("source").agg(F.count("*").alias("n_kept"), F.sum("bar_id").alias("id_sum"))
 
 
-@query(f"""WITH {PANEL} SELECT instrument, bar_s, round(close, 6) + 0.0 AS close FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY bar_s DESC) AS k FROM bars) WHERE k <= 5""")
+@query(f"""WITH {PANEL}, k AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY bar_s DESC) AS z, row_number() OVER ({W_SQL}) AS a FROM bars)
+SELECT instrument, bar_s, CASE WHEN a <= 3 THEN 'head' ELSE 'tail' END AS part, round(close, 6) + 0.0 AS close FROM k WHERE z > 1 AND (a <= 3 OR z <= 6)""")
 def ref_o4_o8_tail(s: SparkSession, d: str) -> DataFrame:
-    """The last five bars of each instrument."""
-    k = F.row_number().over(Window.partitionBy("instrument").orderBy(F.col("bar_s").desc()))
-    return rounded(bars.panel_bars(s, d).withColumn("k", k).where(F.col("k") <= 5).select("instrument", "bar_s", "close"))
+    """Each instrument's bars without the last one: the first three and the last five of them."""
+    z, a = F.row_number().over(Window.partitionBy("instrument").orderBy(F.col("bar_s").desc())), F.row_number().over(W.series("instrument"))
+    x = bars.panel_bars(s, d).withColumns({"z": z, "a": a}).where((F.col("z") > 1) & ((F.col("a") <= 3) | (F.col("z") <= 6)))
+    return rounded(x.select("instrument", "bar_s", F.when(F.col("a") <= 3, "head").otherwise("tail").alias("part"), "close"))
 
 
 @query("""SELECT symbol FROM train_v1_dataset WHERE symbol IS NOT NULL EXCEPT SELECT symbol FROM funding_8h WHERE venue = 'vn0000' AND symbol IS NOT NULL""")

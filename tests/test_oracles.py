@@ -66,3 +66,12 @@ def test_entry_has_every_name(spark):
 
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 50
+
+
+def test_core_goes_on_without_the_llm_package(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, "barloom.llm.queries", None)  # its import raises, as with a missing library
+    assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLES)
